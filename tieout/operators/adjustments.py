@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tieout.operators.enrich import without_accounts
+from tieout.operators.enrich import rows_in, without_accounts
 
 
 def adjustment_rows(source: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
@@ -14,7 +14,7 @@ def adjustment_rows(source: DataFrame, excluded: DataFrame | None = None) -> Dat
 def adjustment_summary(source: DataFrame, excluded: DataFrame | None = None, by: list[str] = ()) -> DataFrame:
     """Adjustments, amount and number of entities per group. The amount is also what a target lacks at most."""
     folded = adjustment_rows(source, excluded).groupBy(*by, "entity_code").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount")
+        rows_in(source).alias("n"), F.sum("amount").alias("amount")
     )
     none, zero = F.lit(0).cast("long"), F.lit(0).cast("decimal(28,2)")
     amount = F.coalesce(F.sum("amount").cast("decimal(28,2)"), zero)
@@ -29,7 +29,7 @@ def adjustment_summary(source: DataFrame, excluded: DataFrame | None = None, by:
 def adjustments_by_type(source: DataFrame, excluded: DataFrame | None = None, by: list[str] = ()) -> DataFrame:
     rows = adjustment_rows(source, excluded).filter(F.col("adjustment_type").isNotNull())
     return rows.groupBy(*by, "adjustment_type").agg(
-        F.count(F.lit(1)).alias("adjustment_count"), F.sum("amount").alias("adjustment_amount")
+        rows_in(source).alias("adjustment_count"), F.sum("amount").alias("adjustment_amount")
     )
 
 
@@ -37,5 +37,5 @@ def adjusted_entities(source: DataFrame, excluded: DataFrame | None = None, by:
     """Entities with adjustments, one row each."""
     rows = adjustment_rows(source, excluded).filter(F.col("entity_code").isNotNull())
     return rows.groupBy(*by, "entity_code").agg(
-        F.count(F.lit(1)).alias("adjustment_count"), F.sum("amount").alias("adjustment_amount")
+        rows_in(source).alias("adjustment_count"), F.sum("amount").alias("adjustment_amount")
     )

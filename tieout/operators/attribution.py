@@ -38,74 +38,86 @@ def with_evidence(gap_rows: DataFrame) -> DataFrame:
     return gap_rows.withColumns({n: value(n, d) for n, d in EVIDENCE.items()})
 
 
+COMPONENT = (
+    "struct<seq:int,category:string,amount:double,pct_of_gap:double,confidence:double,fix_type:string,check_type:string>"
+)
+
+
 def attribute(gap_rows: DataFrame) -> DataFrame:
     """Adds ``components`` to every gap row: what each cause takes of the gap that is left, in fixed order.
 
-    Every gap is one row with its evidence, so this needs no shuffle and grows with the number of gaps.
+    A cause asks for an amount, or for a share of what is left, and gets at most what is left. Every
+    gap is one row with its evidence and the causes are folded inside the row, so this needs no shuffle
+    and grows with the number of gaps.
     """
-    df = with_evidence(gap_rows).withColumn("_gap", F.round(F.col("gap").cast("double"), 2))
-    df = df.withColumn("_sign", F.when(F.col("_gap") < 0, -1.0).otherwise(1.0)).withColumn("_left", F.col("_gap"))
-
-    def take(df, name, wanted, condition, least=1.0):
-        """Take at most what is left; nothing when the share is not above ``least``."""
-        capped = F.when(F.abs(wanted) > F.abs(F.col("_left")), F.col("_left")).otherwise(wanted)
-        df = df.withColumn(name, F.when(condition, capped))
-        if least is not None:
-            df = df.withColumn(name, F.when(F.abs(F.col(name)) > least, F.col(name)))
-        return df.withColumn("_left", F.col("_left") - F.coalesce(F.col(name), F.lit(0.0)))
-
-    left, sign, open_gap = F.col("_left"), F.col("_sign"), F.abs(F.col("_left")) > 1.0
-    df = take(df, "_mapping", sign * F.abs(F.col("unmapped_amount")), F.col("has_unmapped"), None)
-    df = take(df, "_pairs", F.least(F.col("uneliminated_amount"), F.abs(left)) * sign, F.col("has_open_pairs") & open_gap)
-    confident = (F.col("run_confidence") > 0.3) & F.col("timestamp_gap_flag")
-    late = confident | F.col("has_parameter_diffs") | F.col("watermark_gap_flag")
-    share = F.least(F.col("run_confidence") * 0.5, F.lit(0.30))
-    df = take(df, "_runs", sign * F.abs(F.abs(left) * share), F.col("has_run_findings") & open_gap & late)
-    drifted = F.col("has_schema_drift") & open_gap & (F.col("unmapped_ratio") > 0.01)
-    df = take(df, "_drift", sign * F.abs(F.abs(left) * F.least(F.col("unmapped_ratio"), F.lit(0.20))), drifted)
-    df = take(df, "_manual", F.col("_left"), open_gap, None)
-    zero, none = F.lit(0.0), F.lit(None).cast("string")
-    df = df.withColumn("_regions", F.when(F.col("has_region_mismatch"), zero))
-    df = df.withColumn("_outliers", F.when(F.col("anomalous_count") > 0, zero))
-    parts = [
-        ("Mapping Gap", "_mapping", F.lit(D.CONFIDENCE["mapping_gap"]), F.lit("add_mapping"), "type1_code"),
-        ("Intercompany Elimination", "_pairs", F.lit(D.CONFIDENCE["intercompany"]), F.lit("add_elimination"), "type1_code"),
-        ("Orchestration Timing", "_runs", F.round("run_confidence", 3), F.lit("fix_orchestration"), "type3_orchestration"),
-        ("Schema / Mapping Drift", "_drift", F.round("data_confidence", 3), F.lit("add_mapping"), "type2_data"),
-        ("Manual Adjustment", "_manual", F.lit(D.CONFIDENCE["manual_adjustment"]), F.lit("add_adjustment"), "type1_code"),
-        ("Hierarchy Mismatch", "_regions", F.lit(D.CONFIDENCE["hierarchy"]), F.lit("fix_hierarchy"), "type2_data"),
-        ("Anomalous Accounts", "_outliers", F.lit(0.5), none, "type1_code"),
-    ]
-    taken = [F.round(F.col(c), 2) for _, c, *_ in parts]
-    explained = sum((F.when(F.abs(t) > 0.01, t).otherwise(0.0) for t in taken), F.lit(0.0))
-    df = df.withColumn("_rest", F.col("_gap") - explained)
-    df = df.withColumn("_rest", F.when(F.abs(F.col("_rest")) > 0.01, F.col("_rest")))
-    parts.append(("Unexplained Residual", "_rest", F.lit(0.0), none, None))
-    rows = F.array(*[_component(i, *p) for i, p in enumerate(parts, 1)])
-    made = [c for c in df.columns if c.startswith("_")]
-    return df.withColumn("components", F.filter(rows, lambda c: c.isNotNull())).drop(*made)
-
-
-def _component(seq: int, cause: str, column: str, confidence: Column, fix: Column, check: str | None) -> Column:
-    amount = F.col(column)
-    share = F.when(F.col("_gap") != 0, F.round(amount / F.col("_gap") * 100, 1)).otherwise(0.0)
-    return F.when(
-        amount.isNotNull(),
-        F.struct(
-            F.lit(seq).alias("seq"),
-            F.lit(cause).alias("category"),
-            F.round(amount, 2).alias("amount"),
-            share.alias("pct_of_gap"),
-            confidence.alias("confidence"),
-            fix.alias("fix_type"),
-            F.lit(check).cast("string").alias("check_type"),
-        ),
+    df = with_evidence(gap_rows)
+    none = F.lit(None).cast("string")
+    late = ((F.col("run_confidence") > 0.3) & F.col("timestamp_gap_flag")) | F.col("has_parameter_diffs") | F.col("watermark_gap_flag")
+    causes = F.array(
+        _cause(1, "Mapping Gap", F.col("unmapped_amount"), False, F.col("has_unmapped"), F.lit(D.CONFIDENCE["mapping_gap"]), "add_mapping", "type1_code", always=True),
+        _cause(2, "Intercompany Elimination", F.col("uneliminated_amount"), False, F.col("has_open_pairs"), F.lit(D.CONFIDENCE["intercompany"]), "add_elimination", "type1_code"),
+        _cause(3, "Orchestration Timing", F.least(F.col("run_confidence") * 0.5, F.lit(0.30)), True, F.col("has_run_findings") & late, F.round("run_confidence", 3), "fix_orchestration", "type3_orchestration"),
+        _cause(4, "Schema / Mapping Drift", F.least(F.col("unmapped_ratio"), F.lit(0.20)), True, F.col("has_schema_drift") & (F.col("unmapped_ratio") > 0.01), F.round("data_confidence", 3), "add_mapping", "type2_data"),
+        _cause(5, "Manual Adjustment", F.lit(1.0), True, F.lit(True), F.lit(D.CONFIDENCE["manual_adjustment"]), "add_adjustment", "type1_code"),
+    )
+    gap = F.round(F.col("gap").cast("double"), 2)
+    start = F.struct(
+        gap.alias("gap"),
+        F.when(gap < 0, -1.0).otherwise(1.0).alias("sign"),
+        gap.alias("left"),
+        F.lit(0.0).alias("explained"),
+        F.array().cast(f"array<{COMPONENT}>").alias("found"),
+    )
+
+    def take(acc, cause):
+        asked = acc.sign * F.abs(F.when(cause.is_share, F.abs(acc.left) * cause.size).otherwise(cause.size))
+        amount = F.when(F.abs(asked) > F.abs(acc.left), acc.left).otherwise(asked)
+        counts = cause.allowed & (cause.always | ((F.abs(acc.left) > 1.0) & (F.abs(amount) > 1.0)))
+        rounded = F.round(amount, 2)
+        part = _component(acc.gap, cause.seq, cause.category, amount, cause.confidence, cause.fix_type, cause.check_type)
+        return F.struct(
+            acc.gap.alias("gap"),
+            acc.sign.alias("sign"),
+            F.when(counts, acc.left - amount).otherwise(acc.left).alias("left"),
+            F.when(counts & (F.abs(rounded) > 0.01), acc.explained + rounded).otherwise(acc.explained).alias("explained"),
+            F.when(counts, F.concat(acc.found, F.array(part))).otherwise(acc.found).alias("found"),
+        )
+
+    def finish(acc):
+        zero, rest = F.lit(0.0), acc.gap - acc.explained
+        notes = [
+            F.when(F.col("has_region_mismatch"), _component(acc.gap, F.lit(6), F.lit("Hierarchy Mismatch"), zero, F.lit(D.CONFIDENCE["hierarchy"]), F.lit("fix_hierarchy"), F.lit("type2_data"))),
+            F.when(F.col("anomalous_count") > 0, _component(acc.gap, F.lit(7), F.lit("Anomalous Accounts"), zero, F.lit(0.5), none, F.lit("type1_code"))),
+            F.when(F.abs(rest) > 0.01, _component(acc.gap, F.lit(8), F.lit("Unexplained Residual"), rest, zero, none, none)),
+        ]
+        return F.concat(acc.found, F.filter(F.array(*notes), lambda n: n.isNotNull()))
+
+    return df.withColumn("components", F.aggregate(causes, start, take, finish))
+
+
+def _cause(
+    seq: int, name: str, size: Column, is_share: bool, allowed: Column, confidence: Column, fix: str, check: str, always: bool = False
+) -> Column:
+    """A cause and what it asks for. Unless ``always``, it counts only above one unit of an open gap."""
+    return F.struct(
+        F.lit(seq).alias("seq"), F.lit(name).alias("category"), size.alias("size"), F.lit(is_share).alias("is_share"),
+        allowed.alias("allowed"), F.lit(always).alias("always"), confidence.alias("confidence"),
+        F.lit(fix).alias("fix_type"), F.lit(check).alias("check_type"),
+    )
+
+
+def _component(gap: Column, seq: Column, name: Column, amount: Column, confidence: Column, fix: Column, check: Column) -> Column:
+    share = F.when(gap != 0, F.round(amount / gap * 100, 1)).otherwise(0.0)
+    return F.struct(
+        seq.alias("seq"), name.alias("category"), F.round(amount, 2).alias("amount"), share.alias("pct_of_gap"),
+        confidence.alias("confidence"), fix.alias("fix_type"), check.alias("check_type"),
     )
 
 
 def component_rows(attributed: DataFrame, keys: list[str]) -> DataFrame:
     """One row per gap and component, with a High/Medium/Low label of its confidence."""
-    rows = attributed.select(*keys, F.inline("components"))
+    # The outer form keeps Spark from computing the components a second time for a filter on their number.
+    rows = attributed.select(*keys, F.inline_outer("components")).filter(F.col("seq").isNotNull())
     return rows.withColumn("confidence_label", confidence_label(F.col("confidence")))
 
 

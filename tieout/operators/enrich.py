@@ -2,13 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tieout.scale import small_side
 
 PLACES = ["business_unit", "region", "segment"]
 
 
+FOLD_KEYS = ["account_code", "entity_code", "counterparty_entity", "is_intercompany", "adjustment_flag", "adjustment_type", *PLACES]
+
+
+def fold(source: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Transactions summed over everything the checks tell apart, with ``row_count``.
+
+    All checks take such a frame in place of the transactions, so an investigation reads those once.
+    """
+    keys = list(dict.fromkeys([*by, *[c for c in FOLD_KEYS if c in source.columns]]))
+    return source.groupBy(*keys).agg(F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("row_count"))
+
+
+def rows_in(df: DataFrame) -> Column:
+    """Number of transactions behind a frame, whether folded or not."""
+    return F.sum("row_count") if "row_count" in df.columns else F.count(F.lit(1))
+
+
 def mapping_rules(mapping: DataFrame) -> DataFrame:
     """The mapping columns used for joins; repeated keys stay, as they multiply amounts in reports too."""
     return mapping.select(

@@ -27,6 +27,7 @@ from tieout.operators.enrich import mapping_keys
 from tieout.scale import pin, small_side
 
 VARIANTS_PER_CODE = 5_000
+VARIANTS_PER_PASS = 2_000_000
 
 
 def distinct_codes(df: DataFrame, column: str) -> DataFrame:
@@ -62,22 +63,22 @@ def fuzzy_matches(
 def best_matches(left: DataFrame, right: DataFrame, min_score: float, variants_per_code: int = VARIANTS_PER_CODE) -> DataFrame:
     """Best match of each left code; both sides as made by ``distinct_codes``."""
     left, right = pin(left), pin(right)
-    sizes = left.select(F.lit("l").alias("side"), "size").union(right.select(F.lit("r").alias("side"), "size")).distinct().collect()
-    ours = sorted(r.size for r in sizes if r.side == "l")
-    theirs = sorted(r.size for r in sizes if r.side == "r")
-    rounds = deletion_rounds(ours, theirs, min_score)
+    # One row per text length, so this stays small however many codes there are.
+    both = left.select(F.lit("l").alias("side"), "size").union(right.select(F.lit("r").alias("side"), "size"))
+    counts = {(r["side"], r["size"]): r["count"] for r in both.groupBy("side", "size").count().collect()}
+    ours, theirs = ({n: c for (side, n), c in counts.items() if side == s} for s in "lr")
+    rounds = deletion_rounds(sorted(ours), sorted(theirs), min_score)
     best = left.select(F.col("code").alias("source_code"), F.lit(None).cast("string").alias("suggested_code"), F.lit(None).cast("double").alias("score")).limit(0)
     waiting, expandable = left, True
-    for r in sorted(rounds):
-        needed = rounds[r]
-        if max(max(comb(n, n - k), comb(m, m - k)) for n, m, k in needed) > variants_per_code:
+    for r, needed in passes(rounds, ours, theirs, variants_per_code):
+        if _per_code(needed) > variants_per_code:
             expandable = False
             break
-        found = _round(waiting, right, needed)
-        best = pin(_better(best.unionByName(found)))
+        best = _better(best.unionByName(_round(waiting, right, needed)))
         bounds = remaining_bounds(rounds, r)
         if not bounds:
             break
+        best = pin(best)
         waiting = pin(_unsettled(left, best, bounds))
         if waiting.isEmpty():
             break
@@ -97,6 +98,26 @@ def deletion_rounds(ours: list[int], theirs: list[int], min_score: float) -> dic
     return rounds
 
 
+def _per_code(needed: list[tuple[int, int, int]]) -> int:
+    return max(max(comb(n, n - k), comb(m, m - k)) for n, m, k in needed)
+
+
+def passes(rounds: dict, ours: dict[int, int], theirs: dict[int, int], variants_per_code: int):
+    """Rounds in order, joined into one pass as long as all its texts together and those of a code stay few."""
+    joined: list[tuple[int, int, int]] = []
+    texts, last = 0, None
+    for r in sorted(rounds):
+        left = {(n, n - k) for n, _, k in rounds[r]}
+        right = {(m, m - k) for _, m, k in rounds[r]}
+        more = sum(ours[n] * comb(n, d) for n, d in left) + sum(theirs[m] * comb(m, d) for m, d in right)
+        if joined and (texts + more > VARIANTS_PER_PASS or _per_code(rounds[r]) > variants_per_code):
+            yield last, joined
+            joined, texts = [], 0
+        joined, texts, last = joined + rounds[r], texts + more, r
+    if joined:
+        yield last, joined
+
+
 def remaining_bounds(rounds: dict, done: int) -> dict[int, float]:
     """Best score that later rounds could give, by left length."""
     bounds: dict[int, float] = {}

@@ -71,7 +71,8 @@ def intercompany_summary(source: DataFrame, excluded: DataFrame | None = None, b
     by = list(by)
     rows = intercompany_rows(source, excluded)
     none, zero = F.lit(0).cast("long"), F.lit(0).cast("decimal(28,2)")
-    counted = rows.select(*by, F.lit(1).cast("long").alias("n"), F.col("amount").cast("decimal(28,2)").alias("t"),
+    weight = F.col("row_count") if "row_count" in rows.columns else F.lit(1).cast("long")
+    counted = rows.select(*by, weight.alias("n"), F.col("amount").cast("decimal(28,2)").alias("t"),
                           F.lit(0).cast("long").alias("p"), zero.alias("u"))
     findings = intercompany_findings(source, excluded, by)
     open_pairs = findings.select(*by, none.alias("n"), zero.alias("t"), F.lit(1).cast("long").alias("p"),

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tieout import defaults as D
-from tieout.operators.enrich import unmapped_rows, without_accounts
+from tieout.operators.enrich import rows_in, unmapped_rows, without_accounts
 
 
 def unmapped_totals(
     source: DataFrame, mapping: DataFrame, excluded: DataFrame | None = None, by: list[str] = ()
 ) -> DataFrame:
     """Rows, amounts and sum per account code the mapping lacks (and group); null codes form one row."""
+    with_amount = F.sum("row_count") if "row_count" in source.columns else F.count("amount")
     totals = source.groupBy(*by, "account_code").agg(
-        F.count(F.lit(1)).alias("row_count"), F.count("amount").alias("transaction_count"), F.sum("amount").alias("total_amount")
+        rows_in(source).alias("row_count"), with_amount.alias("transaction_count"), F.sum("amount").alias("total_amount")
     )
     return without_accounts(unmapped_rows(totals, mapping), excluded)
 

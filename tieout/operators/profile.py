@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tieout import defaults as D
-from tieout.operators.enrich import mapping_keys
+from tieout.operators.enrich import mapping_keys, rows_in
 from tieout.scale import per_group, small_side
 
 
@@ -105,7 +105,8 @@ def account_presence(source: DataFrame, mapping: DataFrame, by: list[str] = ())
 
     Only one row per account code meets the mapping, so a frequent code costs nothing extra.
     """
-    totals = source.groupBy(*by, "account_code").agg(F.count(F.lit(1)).alias("row_count"), F.sum("amount").alias("amount"))
+    amount = F.sum("amount") if "amount" in source.columns else F.lit(0).cast("decimal(28,2)")
+    totals = source.groupBy(*by, "account_code").agg(rows_in(source).alias("row_count"), amount.alias("amount"))
     keys = mapping_keys(mapping)
     joined = totals.join(small_side(keys), totals.account_code == keys.mapped_code, "left")
     return joined.withColumn("has_mapping_key", F.col("mapped_code").isNotNull()).drop("mapped_code")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tieout.operators import attribution, causal, contribution, intercompany, mapping_checks, metrics, profile, rollup, runs
 from tieout.operators.adjustments import adjustment_summary
+from tieout.operators.enrich import fold
 from tieout.scale import per_group, pin
 
 
@@ -88,8 +89,12 @@ def investigate(
     fuzzy: DataFrame | None = None,
     outliers: DataFrame | None = None,
 ) -> Findings:
-    """Gaps, then the primary gap of every group with its evidence, components, causal path and confidence."""
+    """Gaps, then the primary gap of every group with its evidence, components, causal path and confidence.
+
+    The transactions are read once: everything works on their fold, which is written to the shared folder.
+    """
     by = list(by)
+    source = pin(fold(source, by))
     gap_rows = pin(metrics.gap_summary(source, mapping, target, hierarchy, by))
     primary = metrics.primary_metric(gap_rows, by)
     gap = primary.select(*by, F.col("primary_metric").alias("metric"), F.col("primary_gap").alias("gap"))

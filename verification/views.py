@@ -25,9 +25,12 @@ def brand_category(brand):
 class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     @cached_property
     def places(self) -> DataFrame:
@@ -63,31 +66,26 @@ class Views:
             )
             df = df.join(customers, F.col("o_custkey") == F.col("c_custkey"))
             df = df.join(partners, F.col("c_nationkey") == F.col("cn_key"))
-        price = F.col("l_extendedprice").cast("decimal(18,2)")
-        flagged = (F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 1)
-        between = (
-            (F.col("n_regionkey") == F.col("cn_region"))
-            & (F.col("n_nationkey") != F.col("cn_key"))
-            & (F.col("l_returnflag") == "N")
-        ) if own else None
+        brand = "CAST(substring_index(p_brand, '#', -1) AS INT)"
+        flagged = "l_returnflag = 'A' AND l_linestatus = 'F' AND l_linenumber = 1"
+        between = "n_regionkey = cn_region AND n_nationkey != cn_key AND l_returnflag = 'N'"
         made = {
-            "transaction_id": lambda: F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
-            "date": lambda: F.col("l_shipdate").cast("timestamp"),
-            "period": lambda: F.concat(F.year("l_shipdate").cast("string"), F.lit("Q"), F.quarter("l_shipdate").cast("string")),
-            "account_code": lambda: F.col("p_brand"),
-            "entity_code": lambda: F.col("n_name"),
-            "business_unit": lambda: F.concat(F.lit("BU_"), (F.col("n_nationkey") % 4).cast("string")),
-            "region": lambda: F.col("r_name"),
-            "segment": lambda: F.concat(F.lit("SEG_"), (F.col("n_nationkey") % 3).cast("string")),
-            "amount": lambda: F.when(brand_category(F.col("p_brand")) == "Revenue", price)
-            .otherwise(-price).cast("decimal(18,2)"),
-            "currency": lambda: F.lit("USD"),
-            "is_intercompany": lambda: between,
-            "counterparty_entity": lambda: F.when(between, F.col("cn_name")),
-            "adjustment_flag": lambda: flagged,
-            "adjustment_type": lambda: F.when(flagged, F.col("o_orderpriority")),
+            "transaction_id": "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)",
+            "date": "CAST(l_shipdate AS TIMESTAMP)",
+            "period": "concat(year(l_shipdate), 'Q', quarter(l_shipdate))",
+            "account_code": "p_brand",
+            "entity_code": "n_name",
+            "business_unit": "concat('BU_', n_nationkey % 4)",
+            "region": "r_name",
+            "segment": "concat('SEG_', n_nationkey % 3)",
+            "amount": f"CAST(if({brand} % 5 IN (0, 1), 1, -1) * CAST(l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(18,2))",
+            "currency": "'USD'",
+            "is_intercompany": between,
+            "counterparty_entity": f"if({between}, cn_name, NULL)",
+            "adjustment_flag": flagged,
+            "adjustment_type": f"if({flagged}, o_orderpriority, NULL)",
         }
-        return df.select(*[made[n]().alias(n) for n in names])
+        return df.selectExpr(*[f"{made[n]} AS {n}" for n in names])
 
     @cached_property
     def full_mapping(self) -> DataFrame:
@@ -111,6 +109,17 @@ class Views:
             F.concat(F.lit("SEG_"), (F.col("n_nationkey") % 3).cast("string")).alias("segment"),
         )
 
+    @cached_property
+    def supplier_hierarchy(self) -> DataFrame:
+        """One entity per supplier."""
+        s = self.table("supplier").join(self.places, F.col("s_nationkey") == F.col("n_nationkey"))
+        return s.select(
+            F.col("s_name").alias("entity_code"),
+            F.concat(F.lit("BU_"), (F.col("n_nationkey") % 4).cast("string")).alias("business_unit"),
+            F.col("r_name").alias("region"),
+            F.concat(F.lit("SEG_"), (F.col("n_nationkey") % 3).cast("string")).alias("segment"),
+        )
+
     def _reported(self, *keys: str) -> DataFrame:
         rows = self.source(*keys, "account_code", "amount", "is_intercompany").filter(~F.col("is_intercompany"))
         totals = rows.groupBy(*keys, "account_code").agg(F.sum("amount").alias("amount"))
@@ -175,6 +184,34 @@ class Views:
         )
         return rows.groupBy("table_name", "version", "column_name").agg(F.min("data_type").alias("data_type"))
 
+    @cached_property
+    def cells(self) -> DataFrame:
+        """Code cells written from the parts, and every document as a cell of its source."""
+        p = self.table("part")
+        name, kind, brand, size = F.col("p_name"), F.col("p_type"), F.col("p_brand"), F.col("p_size").cast("string")
+        made = [
+            F.concat(F.lit("# Step 3: Load "), name, F.lit("\ndf = spark.read.parquet('x')")),
+            F.concat(F.lit("def clean_"), size, F.lit("(df):\n    return df.filter(df.p_size > "), size, F.lit(").select(['p_brand', 'p_name'])")),
+            F.concat(F.lit("# ===== Match "), kind, F.lit(" =====\nout = a.merge(b, on='p_partkey, p_brand', left_on=[\"x\"])")),
+            F.concat(F.lit("SELECT p_brand, sum(x) AS "), F.lower(kind), F.lit("\nFROM t WHERE p_size > "), size, F.lit("\nGROUP BY p_brand, p_type, p_brand")),
+            F.concat(F.lit("x.groupby(['p_type', \"p_brand\"]).agg(total).where('"), brand, F.lit("')")),
+            F.lit("   "),
+            F.concat(F.lit("some notes on "), name),
+            F.concat(F.lit("out.write.save('"), name, F.lit("')")),
+        ]
+        source = F.coalesce(*[F.when(F.col("p_partkey") % 8 == i, m) for i, m in enumerate(made)])
+        code = p.select(
+            F.concat(F.lit("nb_"), (F.col("p_partkey") % 50).cast("string")).alias("notebook_id"),
+            F.col("p_partkey").alias("cell_index"),
+            F.when(F.col("p_partkey") % 8 == 6, "markdown").otherwise("code").alias("cell_type"),
+            source.alias("cell_source"),
+        )
+        texts = self.table("documents").select(
+            F.coalesce("source", F.lit("none")).alias("notebook_id"), F.col("doc_id").alias("cell_index"),
+            F.lit("code").alias("cell_type"), F.col("text").alias("cell_source"),
+        )
+        return code.unionByName(texts)
+
     @cached_property
     def names(self) -> DataFrame:
         """Part names as mapped codes."""
@@ -197,6 +234,9 @@ class Views:
 
 
 PRELUDE = """
+supplier_hierarchy AS (
+  SELECT s_name AS entity_code, 'BU_' || (n_nationkey % 4) AS business_unit, r_name AS region, 'SEG_' || (n_nationkey % 3) AS segment
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 recon_full_mapping AS (
   SELECT DISTINCT p_brand AS source_account_code, 'TGT_' || p_brand AS target_account_code,
     CASE WHEN CAST(split_part(p_brand, '#', 2) AS INT) % 5 IN (0, 1) THEN 'Revenue'
@@ -254,6 +294,17 @@ inventory AS (
     'c' || (CAST(json_extract_string(props, '$.k') AS INT) % 25) AS column_name,
     min(CASE CAST(json_extract_string(props, '$.k') AS INT) % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'double' ELSE 'bigint' END) AS data_type
   FROM events GROUP BY 1, 2, 3),
+cells AS (
+  SELECT 'nb_' || (p_partkey % 50) AS notebook_id, p_partkey AS cell_index, CASE WHEN p_partkey % 8 = 6 THEN 'markdown' ELSE 'code' END AS cell_type,
+    CASE p_partkey % 8
+      WHEN 0 THEN '# Step 3: Load ' || p_name || chr(10) || 'df = spark.read.parquet(''x'')'
+      WHEN 1 THEN 'def clean_' || p_size || '(df):' || chr(10) || '    return df.filter(df.p_size > ' || p_size || ').select([''p_brand'', ''p_name''])'
+      WHEN 2 THEN '# ===== Match ' || p_type || ' =====' || chr(10) || 'out = a.merge(b, on=''p_partkey, p_brand'', left_on=["x"])'
+      WHEN 3 THEN 'SELECT p_brand, sum(x) AS ' || lower(p_type) || chr(10) || 'FROM t WHERE p_size > ' || p_size || chr(10) || 'GROUP BY p_brand, p_type, p_brand'
+      WHEN 4 THEN 'x.groupby([''p_type'', "p_brand"]).agg(total).where(''' || p_brand || ''')'
+      WHEN 5 THEN '   ' WHEN 6 THEN 'some notes on ' || p_name ELSE 'out.write.save(''' || p_name || ''')' END AS cell_source
+  FROM part
+  UNION ALL SELECT coalesce(source, 'none'), doc_id, 'code', text FROM documents),
 name_mapping AS (
   SELECT DISTINCT p_name AS source_account_code, 'TGT_' || p_name AS target_account_code,
     upper(substr(p_name, 1, 1)) || substr(split_part(p_name, ' ', 1), 2) AS metric_category FROM part),
