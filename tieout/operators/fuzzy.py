@@ -62,6 +62,8 @@ def fuzzy_matches(
 
 def best_matches(left: DataFrame, right: DataFrame, min_score: float, variants_per_code: int = VARIANTS_PER_CODE) -> DataFrame:
     """Best match of each left code; both sides as made by ``distinct_codes``."""
+    # Of codes with the same words only the smallest can be suggested.
+    right = right.groupBy("text", "size").agg(F.min("code").alias("code"))
     left, right = pin(left), pin(right)
     # One row per text length, so this stays small however many codes there are.
     both = left.select(F.lit("l").alias("side"), "size").union(right.select(F.lit("r").alias("side"), "size"))
@@ -211,9 +213,10 @@ def _by_shared_characters(left: DataFrame, right: DataFrame, min_score: float) -
     """
     sides = [df.withColumn("chars", _characters(F.col("text"))) for df in (left, right)]
     counts = sides[0].select(F.explode("chars").alias("c")).union(sides[1].select(F.explode("chars").alias("c"))).groupBy("c").count()
+    frequent = small_side(counts)
 
     def rare(df, mark):
-        ranked = df.select("code", "text", "size", F.explode("chars").alias("c")).join(small_side(counts), "c")
+        ranked = df.select("code", "text", "size", F.explode("chars").alias("c")).join(frequent, "c")
         listed = ranked.groupBy("code", "text", "size").agg(F.sort_array(F.collect_list(F.struct("count", "c"))).alias("l"))
         needed = F.ceil(F.col("size") * min_score / (200 - min_score) - 1e-9).cast("int")
         head = F.slice(F.transform("l", lambda x: x.c), F.lit(1), F.col("size") - needed + 1)
@@ -223,7 +226,7 @@ def _by_shared_characters(left: DataFrame, right: DataFrame, min_score: float) -
         )
         return out.withColumn("c", F.explode(f"{mark}_head"))
 
-    pairs = rare(left, "l").join(rare(right, "r"), "c")
+    pairs = rare(sides[0], "l").join(rare(sides[1], "r"), "c")
     length = F.col("l_size") + F.col("r_size")
     fits = 200 * F.least("l_size", "r_size") >= min_score * length
     first = F.try_element_at(F.array_intersect("l_head", "r_head"), F.lit(1)) == F.col("c")

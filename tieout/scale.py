@@ -35,14 +35,16 @@ def _row_bytes(schema: T.StructType) -> Column:
 
 
 def scratch_folder(spark) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+    """Shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode and where none is named."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="tieout-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tieout-"))
+    return context.getCheckpointDir()
 
 
 def pin(df: DataFrame) -> DataFrame:

@@ -27,18 +27,21 @@ def plain_names(df: DataFrame) -> DataFrame:
 def canonical_names(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     """Rename columns to canonical names.
 
-    A column equal to an alias is preferred, then the first one that contains an alias or is part of
-    one. A column is used once, and a canonical name already present is kept.
+    Columns equal to an alias are taken first; then, for names still missing, the first column that
+    contains an alias or is part of one. A column is used once, and a canonical name already present
+    is kept.
     """
     renames: dict[str, str] = {}
-    for name, others in aliases.items():
-        if name in df.columns:
-            continue
-        free = [c for c in df.columns if c not in renames and c not in aliases]
-        exact = [c for o in others for c in free if c == o]
-        close = [c for c in free if any(o in c or c in o for o in others)]
-        if exact or close:
-            renames[(exact or close)[0]] = name
+    exact = lambda column, alias: column == alias
+    close = lambda column, alias: alias in column or column in alias
+    for fits in (exact, close):
+        for name, others in aliases.items():
+            if name in df.columns or name in renames.values():
+                continue
+            free = [c for c in df.columns if c not in renames and c not in aliases]
+            found = [c for c in free if any(fits(c, o) for o in others)]
+            if found:
+                renames[found[0]] = name
     return df.withColumnsRenamed(renames)
 
 

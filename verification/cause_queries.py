@@ -235,9 +235,9 @@ def fuzzy_names(spark, folder):
 
 @query(fuzzy_sql("odd_names", "name_mapping", 85, "metric_category") + BEST)
 def fuzzy_names_by_characters(spark, folder):
-    """The same search finished by shared characters for every code that one deletion does not settle."""
+    """The same search by shared characters only, as for codes too long to expand."""
     v = Views(spark, folder)
-    return Z.fuzzy_matches(v.odd_names, v.names, 85, variants_per_code=12)
+    return Z.fuzzy_matches(v.odd_names, v.names, 85, variants_per_code=0)
 
 
 @query()
