@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tieout.operators.enrich import PLACES, mapping_keys
+from tieout.operators.enrich import PLACES, fold, mapping_keys
 from tieout.operators.intercompany import intercompany_summary
 from tieout.operators.metrics import gaps, our_metrics, target_metrics
-from tieout.scale import small_side
+from tieout.scale import pin, small_side
 
 FIXES = {
     "add_mapping": "Add missing account codes to mapping table",
@@ -73,21 +73,16 @@ def add_adjustments(source: DataFrame, entries: DataFrame) -> DataFrame:
 
 def compare_gaps(before: DataFrame, after: DataFrame, by: list[str] = ()) -> DataFrame:
     """Gaps before and after a fix in one row per group and metric."""
-    keys = [*by, "metric"]
-    zero = F.lit(0).cast("decimal(28,2)")
-    b, a = before.alias("b"), after.alias("a")
-    match = None
-    for k in keys:
-        same = F.col(f"b.{k}").eqNullSafe(F.col(f"a.{k}"))
-        match = same if match is None else match & same
-    rows = b.join(a, match, "full").select(
-        *[F.coalesce(f"b.{k}", f"a.{k}").alias(k) for k in keys],
-        F.coalesce("b.our_value", zero).alias("before_our_value"),
-        F.coalesce("a.our_value", zero).alias("after_our_value"),
-        F.coalesce("b.target_value", zero).alias("target_value"),
-        F.coalesce("b.gap", zero).alias("gap_before"),
-        F.coalesce("a.gap", zero).alias("gap_after"),
-    )
+    keys, zero = [*by, "metric"], F.lit(0).cast("decimal(28,2)")
+
+    def side(df, our, gap, target):
+        values = {"before_our_value": zero, "after_our_value": zero, "target_value": zero, "gap_before": zero, "gap_after": zero}
+        values |= {our: F.col("our_value"), gap: F.col("gap")} | ({"target_value": F.col("target_value")} if target else {})
+        return df.select(*keys, *[v.cast("decimal(28,2)").alias(n) for n, v in values.items()])
+
+    both = side(before, "before_our_value", "gap_before", True).unionByName(side(after, "after_our_value", "gap_after", False))
+    totals = [c for c in both.columns if c not in keys]
+    rows = both.groupBy(*keys).agg(*[F.sum(c).cast("decimal(28,2)").alias(c) for c in totals])
     closed = (F.col("gap_before") - F.col("gap_after")).cast("decimal(28,2)")
     rate = F.abs(closed.cast("double") / F.col("gap_before").cast("double") * 100)
     return rows.withColumn("gap_closed", closed).withColumn(
@@ -104,9 +99,13 @@ def preview_fix(
     hierarchy: DataFrame | None = None,
     by: list[str] = (),
 ) -> DataFrame:
-    """Metrics and gaps before and after a fix. The tables themselves stay as they are."""
+    """Metrics and gaps before and after a fix. The tables themselves stay as they are.
+
+    Both computations work on the fold of the transactions, which are so read once.
+    """
     if fix not in FIXES:
         raise ValueError(f"unknown fix {fix!r}, expected one of {sorted(FIXES)}")
+    source = pin(fold(source, by))
     new_source, new_mapping, new_hierarchy = source, mapping, hierarchy
     if fix == "add_mapping":
         new_mapping = add_mapping(mapping, entries)

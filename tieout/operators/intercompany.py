@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tieout import defaults as D
-from tieout.operators.enrich import without_accounts
+from tieout.operators.enrich import rows_in, without_accounts
 
 
 def intercompany_rows(source: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
@@ -13,15 +13,21 @@ def intercompany_rows(source: DataFrame, excluded: DataFrame | None = None) -> D
 
 
 def _pair_sums(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Both directions of every pair in one row, from a single aggregation and without a self-join."""
+    """Both directions of every pair in one row, from a single aggregation and without a self-join.
+
+    Rows that lack an entity or counterparty are kept together under null keys, for the totals only.
+    """
     a, b = F.col("entity_code"), F.col("counterparty_entity")
-    forward = a <= b
-    known = rows.filter(a.isNotNull() & b.isNotNull())
-    return known.groupBy(*by, F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).agg(
-        F.sum(F.when(forward, F.col("amount"))).alias("forward"),
-        F.sum(F.when(~forward, F.col("amount"))).alias("backward"),
+    known, forward = a.isNotNull() & b.isNotNull(), a <= b
+    zero = F.lit(0).cast("decimal(28,2)")
+    total = lambda value: F.coalesce(F.sum(value).cast("decimal(28,2)"), zero)
+    return rows.groupBy(*by, F.when(known, F.least(a, b)).alias("low"), F.when(known, F.greatest(a, b)).alias("high")).agg(
+        total(F.when(forward, F.col("amount"))).alias("forward"),
+        total(F.when(~forward, F.col("amount"))).alias("backward"),
         F.max(forward).alias("has_forward"),
         F.max(~forward).alias("has_backward"),
+        rows_in(rows).alias("row_count"),
+        total(F.col("amount")).alias("amount"),
     )
 
 
@@ -33,10 +39,8 @@ def pair_balances(rows: DataFrame, by: list[str] = (), directed: bool = True) ->
     pair once.
     """
     by = list(by)
-    zero = F.lit(0).cast("decimal(28,2)")
-    sums = _pair_sums(rows, by)
-    fwd, back = F.coalesce("forward", zero).cast("decimal(28,2)"), F.coalesce("backward", zero).cast("decimal(28,2)")
-    own = F.col("low") == F.col("high")
+    sums = _pair_sums(rows, by).filter(F.col("low").isNotNull())
+    fwd, back, own = F.col("forward"), F.col("backward"), F.col("low") == F.col("high")
     if not directed:
         out = sums.select(*by, F.col("low").alias("entity"), F.col("high").alias("counterparty"),
                           fwd.alias("debit_amount"), back.alias("credit_amount"))
@@ -67,21 +71,24 @@ def intercompany_findings(source: DataFrame, excluded: DataFrame | None = None,
 
 
 def intercompany_summary(source: DataFrame, excluded: DataFrame | None = None, by: list[str] = ()) -> DataFrame:
-    """Transactions, total, open pairs and open amount per group."""
+    """Transactions, total, open directed pairs and open amount per group, from one pass over the transactions."""
     by = list(by)
     rows = intercompany_rows(source, excluded)
     none, zero = F.lit(0).cast("long"), F.lit(0).cast("decimal(28,2)")
-    weight = F.col("row_count") if "row_count" in rows.columns else F.lit(1).cast("long")
-    counted = rows.select(*by, weight.alias("n"), F.col("amount").cast("decimal(28,2)").alias("t"),
-                          F.lit(0).cast("long").alias("p"), zero.alias("u"))
-    findings = intercompany_findings(source, excluded, by)
-    open_pairs = findings.select(*by, none.alias("n"), zero.alias("t"), F.lit(1).cast("long").alias("p"),
-                                 F.abs(F.col("net_uneliminated")).cast("decimal(28,2)").alias("u"))
-    return counted.unionByName(open_pairs).groupBy(*by).agg(
-        F.coalesce(F.sum("n"), none).alias("ic_transaction_count"),
-        F.coalesce(F.sum("t"), zero).alias("total_ic_amount"),
-        F.coalesce(F.sum("p"), none).alias("uneliminated_pair_count"),
-        F.coalesce(F.sum("u"), zero).alias("uneliminated_amount"),
+    if "counterparty_entity" in source.columns:
+        sums = _pair_sums(rows, by)
+        own = F.col("low") == F.col("high")
+        net = F.when(own, F.col("forward") * 2).otherwise(F.col("forward") + F.col("backward"))
+        ways = F.col("has_forward").cast("int") + F.col("has_backward").cast("int")
+        is_open = F.col("low").isNotNull() & (F.abs(net) > F.lit("0.01").cast("decimal(3,2)"))
+    else:
+        sums = rows.groupBy(*by, "entity_code").agg(rows_in(rows).alias("row_count"), F.sum("amount").alias("amount"))
+        net, ways, is_open = F.col("amount"), F.lit(1), F.col("entity_code").isNotNull()
+    return sums.groupBy(*by).agg(
+        F.coalesce(F.sum("row_count"), none).alias("ic_transaction_count"),
+        F.coalesce(F.sum("amount").cast("decimal(28,2)"), zero).alias("total_ic_amount"),
+        F.coalesce(F.sum(F.when(is_open, ways)), none).alias("uneliminated_pair_count"),
+        F.coalesce(F.sum(F.when(is_open, F.abs(net) * ways)).cast("decimal(28,2)"), zero).alias("uneliminated_amount"),
     )
 
 

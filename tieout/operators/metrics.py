@@ -129,19 +129,15 @@ def target_metrics(target: DataFrame, by: list[str] = ()) -> DataFrame:
 
 
 def compare_totals(ours: DataFrame, target: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Full join of both sides on group and metric; a missing side is zero."""
-    keys = [*by, "metric"]
-    left, right = ours.alias("o"), target.alias("t")
-    match = None
-    for k in keys:
-        same = F.col(f"o.{k}").eqNullSafe(F.col(f"t.{k}"))
-        match = same if match is None else match & same
-    zero = F.lit(0).cast("decimal(28,2)")
-    return left.join(right, match, "full").select(
-        *[F.coalesce(F.col(f"o.{k}"), F.col(f"t.{k}")).alias(k) for k in keys],
-        F.coalesce(F.col("our_value").cast("decimal(28,2)"), zero).alias("our_value"),
-        F.coalesce(F.col("target_value").cast("decimal(28,2)"), zero).alias("target_value"),
-    )
+    """Both sides per group and metric; a missing side is zero.
+
+    An outer join by union and aggregation: null groups match, and only one shuffle of totals is needed.
+    """
+    keys, zero = [*by, "metric"], F.lit(0).cast("decimal(28,2)")
+    left = ours.select(*keys, F.col("our_value").cast("decimal(28,2)").alias("our_value"), zero.alias("target_value"))
+    right = target.select(*keys, zero.alias("our_value"), F.col("target_value").cast("decimal(28,2)").alias("target_value"))
+    total = lambda c: F.coalesce(F.sum(c).cast("decimal(28,2)"), zero).alias(c)
+    return left.unionByName(right).groupBy(*keys).agg(total("our_value"), total("target_value"))
 
 
 def gaps(
