@@ -376,3 +376,49 @@ def test_notebook_steps(rows):
     assert got["one", 0].transform_type == "unknown" and got["two", 5].step_name == "shape_it"
     edges = {(r.notebook_id, r.from_step, r.to_step) for r in notebooks.step_edges(steps).collect()}
     assert edges == {("n", "load_data", "step_3"), ("n", "step_3", "step_4")}
+
+
+def test_assumed_steps(rows):
+    none = notebooks.notebook_steps(rows("notebook_id string, cell_index int, cell_type string, cell_source string"))
+    assert [r.step_name for r in notebooks.steps_or_assumed(none).orderBy("step_index").collect()] == ["source_ingest", "mapping_apply", "metric_aggregation"]
+    some = notebooks.notebook_steps(rows("notebook_id string, cell_index int, cell_type string, cell_source string", ("n", 0, "code", "x")))
+    assert notebooks.steps_or_assumed(some) is some
+
+
+def test_run_times_of_steps(rows):
+    log = rows("task_name string, start_time timestamp, end_time timestamp, status string", ("a", None, datetime(2024, 1, 1), "old"), ("a", None, datetime(2024, 1, 2), None))
+    got = {r.step_name: (r.end_time, r.status) for r in runs.with_run_times(rows("step_name string", ("a",), ("b",)), log).collect()}
+    assert got == {"a": (datetime(2024, 1, 2), "unknown"), "b": (None, None)}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_are_cut_before_the_shuffle(rows):
+    source = rows(SOURCE, line(1, "a", 10, "A", True, "B"))
+    assert plan_of(intercompany.pair_samples(intercompany.intercompany_rows(source))).count("WindowGroupLimit") == 2
+    findings = rows("g string, v int", ("a", 1))
+    assert plan_of(attribution.drill_down(findings, ["g"], [F.col("v").desc()])).count("WindowGroupLimit") == 2
+
+
+def test_no_check_joins_unaggregated_transactions_or_makes_pairs(rows):
+    source = rows(SOURCE, line(1, "a", 10, "A", True, "B"))
+    mapping = rows(MAPPING, ("a", "T", "Revenue"))
+    for df in (
+        metrics.our_metrics(source, mapping), profile.mapping_coverage(source, mapping), intercompany.intercompany_summary(source),
+        mapping_checks.mapping_gap(mapping_checks.unmapped_totals(source, mapping)), intercompany.intercompany_findings(source),
+    ):
+        plan = plan_of(df)
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+        assert plan.rstrip().count("partial_sum") >= 1
+
+
+def test_hot_account_is_summed_before_the_shuffle(spark):
+    hot = spark.range(0, 20000, 1, 4).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), (F.col("id") % 50).cast("string"))).alias("account_code"),
+        F.lit(1).cast("decimal(18,2)").alias("amount"), F.lit(False).alias("is_intercompany"),
+    )
+    plan = plan_of(enrich.fold(hot))
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Exchange hashpartitioning") < plan.index("partial_sum")
+    assert enrich.fold(hot).filter("account_code = 'hot'").first().row_count == 6667

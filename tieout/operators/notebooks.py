@@ -92,6 +92,23 @@ def notebook_steps(cells: DataFrame) -> DataFrame:
     )
 
 
+# The steps assumed when no notebook is known.
+ASSUMED_STEPS = [
+    ("source_ingest", 0, "ingest", [], [], [], []),
+    ("mapping_apply", 1, "lookup_join", ["account_code", "source_account_code"], [], [], []),
+    ("metric_aggregation", 2, "aggregate", [], ["is_intercompany == False"], ["amount"], ["metric_category", "amount"]),
+]
+
+
+def steps_or_assumed(steps: DataFrame) -> DataFrame:
+    """The steps themselves, or the assumed ones when there are none."""
+    if not steps.isEmpty():
+        return steps
+    lists = ["join_keys", "filter_conditions", "aggregation_columns", "output_schema"]
+    schema = "step_name string, step_index int, transform_type string, " + ", ".join(f"{c} array<string>" for c in lists)
+    return steps.unionByName(steps.sparkSession.createDataFrame(ASSUMED_STEPS, schema), allowMissingColumns=True)
+
+
 def step_edges(steps: DataFrame) -> DataFrame:
     """Edge from every step to the next one of its notebook.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tieout import defaults as D
 from tieout.scale import small_side
@@ -33,6 +33,13 @@ def latest_runs(run_log: DataFrame, keys: list[str] = ("pipeline_id", "side")) -
     )
 
 
+def recent_tasks(run_log: DataFrame, keys: list[str] = ("pipeline_id", "side"), n: int = D.TOP_N) -> DataFrame:
+    """The newest ``n`` tasks per feed and side; ranks are cut in every task before the shuffle."""
+    finished = F.coalesce("end_time", "start_time")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(finished.desc(), F.col("task_name").desc()))
+    return run_log.select(*keys, "task_name", place.alias("place")).filter(F.col("place") <= n)
+
+
 def paired_runs(run_log: DataFrame, key: str = "pipeline_id") -> DataFrame:
     """Latest run of both sides of every feed in one row; a side may be missing."""
     latest = latest_runs(run_log, [key, "side"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from tieout import defaults as D
 
+CELL_DELIMITER = "# COMMAND ----------"  # fixed value: line between the cells of an exported notebook
 INVENTORY = T.StructType([T.StructField(c, T.StringType()) for c in ("table_name", "version", "column_name", "data_type")])
 
 
@@ -91,3 +92,11 @@ def run_history(
 
 def all_runs(*histories: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, histories)
+
+
+def notebook_cells(notebooks: DataFrame, delimiter: str = CELL_DELIMITER) -> DataFrame:
+    """Cells of exported notebooks (notebook_id, content): trimmed, numbered from zero, without empty ones."""
+    trimmed = F.transform(F.split("content", "\\Q" + delimiter + "\\E"), lambda c: F.regexp_replace(c, r"^\s+|\s+$", ""))
+    return notebooks.select("notebook_id", F.posexplode(F.filter(trimmed, lambda c: c != "")).alias("cell_index", "cell_source")).select(
+        "notebook_id", "cell_index", F.lit("code").alias("cell_type"), "cell_source"
+    )

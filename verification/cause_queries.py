@@ -180,6 +180,16 @@ def latest_runs(spark, folder):
     return rows.withColumn("k", F.col("parameters")["k"]).withColumn("last_run_ts", F.col("last_run_ts").cast("timestamp_ntz")).drop("parameters")
 
 
+@query(
+    """
+    SELECT pipeline_id, side, task_name, CAST(row_number() OVER (PARTITION BY pipeline_id, side ORDER BY end_time DESC, task_name DESC) AS INT) AS place
+    FROM run_log QUALIFY place <= 10
+    """
+)
+def recent_tasks(spark, folder):
+    return R.recent_tasks(Views(spark, folder).run_log)
+
+
 @query(
     LATEST
     + """
@@ -713,6 +723,21 @@ def regions_after_hierarchy_fix(spark, folder):
 
 # ---------------------------------------------------------------- notebook steps
 
+
+@query(
+    """
+    , c AS (SELECT doc_id AS notebook_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l
+      FROM documents)
+    SELECT notebook_id, CAST(unnest(range(len(l))) AS INT) AS cell_index, 'code' AS cell_type, unnest(l) AS cell_source FROM c
+    """
+)
+def notebook_cells(spark, folder):
+    """Documents as exported notebooks with one cell per line."""
+    content = F.replace("text", F.lit("\n"), F.lit("\n" + remote.CELL_DELIMITER + "\n"))
+    docs = Views(spark, folder).table("documents")
+    return remote.notebook_cells(docs.select(F.col("doc_id").alias("notebook_id"), content.alias("content")))
+
+
 STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 
 
