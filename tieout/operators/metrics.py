@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tieout import defaults as D
 from tieout.functions import contains_text, gap_status, is_headline, money, percent
 from tieout.operators.enrich import map_accounts, not_intercompany, place_entities
-from tieout.scale import per_group
+from tieout.scale import per_group, small_side
 
 
 def base_totals(source: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,7 +97,7 @@ def headline_rows(target: DataFrame, by: list[str] = ()) -> DataFrame:
         found = target.filter(headline)
         return target if found.isEmpty() else found
     known = target.groupBy(*by).agg(F.max(headline).alias("_any"))
-    return per_group(target, known, list(by), ["_any"]).filter(headline | ~F.col("_any")).drop("_any")
+    return per_group(target, small_side(known), list(by), ["_any"]).filter(headline | ~F.col("_any")).drop("_any")
 
 
 def detail_rows(target: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def running_total(df: DataFrame, by: list[str], order: list, value: str, out: st
         match = match & F.col(k).eqNullSafe(F.col(f"_by_{k}"))
     inside = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        ranged.join(offsets, match)
+        ranged.join(small_side(offsets), match)
         .withColumn(out, F.col("_before") + F.sum(value).over(inside))
         .drop("_slice", "_of", "_before", *[f"_by_{k}" for k in by])
     )

@@ -52,7 +52,7 @@ def load_source(spark, folder):
         raw_amount().alias("Net Amount"),
         F.when(F.col("l_returnflag") == "A", "Yes").when(F.col("l_returnflag") == "N", "False").alias("Is Intercompany"),
     )
-    return as_report(files.load_source(raw), "amount")
+    return as_report(files.load_source(raw), "amount").withColumn("date", F.col("date").cast("timestamp_ntz"))
 
 
 @query(
