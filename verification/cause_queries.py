@@ -642,7 +642,7 @@ def preview_elimination_fix(spark, folder):
 @query(
     PAIRS
     + """
-    , half AS (SELECT entity, counterparty, net FROM open WHERE entity <= counterparty),
+    , half AS (SELECT DISTINCT least(entity, counterparty) AS entity, greatest(entity, counterparty) AS counterparty, net FROM open),
     after AS (SELECT least(entity_code, counterparty_entity) AS a, greatest(entity_code, counterparty_entity) AS b, amount FROM recon_source WHERE is_intercompany
       UNION ALL SELECT entity, counterparty, -net FROM half),
     left_open AS (SELECT a, b, sum(amount) AS net FROM after GROUP BY 1, 2 HAVING abs(sum(amount)) > 0.01)
