@@ -87,7 +87,7 @@ def without_accounts(df: DataFrame, excluded: DataFrame | None) -> DataFrame:
     if excluded is None:
         return df
     codes = excluded.select(F.col("account_code").alias("_excluded")).distinct()
-    return df.join(codes, df.account_code == F.col("_excluded"), "left_anti")
+    return df.join(small_side(codes), df.account_code == F.col("_excluded"), "left_anti")
 
 
 def unmapped_rows(source: DataFrame, mapping: DataFrame) -> DataFrame:

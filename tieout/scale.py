@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+_FOLDERS: set[str] = set()
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -47,17 +48,25 @@ def scratch_folder(spark) -> str:
     return context.getCheckpointDir()
 
 
+def application_folder(spark) -> str:
+    """This application's part of the shared folder; Hadoop removes it when the application ends."""
+    path = f"{scratch_folder(spark)}/tieout-{spark.sparkContext.applicationId}"
+    if path not in _FOLDERS:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(hadoop)
+        files.deleteOnExit(hadoop)
+        _FOLDERS.add(path)
+    return path
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so later stages neither repeat it nor lose it."""
-    path = f"{scratch_folder(df.sparkSession)}/tieout-{uuid.uuid4().hex}"
+    path = f"{application_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def per_group(df: DataFrame, one_row: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Attach the columns of a frame with one row per ``by`` group (one row in all when ``by`` is empty)."""
     if by:
