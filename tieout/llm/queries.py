@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tieout.llm import language_id, lm_scoring, near_dedup, sentence_pieces, sharding, substring_dedup, token_counts
+from tieout.llm import decontamination, language_id, lm_scoring, near_dedup, sentence_pieces, sharding, substring_dedup, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,29 @@ def op9_language_id(spark, folder):
 def op10_token_counts(spark, folder):
     """Tokens of every line of every document; a token across a line end goes to the line of its first byte."""
     return token_counts.section_tokens(_table(spark, folder, "documents"))
+
+
+@query
+def op4_decontamination(spark, folder):
+    """Words of every document that lie in windows of benchmark items."""
+    return decontamination.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+ORACLES["op4_decontamination"] = r"""
+WITH words AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents),
+items AS (
+  SELECT item_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, w[i : i + least(len(w), 10) - 1] AS v
+  FROM items, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+places AS (
+  SELECT doc_id, n, i, w[i : i + n - 1] AS v
+  FROM words, (SELECT DISTINCT n FROM windows) AS lengths, unnest(range(1, len(w) - n + 2)) AS t(i)),
+hits AS (SELECT doc_id, i, p.n, item_id FROM places p JOIN windows x ON p.n = x.n AND p.v = x.v),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM hits, unnest(range(i, i + n)) AS t(j) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
