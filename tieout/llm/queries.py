@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tieout.llm import decontamination, language_id, lm_scoring, near_dedup, sentence_pieces, sharding, substring_dedup, token_counts
+from tieout.llm import decontamination, fingerprints, language_id, lm_scoring, near_dedup, sentence_pieces, sharding, substring_dedup, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,9 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+
+@query
+def op7_fingerprints(spark, folder):
+    """Fingerprints of all texts and of their edited texts."""
+    return fingerprints.edited_fingerprints(_table(spark, folder, "documents"))
