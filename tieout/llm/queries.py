@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tieout.llm import decontamination, fingerprints, language_id, lm_scoring, near_dedup, sentence_pieces, sharding, substring_dedup, token_counts
+from tieout.llm import decontamination, fingerprints, language_id, licenses, lm_scoring, near_dedup, sentence_pieces, sharding, substring_dedup, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,9 @@ FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 def op7_fingerprints(spark, folder):
     """Fingerprints of all texts and of their edited texts."""
     return fingerprints.edited_fingerprints(_table(spark, folder, "documents"))
+
+
+@query
+def op6_license_scan(spark, folder):
+    """Licence statements of all documents by family."""
+    return licenses.license_statements(_table(spark, folder, "documents"))
