@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tieout.llm.common import fold
+from tieout.llm.common import fold, small_side
 from tieout.llm.words import text_slices
 
 ORDER = 3
@@ -24,13 +24,17 @@ UNDEFINED = "und"
 def training_rows(docs: DataFrame, most: int = TRAIN_DOCS, longest: int = TRAIN_BYTES) -> DataFrame:
     """(lang, text): at most ``most`` whole texts per language, those with the smallest hash of their id.
 
-    Ranks are cut in every task before the shuffle, so a language with most of the rows sends few.
+    Documents are counted first; with that number all but a few times as many hashes as wanted are cut where the rows
+    are read, so a language with most of the rows sends no more than the others.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     known = docs.where(fold(F.col("doc_id")) != TEST_FOLD).where("lang IS NOT NULL AND text IS NOT NULL").where((F.octet_length(text) <= longest) & (F.length(text) > 0))
     keyed = known.select("lang", "text", F.xxhash64("doc_id", F.lit(9)).alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    return keyed.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "text")
+    counts = small_side(known.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("n")))
+    share = F.col("h").bitwiseAND(F.lit(2**63 - 1)) / F.lit(2.0**63)
+    near = keyed.join(counts, F.col("lang") == F.col("_lang")).where(share * F.col("n") < 4.0 * most + 100)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(share, "h", "text"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "text")
 
 
 def context_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
