@@ -18,8 +18,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_CHARS = 6_000_000
-KNOWN_CHUNKS = 400_000  # encoded chunks that a task keeps for its next batches; it starts anew beyond them
+BATCH_CHARS = 2_000_000
+KNOWN_CHUNKS = 600_000  # encoded chunks that a worker keeps for its next batches; it starts anew beyond them
 MARK = "▁"
 CHARACTER = 1 << 24  # a character that is no piece has this number and more
 BEGIN = 1 << 26  # stands before the first piece of a chunk
@@ -265,6 +265,11 @@ def _texts(batches, most: int):
             first = end
 
 
+@lru_cache(maxsize=1)
+def _encoded(name: str, most: int) -> Encoded:
+    return Encoded(_vocabulary(name), most)
+
+
 def encode(docs: DataFrame, model: str = MODEL, batch_chars: int = BATCH_CHARS, decode: bool = False, most_known: int = KNOWN_CHUNKS) -> DataFrame:
     """``docs`` with ``piece_ids`` (and ``decoded`` if wanted), named so that no column of ``docs`` is lost.
 
@@ -280,8 +285,8 @@ def encode(docs: DataFrame, model: str = MODEL, batch_chars: int = BATCH_CHARS,
     fields += [T.StructField("decoded", T.StringType())] if decode else []
 
     def run(batches):
-        vocabulary = _vocabulary(name)
-        known = Encoded(vocabulary, most_known)
+        known = _encoded(name, most_known)
+        vocabulary = known.vocabulary
         for batch in _texts(batches, batch_chars):
             texts = batch.column("text")
             flat, ends = known.texts(texts.to_pylist())
