@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, types as T
 
@@ -52,6 +54,10 @@ class Vocabulary:
         for value, i in enumerate(self.bytes.tolist()):
             if i >= 0:
                 self.as_bytes[i] = bytes([value])
+        spaced = [b.replace(MARK.encode(), b" ") for b in self.as_bytes]
+        self.byte_sizes = np.array([len(b) for b in spaced], np.int64)
+        self.byte_starts = np.cumsum(self.byte_sizes) - self.byte_sizes
+        self.byte_pool = np.frombuffer(b"".join(spaced), np.uint8)
         self.listed = sorted(self.ids)
         self._pairs, self._fits = np.zeros(0, np.int64), np.zeros(0, bool)
 
@@ -221,17 +227,19 @@ class Encoded:
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text begins and ends in them; a null text has none."""
         parted = [_chunks(t or "") for t in texts]
-        new = list(dict.fromkeys(c for p in parted for c in p if c not in self.place))
+        counts = np.cumsum([0, *map(len, parted)])
+        every = list(chain.from_iterable(parted))
+        distinct = dict.fromkeys(every)
+        new = [c for c in distinct if c not in self.place]
         if len(self.place) + len(new) > self.most:
             self.clear()
-            new = list(dict.fromkeys(c for p in parted for c in p))
+            new = list(distinct)
         if new:
             ids, sizes = encode_chunks(new, self.vocabulary)
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
             self.ids = np.append(self.ids, ids)
             self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
-        counts = np.cumsum([0] + [len(p) for p in parted])
-        which = np.fromiter((self.place[c] for p in parted for c in p), np.int64, int(counts[-1]))
+        which = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))
         sizes = self.starts[which + 1] - self.starts[which]
         ends = np.append(0, np.cumsum(sizes))
         flat = self.ids[np.arange(int(ends[-1])) + np.repeat(self.starts[which] - ends[:-1], sizes)]
@@ -253,6 +261,20 @@ def decode_ids(ids, vocabulary: Vocabulary) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
+def decode_all(flat: np.ndarray, ends: np.ndarray, missing: pa.Array, vocabulary: Vocabulary) -> pa.Array:
+    """Texts of many rows of ids at once, for ids that encoding has given: bytes of all pieces, without each first space."""
+    sizes = vocabulary.byte_sizes[flat]
+    bounds = np.append(0, np.cumsum(sizes))
+    at = np.arange(int(bounds[-1]), dtype=np.int64) + np.repeat(vocabulary.byte_starts[flat] - bounds[:-1], sizes)
+    data, begin, end = vocabulary.byte_pool[at], bounds[ends[:-1]], bounds[ends[1:]]
+    keep = np.ones(len(data), bool)
+    keep[begin[end > begin]] = False
+    lengths = np.maximum(end - begin - 1, 0)
+    offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
+    valid = pa.compute.invert(missing)
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[keep])), pa.array(valid).buffers()[1])
+
+
 def _texts(batches, most: int):
     """Rows of batches in runs of about ``most`` characters."""
     for batch in batches:
@@ -294,8 +316,7 @@ def encode(docs: DataFrame, model: str = MODEL, batch_chars: int = BATCH_CHARS,
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=missing)
             batch = batch.append_column("piece_ids", ids)
             if decode:
-                back = [None if gone else decode_ids(flat[a:b].tolist(), vocabulary) for gone, a, b in zip(missing.to_pylist(), ends[:-1].tolist(), ends[1:].tolist())]
-                batch = batch.append_column("decoded", pa.array(back, pa.string()))
+                batch = batch.append_column("decoded", decode_all(flat, ends, missing, vocabulary))
             yield batch
 
     return kept.mapInArrow(run, T.StructType(fields))
