@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_CHARS = 2_000_000
-KNOWN_CHUNKS = 600_000  # encoded chunks that a worker keeps for its next batches; it starts anew beyond them
+KNOWN_CHUNKS = 1_200_000  # encoded chunks that a worker keeps for its next batches; it starts anew beyond them
 MARK = "▁"
 CHARACTER = 1 << 24  # a character that is no piece has this number and more
 BEGIN = 1 << 26  # stands before the first piece of a chunk
@@ -278,7 +278,7 @@ def decode_all(flat: np.ndarray, ends: np.ndarray, missing: pa.Array, vocabulary
 def _texts(batches, most: int):
     """Rows of batches in runs of about ``most`` characters."""
     for batch in batches:
-        sizes = np.cumsum([len(t or "") for t in batch.column("text").to_pylist()])
+        sizes = np.cumsum(pa.compute.fill_null(pa.compute.utf8_length(batch.column("text")), 0).to_numpy())
         first = 0
         while first < batch.num_rows:
             base = int(sizes[first - 1]) if first else 0
