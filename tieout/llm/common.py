@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tieout.scale import pin, small_side
 
-__all__ = ["pin", "small_side", "lower_ascii", "fold", "fold_of", "within"]
+__all__ = ["pin", "small_side", "lower_ascii", "fold", "fold_of", "free", "within"]
 
 
 def fold(doc_id: Column) -> Column:
@@ -29,6 +29,13 @@ def lower_ascii(text: Column) -> Column:
     return F.when(other, F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(text))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until ``df`` has no such column."""
+    while name.lower() in [c.lower() for c in df.columns]:
+        name += "_"
+    return name
+
+
 def within(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``ids`` (one column of that name); broadcast only if counted small."""
     return df.join(small_side(ids.select(F.col(key).alias("_wanted"))), F.col(key) == F.col("_wanted"), "left_semi")

@@ -13,7 +13,9 @@ from tieout.llm.common import lower_ascii, pin, small_side
 
 WINDOW = 10
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-EDGE = r"(?<=[\x00-\x2F\x3A-\x60\x7B-\x7F])(?=[^\x00-\x2F\x3A-\x60\x7B-\x7F])|(?<=[^\x00-\x2F\x3A-\x60\x7B-\x7F])(?=[\x00-\x2F\x3A-\x60\x7B-\x7F])"
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # no word character in a text that is not lower-cased
+INSIDE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+EDGE = f"(?<={BETWEEN})(?={INSIDE})|(?<={INSIDE})(?={BETWEEN})"
 _ROW = -1  # stands in the looked-up hashes of every document once, so that its own row is found too
 
 
@@ -83,23 +85,23 @@ def _candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def _hits(docs: DataFrame, found: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, key, at, length, item_id): candidates whose words are those of the window."""
-    looked = found.where("at >= 0").select("doc_id", "key", "at", "length", "hash").distinct()
+    """(doc_id, key, n_words, at, length, item_id): candidates whose words are those of the window."""
+    looked = found.where("at >= 0").select("doc_id", "key", "n_words", "at", "length", "hash").distinct()
     of = small_side(looked.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     texts = texts.join(of, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left_semi").dropDuplicates(["doc_id", "key"])
     texts = texts.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), words_of(F.col("text")).alias("_words"))
     both = looked.join(texts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")))
-    both = both.select("doc_id", "key", "at", "length", "hash", F.slice("_words", F.col("at") + 1, F.col("length")).alias("there"))
+    both = both.select("doc_id", "key", "n_words", "at", "length", "hash", F.slice("_words", F.col("at") + 1, F.col("length")).alias("there"))
     items = windows.select("item_id", F.col("hash").alias("_hash"), F.col("words").alias("_item_words"))
     same = (F.col("hash") == F.col("_hash")) & (F.col("there") == F.col("_item_words"))
-    return pin(both.join(items, same).select("doc_id", "key", "at", "length", "item_id"))
+    return pin(both.join(items, same).select("doc_id", "key", "n_words", "at", "length", "item_id"))
 
 
 def _covered(hits: DataFrame) -> DataFrame:
-    """(_doc, _key, covered, items): word positions inside any window, and the items, for each text; bounded by the text and the benchmark."""
+    """(_doc, _key, of_words, covered, items): number of words, word positions inside any window, and the items, for each text; bounded by the text and the benchmark."""
     inside = F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("length") - 1))))
-    return hits.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(inside.alias("covered"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    return hits.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.max("n_words").alias("of_words"), inside.alias("covered"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -126,16 +128,19 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     Other rows and all other columns stay as they are.
     """
     windows = benchmark_windows(benchmark, window)
-    covered = _covered(_hits(docs, _candidates(docs, windows), windows)).select("_doc", "_key", "covered")
+    covered = _covered(_hits(docs, _candidates(docs, windows), windows)).select("_doc", "_key", "of_words", "covered")
     covered = small_side(pin(covered))
-    own = docs.withColumn("_of", F.xxhash64("text"))
-    joined = own.join(covered, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_of") == F.col("_key")), "left")
-    parts = F.split("text", EDGE)
-    begins = F.when(F.element_at(parts, 1).rlike(GAP), 1).otherwise(0)  # place of the first word among the parts
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_of"))
+    joined = own.join(covered, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_of") == F.col("_key")), "left")
+    parts = F.when(F.col("covered").isNotNull(), F.split("text", EDGE))
+    # Columns of their own, so that no part evaluates them again; the place of the first word among the parts is 0 or 1.
+    joined = joined.withColumn("_parts", parts).withColumn("_begins", F.when(F.element_at("_parts", 1).rlike(BETWEEN), 1).otherwise(0))
+    begins = F.col("_begins")
     is_in = lambda i: F.coalesce(F.array_contains("covered", i), F.lit(False))
     word = lambda i: ((i - begins) / 2).cast("int")
     stays = lambda p, i: F.when((i - begins) % 2 == 0, ~is_in(word(i))).otherwise(~(is_in(word(i - 1)) & is_in(word(i + 1))))
-    left = F.array_join(F.filter(parts, stays), "")
+    left = F.array_join(F.filter("_parts", stays), "")
     cut = F.when(F.col("covered").isNull(), F.col("text")).otherwise(left)
-    joined = joined.withColumn("text", cut).where(F.col("covered").isNull() | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"))
-    return joined.select(*docs.columns)
+    # Which documents go is told by counts: a condition on the new text would be evaluated inside the loops above.
+    joined = joined.where(F.col("covered").isNull() | (F.size("covered") < F.col("of_words"))).withColumn("text", cut)
+    return joined.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

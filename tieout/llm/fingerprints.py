@@ -33,7 +33,7 @@ def sample_score(term: Column, log_weight: Column, sample: int) -> Column:
 
 def _terms(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, term): a hash of every word; a text without words has one empty word."""
-    words = texts.select(*keys, F.explode(F.split(F.trim(F.col(text)), r"\s+")).alias("word"))
+    words = texts.select(*keys, F.explode(F.split(F.btrim(F.col(text), F.lit(" \t\n\x0b\f\r")), r"\s+")).alias("word"))
     return words.select(*keys, F.xxhash64("word").alias("term"))
 
 

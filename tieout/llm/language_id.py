@@ -206,4 +206,5 @@ def predicted(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose text has a language that can be told; columns unchanged."""
-    return predict(docs.select("*", F.lit(1).alias("_any")), fit(docs)).where(F.col("lang_pred") != UNDEFINED).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return predict(rows, fit(docs)).where(F.col("lang_pred") != UNDEFINED).select("row.*")
