@@ -385,6 +385,72 @@ def test_assumed_steps(rows):
     assert notebooks.steps_or_assumed(some) is some
 
 
+def test_assumed_steps_have_edges(rows):
+    none = notebooks.notebook_steps(rows("notebook_id long, cell_index int, cell_type string, cell_source string").limit(0))
+    edges = notebooks.step_edges(notebooks.steps_or_assumed(none)).orderBy("step_index").collect()
+    assert [(r.notebook_id, r.from_step, r.to_step) for r in edges] == [
+        (None, "source_ingest", "mapping_apply"), (None, "mapping_apply", "metric_aggregation")
+    ]
+
+
+def test_edges_over_slices(spark):
+    steps = spark.range(0, 600).selectExpr("id % 2 AS notebook_id", "CAST(id AS INT) AS step_index", "concat('s', id) AS step_name")
+    edges = notebooks.step_edges(steps).collect()
+    assert sorted((r.step_index, r.from_step, r.to_step) for r in edges) == [(i, f"s{i - 2}", f"s{i}") for i in range(2, 600)]
+
+
+def test_fingerprint_keeps_the_place_of_a_missing_hash(rows):
+    hashes = rows("src_hash string, map_hash string, tgt_hash string", ("a", None, "c"), ("a", "c", None))
+    got = profile.fingerprints(hashes, rows("coverage_pct double", (50.0,)))
+    assert got.select("fingerprint_hash").distinct().count() == 2
+
+
+def test_data_confidence_without_near_match_check(rows):
+    schema = "unmapped_ratio double, has_schema_drift boolean, has_fuzzy_match boolean"
+    got = mapping_checks.data_confidence(rows(schema, (0.0, False, None), (0.0, False, False), (0.1, True, True))).collect()
+    assert [r.data_confidence for r in got] == [1.0, 0.9, 0.5]
+
+
+def test_checksum_uses_all_digits(rows):
+    import hashlib
+
+    found = rows("account_code string, total_amount decimal(28,2), row_count long, transaction_count long", ("a", Decimal("1.50"), 1, 1), ("b", Decimal("-2.00"), 1, 1))
+    digests = [hashlib.md5(t.encode()).hexdigest() for t in ("a:1.50", "b:-2.00")]
+    sums = [str(sum(int(d[i : i + 16], 16) for d in digests)) for i in (0, 16)]
+    assert mapping_checks.mapping_gap(found).first().checksum == hashlib.md5(":".join(["2", *sums]).encode()).hexdigest()
+
+
+def test_long_names_and_lists_are_kept(rows):
+    name, filters = "n" * 90, " ".join(f".filter(c{i} > {'9' * 90})" for i in range(12))
+    cells = rows("notebook_id long, cell_index int, cell_type string, cell_source string", (1, 0, "code", f"# Step 1: {name}\ndf{filters}"))
+    whole, short = notebooks.notebook_steps(cells).first(), notebooks.notebook_steps(cells, most=5, name_chars=60, filter_chars=80).first()
+    assert whole.step_name == name and len(whole.filter_conditions) == 12 and len(whole.filter_conditions[0]) > 90
+    assert short.step_name == "n" * 60 and len(short.filter_conditions) == 5 and len(short.filter_conditions[0]) == 80
+
+
+def test_few_accounts_are_sorted_for_contributions(spark, rows):
+    from tieout.operators import contribution
+
+    deltas = spark.range(4000).selectExpr("concat('a', id) AS account_code", "CAST(IF(id < 20, 1000, 1) AS decimal(28,2)) AS delta")
+    scored = deltas.selectExpr("*", "CAST(20000 AS decimal(28,2)) AS gap", "delta AS abs_delta")
+    assert contribution._deciding(scored, [], 0.95).count() == 20
+    got = contribution.contribution_scores(deltas, rows("gap decimal(28,2)", (Decimal(20000),))).count()
+    assert got == 19
+
+
+def test_scratch_is_removed(spark):
+    import os
+
+    from tieout import scale
+
+    with scale.scratch(spark):
+        pinned = scale.pin(spark.range(5))
+        folder = scale.application_folder(spark)
+        before = set(os.listdir(folder))
+        assert pinned.count() == 5 and before
+    assert len(before - set(os.listdir(folder))) == 1
+
+
 def test_run_times_of_steps(rows):
     log = rows("task_name string, start_time timestamp, end_time timestamp, status string", ("a", None, datetime(2024, 1, 1), "old"), ("a", None, datetime(2024, 1, 2), None))
     got = {r.step_name: (r.end_time, r.status) for r in runs.with_run_times(rows("step_name string", ("a",), ("b",)), log).collect()}

@@ -64,6 +64,8 @@ OUTLIER_TREES = 100
 OUTLIER_SAMPLE = 256
 SUCCESS_STATUSES = ["succeeded", "success", "completed"]
 ELIMINATION_ACCOUNT = "9999"
+FIX_CONFIDENCE = {"add_mapping": 0.95}
+OTHER_FIX_CONFIDENCE = 0.75
 CONFIDENCE = {
     "mapping_gap": 0.95,
     "intercompany": 0.85,

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tieout import defaults as D
 from tieout.operators.enrich import without_accounts
-from tieout.scale import per_group, running_total
+from tieout.scale import per_group, pin, running_total, small_side
 
 
 def account_deltas(source: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -26,10 +26,12 @@ def contribution_scores(
     """Accounts up to and including the one whose running share of the gap reaches ``stop``.
 
     ``gap_rows`` has one ``gap`` per group. ``priorities`` (account_code, rank) puts accounts first.
-    The running sum is exact and split over tasks, whatever the number of accounts in a group.
+    The running sum is exact and split over tasks, whatever the number of accounts in a group. Amounts are first added
+    up by rank and power of two, a few dozen rows per group, which shows the size at which the share is reached; accounts
+    below it are in no result and are not sorted.
     """
     by = list(by)
-    scored = per_group(without_accounts(deltas, excluded), gap_rows, by, ["gap"])
+    scored = per_group(without_accounts(deltas, excluded), gap_rows, by, ["gap"], checked=True)
     scored = scored.filter(F.abs(F.col("gap")) >= D.NOISE_FLOOR).withColumn("abs_delta", F.abs(F.col("delta")))
     order = [F.col("abs_delta").desc(), F.col("account_code").asc()]
     if priorities is not None:
@@ -37,6 +39,7 @@ def contribution_scores(
         scored = scored.join(first, F.col("account_code") == F.col("_first"), "left").drop("_first")
         scored = scored.withColumn("_rank", F.coalesce(F.col("_rank").cast("long"), F.lit(2**62)))
         order = [F.col("_rank").asc(), *order]
+    scored = _deciding(pin(scored.filter(F.col("delta").isNotNull())), by, stop)
     summed = running_total(scored, by, order, "abs_delta", "cumulative").drop("_rank")
     size = F.abs(F.col("gap")).cast("double")
     share = F.col("delta").cast("double") / F.col("gap").cast("double")
@@ -48,6 +51,22 @@ def contribution_scores(
     )
 
 
+def _deciding(scored: DataFrame, by: list[str], stop: float) -> DataFrame:
+    """Rows of every group down to the rank and power of two in which ``stop`` is reached."""
+    power = F.when(F.col("abs_delta") > 0, F.floor(F.log2(F.col("abs_delta").cast("double")))).otherwise(-99).cast("int")
+    rank = F.col("_rank") if "_rank" in scored.columns else F.lit(0).cast("long")
+    scored = scored.withColumns({"_power": power, "_first": rank})
+    totals = scored.groupBy(*by, "_first", "_power").agg(F.sum("abs_delta").alias("_total"), F.max(F.abs("gap")).alias("_size"))
+    before = Window.partitionBy(*by).orderBy(F.asc("_first"), F.desc("_power")).rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.sum("_total").over(before), F.lit(0)).cast("double") / F.col("_size").cast("double")
+    wanted = totals.withColumn("_reached", reached).filter(F.col("_reached") < stop)
+    side = small_side(wanted.select(*[F.col(k).alias(f"_by_{k}") for k in by], F.col("_first").alias("_f"), F.col("_power").alias("_p")))
+    match = (F.col("_first") == F.col("_f")) & (F.col("_power") == F.col("_p"))
+    for k in by:
+        match = match & F.col(k).eqNullSafe(F.col(f"_by_{k}"))
+    return scored.join(side, match, "left_semi").drop("_power", "_first")
+
+
 def contribution_summary(scores: DataFrame, gap_rows: DataFrame, by: list[str] = (), stop: float = D.STOP_SHARE) -> DataFrame:
     """Explained share of the gap (0 to 1) per group, and whether the scoring could stop early."""
     by = list(by)

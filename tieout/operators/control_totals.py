@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tieout import defaults as D
+from tieout.scale import pin
 
 
 def step_totals(source: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataFrame]]], value: str = "amount") -> DataFrame:
@@ -27,8 +28,8 @@ def step_totals(source: DataFrame, steps: list[tuple[str, Callable[[DataFrame],
 def step_checks(totals: DataFrame, expected: DataFrame, threshold: float = D.GAP_THRESHOLD) -> DataFrame:
     """Difference to the expected total (step_name, expected_total) per step, and whether it is the first too large one."""
     side = expected.select(F.col("step_name").alias("_name"), F.col("expected_total").cast("decimal(28,2)"))
-    joined = totals.join(side, F.col("step_name") == F.col("_name"), "left").drop("_name")
+    joined = pin(totals).join(side, F.col("step_name") == F.col("_name"), "left").drop("_name")  # a row per step
     off = F.coalesce(F.abs(F.col("delta")) > F.lit(str(threshold)).cast("decimal(28,2)"), F.lit(False))
     checked = joined.withColumn("delta", (F.col("total") - F.col("expected_total")).cast("decimal(28,2)")).withColumn("is_off", off)
-    first = checked.agg(F.min(F.when(F.col("is_off"), F.col("step"))).alias("first")).scalar()
+    first = F.min(F.when(F.col("is_off"), F.col("step"))).over(Window.partitionBy())  # over the few rows of steps
     return checked.withColumn("first_off", F.coalesce(F.col("step") == first, F.lit(False)))

@@ -44,13 +44,15 @@ def finding_checksum():
 def findings_checksum():
     """MD5 over all findings of a group, whatever their order or number.
 
-    The first 15 hex digits of every finding's MD5 are added up, which merges from partial sums; no
+    Both halves of every finding's MD5 are added up as whole numbers, which merges from partial sums; no
     list of findings is ever held in one place.
     """
-    part = F.conv(F.substring(finding_checksum(), 1, 15), 16, 10).cast("decimal(28,0)")
-    found = F.when(F.col("account_code").isNotNull(), part)
-    total = F.coalesce(F.sum(found), F.lit(0)).cast("string")
-    return F.md5(F.concat_ws(":", F.count("account_code").cast("string"), total))
+    totals = []
+    for first in (1, 17):
+        half = F.conv(F.substring(finding_checksum(), first, 16), 16, 10).cast("decimal(28,0)")
+        found = F.when(F.col("account_code").isNotNull(), half)
+        totals.append(F.coalesce(F.sum(found), F.lit(0)).cast("string"))
+    return F.md5(F.concat_ws(":", F.count("account_code").cast("string"), *totals))
 
 
 def suggested_mapping(findings: DataFrame, default_category: str = D.DEFAULT_CATEGORY) -> DataFrame:
@@ -63,11 +65,14 @@ def suggested_mapping(findings: DataFrame, default_category: str = D.DEFAULT_CAT
 
 
 def data_confidence(df: DataFrame) -> DataFrame:
-    """Adds ``data_confidence`` from ``unmapped_ratio``, ``has_schema_drift`` and ``has_fuzzy_match``."""
+    """Adds ``data_confidence`` from ``unmapped_ratio``, ``has_schema_drift`` and ``has_fuzzy_match``.
+
+    A null flag stands for a check that was not run; it takes nothing off.
+    """
     score = (
         F.lit(1.0)
         - F.when(F.col("unmapped_ratio") > 0.05, 0.3).otherwise(0.0)
         - F.when(F.col("has_schema_drift"), 0.2).otherwise(0.0)
-        - F.when(~F.col("has_fuzzy_match"), 0.1).otherwise(0.0)
+        - F.when(~F.col("has_fuzzy_match"), 0.1).otherwise(0.0)  # a null flag takes nothing off
     )
     return df.withColumn("data_confidence", F.round(F.greatest(score, F.lit(0.0)), 3))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tieout.scale import running_total
+from tieout.scale import pin
 
 # Patterns and keywords that mark steps, in order of precedence.
 NAME_PATTERNS = [
@@ -22,7 +22,7 @@ STEP_KINDS = [
     ("transform", ["select", "withcolumn", "rename", "cast"]),
 ]
 JOIN_KEYS = r"""(?:on|left_on|right_on)\s*=\s*["'\[]([^"'\]]+)"""
-FILTER_CALL = r"\.filter\(([^)]{3,80})\)"
+FILTER_CALL = r"\.filter\(([^)]{3,})\)"
 WHERE_CLAUSE = r"(?is)WHERE\s+(.+?)(?:GROUP|ORDER|LIMIT|$)"
 GROUP_CALL = r"(?i)groupby\(\[?([^\])]+)\]?\)"
 GROUP_CLAUSE = r"(?is)GROUP BY\s+(.+?)(?:HAVING|ORDER|LIMIT|$)"
@@ -39,23 +39,26 @@ def _found(source: Column, pattern: str) -> Column:
     return F.regexp_extract_all(source, F.lit(pattern), 1)
 
 
-def _names(matches: Column, first: int | None = None, quotes: bool = True) -> Column:
-    """Comma-separated names of every match; of each match at most ``first``."""
+def _names(matches: Column, quotes: bool = True) -> Column:
+    """Comma-separated names of every match."""
     def split(text):
-        parts = F.transform(F.split(text, ","), lambda p: F.regexp_replace(_strip(p), "^[\"']+|[\"']+$", "") if quotes else _strip(p))
-        return F.slice(parts, 1, first) if first else parts
+        return F.transform(F.split(text, ","), lambda p: F.regexp_replace(_strip(p), "^[\"']+|[\"']+$", "") if quotes else _strip(p))
 
     return F.flatten(F.transform(matches, split))
 
 
-def _distinct(values: Column, first: int) -> Column:
-    return F.slice(F.array_distinct(values), 1, first)
+def _distinct(values: Column, first: int | None) -> Column:
+    return F.slice(F.array_distinct(values), 1, first) if first else F.array_distinct(values)
 
 
-def step_name(source: Column, index: Column) -> Column:
-    """Name from the first pattern that fits, at most 60 characters in snake case; else ``step_<index>``."""
+def _cut(text: Column, first: int | None) -> Column:
+    return F.substring(text, 1, first) if first else text
+
+
+def step_name(source: Column, index: Column, first: int | None = None) -> Column:
+    """Name from the first pattern that fits, in snake case (its ``first`` characters if given); else ``step_<index>``."""
     found = [F.when(source.rlike(p), F.regexp_extract(source, p, 1)) for p in NAME_PATTERNS]
-    named = F.replace(F.lower(F.substring(_strip(F.coalesce(*found)), 1, 60)), F.lit(" "), F.lit("_"))
+    named = F.replace(F.lower(_cut(_strip(F.coalesce(*found)), first)), F.lit(" "), F.lit("_"))
     return F.coalesce(named, F.concat(F.lit("step_"), index.cast("string")))
 
 
@@ -70,24 +73,27 @@ def step_kind(source: Column) -> Column:
     return F.coalesce(*kinds, F.lit("unknown"))
 
 
-def notebook_steps(cells: DataFrame) -> DataFrame:
-    """One step per non-empty code cell: name, kind, join keys, filters, group columns, output columns."""
+def notebook_steps(cells: DataFrame, most: int | None = None, name_chars: int | None = None, filter_chars: int | None = None) -> DataFrame:
+    """One step per non-empty code cell: name, kind, join keys, filters, group columns, output columns.
+
+    Everything is kept; ``most`` cuts each list to its first entries, ``name_chars`` and ``filter_chars`` cut the texts.
+    """
     source = F.col("cell_source")
     code = cells.filter((F.coalesce(F.col("cell_type"), F.lit("code")) == "code") & (F.length(_strip(source)) > 0))
-    calls = F.transform(_found(source, FILTER_CALL), lambda t: F.substring(_strip(t), 1, 80))
-    clauses = F.transform(_found(source, WHERE_CLAUSE), lambda t: F.replace(F.substring(_strip(t), 1, 120), F.lit("\n"), F.lit(" ")))
-    groups = F.concat(_names(_found(source, GROUP_CALL)), _names(_found(source, GROUP_CLAUSE), 5, quotes=False))
-    selected = _names(_found(source, SELECT_CALL), 10)
-    output = F.when(F.size(selected) > 0, selected).otherwise(_names(_found(source, SELECT_CLAUSE), 10, quotes=False))
+    calls = F.transform(_found(source, FILTER_CALL), lambda t: _cut(_strip(t), filter_chars))
+    clauses = F.transform(_found(source, WHERE_CLAUSE), lambda t: F.replace(_cut(_strip(t), filter_chars), F.lit("\n"), F.lit(" ")))
+    groups = F.concat(_names(_found(source, GROUP_CALL)), _names(_found(source, GROUP_CLAUSE), quotes=False))
+    selected = _names(_found(source, SELECT_CALL))
+    output = F.when(F.size(selected) > 0, selected).otherwise(_names(_found(source, SELECT_CLAUSE), quotes=False))
     return code.select(
         "notebook_id",
         F.col("cell_index").alias("step_index"),
-        step_name(source, F.col("cell_index")).alias("step_name"),
+        step_name(source, F.col("cell_index"), name_chars).alias("step_name"),
         step_kind(source).alias("transform_type"),
-        _distinct(_names(_found(source, JOIN_KEYS)), 8).alias("join_keys"),
-        _distinct(F.concat(calls, clauses), 5).alias("filter_conditions"),
-        _distinct(groups, 8).alias("aggregation_columns"),
-        _distinct(output, 10).alias("output_schema"),
+        _distinct(_names(_found(source, JOIN_KEYS)), most).alias("join_keys"),
+        _distinct(F.concat(calls, clauses), most).alias("filter_conditions"),
+        _distinct(groups, most).alias("aggregation_columns"),
+        _distinct(output, most).alias("output_schema"),
         F.length(source).alias("cell_length_chars"),
     )
 
@@ -110,17 +116,23 @@ def steps_or_assumed(steps: DataFrame) -> DataFrame:
 
 
 def step_edges(steps: DataFrame) -> DataFrame:
-    """Edge from every step to the next one of its notebook.
+    """Edge from every step to the next one of its notebook; steps without a notebook belong together.
 
-    Steps are numbered with a running total that splits long notebooks over tasks; the edge is then
-    an equi-join of each number with the one before it.
+    Steps are range-partitioned by notebook and index and written once. Inside a slice the step before is the row before;
+    for the first step of a notebook in a slice it is the last step of that notebook in the slices before, of which
+    there is one row per notebook and slice.
     """
-    ones = steps.select("notebook_id", "step_index", "step_name", F.lit(1).cast("long").alias("_one"))
-    numbered = running_total(ones, ["notebook_id"], [F.col("step_index").asc()], "_one", "_n")
-    before = numbered.select(
-        F.col("notebook_id").alias("_notebook"), (F.col("_n") + 1).alias("_next"), F.col("step_name").alias("from_step")
-    )
-    match = (F.col("notebook_id") == F.col("_notebook")) & (F.col("_n") == F.col("_next"))
-    return numbered.join(before, match).select(
+    least = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = steps.select("notebook_id", "step_index", "step_name")
+    ranged = pin(rows.repartitionByRange(least, "notebook_id", "step_index").withColumn("_slice", F.spark_partition_id()))
+    inside = Window.partitionBy("_slice", "notebook_id").orderBy("step_index")
+    before = ranged.withColumn("_before", F.lag("step_name").over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
+    lasts = ranged.groupBy("notebook_id", "_slice").agg(F.max_by("step_name", "step_index").alias("_last"))
+    earlier = Window.partitionBy("notebook_id").orderBy("_slice")
+    lasts = lasts.select(F.col("notebook_id").alias("_notebook"), F.col("_slice").alias("_of"), F.lag("_last").over(earlier).alias("_carried"))
+    carried = lasts.filter(F.col("_carried").isNotNull())
+    match = F.col("notebook_id").eqNullSafe(F.col("_notebook")) & (F.col("_slice") == F.col("_of")) & F.col("_first")
+    joined = before.join(carried, match, "left").withColumn("from_step", F.coalesce("_before", "_carried"))
+    return joined.filter(F.col("from_step").isNotNull()).select(
         "notebook_id", "step_index", "from_step", F.col("step_name").alias("to_step"), F.lit("sequential").alias("edge_type")
     )

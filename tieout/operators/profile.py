@@ -152,5 +152,6 @@ def schema_hashes(inventory: DataFrame, by: list[str] = ("table_name", "version"
 def fingerprints(hashes: DataFrame, coverage: DataFrame, by: list[str] = ()) -> DataFrame:
     """Twelve hex digits over the source, mapping and target schema hashes and the coverage of each group."""
     joined = per_group(hashes, coverage, list(by), ["coverage_pct"])
-    text = F.concat_ws("|", "src_hash", "map_hash", "tgt_hash", F.format_string("%.1f", "coverage_pct"))
+    parts = ["src_hash", "map_hash", "tgt_hash", F.format_string("%.1f", "coverage_pct")]
+    text = F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts])  # a missing hash keeps its place
     return joined.withColumn("fingerprint_hash", F.substring(F.md5(text), 1, 12))

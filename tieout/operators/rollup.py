@@ -8,7 +8,7 @@ from tieout import defaults as D
 from tieout.functions import percent
 from tieout.operators.enrich import map_accounts, mapping_rules, not_intercompany, place_entities
 from tieout.operators.metrics import detail_rows
-from tieout.scale import per_group, small_side
+from tieout.scale import per_group, pin, small_side
 
 
 def revenue_by_region(source: DataFrame, mapping: DataFrame, hierarchy: DataFrame | None = None) -> DataFrame:
@@ -31,13 +31,10 @@ def region_comparison(
     source: DataFrame, mapping: DataFrame, target: DataFrame, hierarchy: DataFrame | None = None
 ) -> DataFrame:
     """Reported and own revenue for every region in the target's detail rows."""
-    detail = detail_rows(target)
-    marked = per_group(detail, revenue_metric(detail), [], ["_revenue_metric"])
-    theirs = (
-        marked.filter(F.col("metric") == F.col("_revenue_metric"))
-        .groupBy("metric", F.col("group_by").alias("group"))
-        .agg(F.sum("amount").cast("decimal(28,2)").alias("target_value"))
-    )
+    totals = detail_rows(target).groupBy("metric", F.col("group_by").alias("group"))
+    totals = pin(totals.agg(F.sum("amount").cast("decimal(28,2)").alias("target_value")))  # a row per metric and group
+    marked = per_group(totals, revenue_metric(totals), [], ["_revenue_metric"])
+    theirs = marked.filter(F.col("metric") == F.col("_revenue_metric")).drop("_revenue_metric")
     ours = revenue_by_region(source, mapping, hierarchy)
     value = F.coalesce(F.col("our_value"), F.lit(0)).cast("decimal(28,2)")
     gap = (value - F.col("target_value")).cast("decimal(28,2)")

@@ -1,4 +1,7 @@
-"""The whole investigation as one set of lazy tables: gaps, evidence, attribution and causal path."""
+"""The whole investigation as one set of tables: gaps, evidence, attribution and causal path.
+
+What several tables need (the folded transactions, the gaps, the evidence) is written out before it returns.
+"""
 
 from __future__ import annotations
 
@@ -68,7 +71,7 @@ def gap_evidence(
     else:
         rows = rows.withColumn("run_confidence", F.lit(0.5))
     drifted = F.lit(False) if drift is None else F.coalesce(drift.agg(F.max("has_schema_drift")).scalar(), F.lit(False))
-    matched = F.lit(False) if fuzzy is None else fuzzy.agg(F.count(F.lit(1)) > 0).scalar()
+    matched = F.lit(None).cast("boolean") if fuzzy is None else fuzzy.agg(F.count(F.lit(1)) > 0).scalar()
     apart = F.lit(False) if mismatches is None else mismatches.agg(F.count(F.lit(1)) > 0).scalar()
     odd = F.lit(0) if outliers is None else outliers.agg(F.count(F.lit(1))).scalar().cast("int")
     rows = rows.withColumns(

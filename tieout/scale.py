@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+SLICE_ROWS = 1_000_000
 _FOLDERS: set[str] = set()
+_SCOPES: list[list[str]] = []
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -36,24 +39,29 @@ def _row_bytes(schema: T.StructType) -> Column:
 
 
 def scratch_folder(spark) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode and where none is named."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+    """Shared folder named by ``spark.checkpoint.dir``, which every executor has to reach.
+
+    Only where there are no executors but this process (local mode) and no folder is named, one is made here.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tieout-"))
-    return context.getCheckpointDir()
+        named = tempfile.mkdtemp(prefix="tieout-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def _path(spark, name: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def application_folder(spark) -> str:
     """This application's part of the shared folder; Hadoop removes it when the application ends."""
     path = f"{scratch_folder(spark)}/tieout-{spark.sparkContext.applicationId}"
     if path not in _FOLDERS:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        hadoop, files = _path(spark, path)
         files.mkdirs(hadoop)
         files.deleteOnExit(hadoop)
         _FOLDERS.add(path)
@@ -64,12 +72,33 @@ def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so later stages neither repeat it nor lose it."""
     path = f"{application_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def per_group(df: DataFrame, one_row: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Attach the columns of a frame with one row per ``by`` group (one row in all when ``by`` is empty)."""
+@contextmanager
+def scratch(spark):
+    """Tables pinned inside the ``with`` block are removed when it ends; results have to be written before.
+
+    Blocks may be nested. Without a block, tables are removed when the application ends.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            hadoop, files = _path(spark, path)
+            files.delete(hadoop, True)
+
+
+def per_group(df: DataFrame, one_row: DataFrame, by: list[str], columns: list[str], checked: bool = False) -> DataFrame:
+    """Attach the columns of a frame with one row per ``by`` group (one row in all when ``by`` is empty).
+
+    With ``checked`` the frame is broadcast if counted small, so that a group with most of ``df`` is not one partition.
+    """
     if by:
+        one_row = small_side(one_row) if checked else one_row
         side = one_row.select(*[F.col(k).alias(f"_by_{k}") for k in by], *columns)
         match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by])
         return df.join(side, match, "left").drop(*[f"_by_{k}" for k in by])
@@ -84,7 +113,10 @@ def running_total(df: DataFrame, by: list[str], order: list, value: str, out: st
     (at most ``slices`` rows per group) give every slice its starting value. ``order`` has to be a
     total order within the group, and ``value`` a decimal or integer so that the result is exact.
     """
-    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if slices is None:  # a slice is one window task, so their number follows the rows
+        df = pin(df)
+        least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slices = max(least, -(-df.count() // SLICE_ROWS))
     ranged = pin(df.repartitionByRange(slices, *by, *order).withColumn("_slice", F.spark_partition_id()))
     totals = ranged.groupBy(*by, "_slice").agg(F.sum(value).alias("_total"))
     earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,30 +4,35 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tieout import defaults as D
+from tieout.scale import running_total
 
 CELL_DELIMITER = "# COMMAND ----------"  # fixed value: line between the cells of an exported notebook
 INVENTORY = T.StructType([T.StructField(c, T.StringType()) for c in ("table_name", "version", "column_name", "data_type")])
 
 
-def _by_turnover(transactions: DataFrame, n: int) -> DataFrame:
-    totals = transactions.groupBy("account_code").agg(
+def _turnover(transactions: DataFrame) -> DataFrame:
+    return transactions.groupBy("account_code").agg(
         F.sum("amount").alias("total_amount"), F.count(F.lit(1)).alias("row_count"), F.sum(F.abs("amount")).alias("turnover")
     )
-    return totals.orderBy(F.desc("turnover"), "account_code").limit(n)
 
 
 def account_aggregates(transactions: DataFrame, n: int = D.CONNECTOR_ROWS) -> DataFrame:
     """Sum and rows of the ``n`` accounts with the largest turnover (a top-n report of the source)."""
-    return _by_turnover(transactions, n).drop("turnover")
+    return _turnover(transactions).orderBy(F.desc("turnover"), "account_code").limit(n).drop("turnover")
 
 
-def aggregates_as_source(transactions: DataFrame, n: int = D.CONNECTOR_ROWS) -> DataFrame:
-    """The top-n account aggregates in the shape of transactions, numbered from zero."""
-    number = F.row_number().over(Window.orderBy(F.desc("turnover"), "account_code")) - 1
-    return _by_turnover(transactions, n).select(
+def aggregates_as_source(transactions: DataFrame) -> DataFrame:
+    """Aggregates of all accounts in the shape of transactions, numbered from zero by falling turnover.
+
+    The numbers are a running total over slices, so no task has to order all accounts.
+    """
+    ones = _turnover(transactions).withColumn("_one", F.lit(1).cast("long"))
+    numbered = running_total(ones, [], [F.desc("turnover"), F.asc("account_code")], "_one", "_n")
+    number = F.col("_n") - 1
+    return numbered.select(
         number.cast("string").alias("transaction_id"),
         F.coalesce("account_code", F.lit("unknown")).alias("account_code"),
         F.lit("CONNECTOR").alias("entity_code"),

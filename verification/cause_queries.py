@@ -95,7 +95,8 @@ def load_hierarchy(spark, folder):
 TURNOVER = """
 , t AS (SELECT p_name || '/' || l_returnflag || '/' || l_linenumber AS account_code, sum(CAST(l_extendedprice * (CASE l_linestatus WHEN 'F' THEN 1 ELSE -1 END) AS DECIMAL(18,2))) AS total,
     count(*) AS n, sum(abs(CAST(l_extendedprice AS DECIMAL(18,2)))) AS turnover FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
-top AS (SELECT *, row_number() OVER (ORDER BY turnover DESC, account_code) - 1 AS place FROM t ORDER BY turnover DESC, account_code LIMIT 500)
+ranked AS (SELECT *, row_number() OVER (ORDER BY turnover DESC, account_code) - 1 AS place FROM t),
+top AS (SELECT * FROM ranked WHERE place < 500)
 """
 
 
@@ -116,7 +117,7 @@ def account_aggregates(spark, folder):
     TURNOVER
     + """
     SELECT CAST(place AS VARCHAR) AS transaction_id, account_code, 'CONNECTOR' AS entity_code, round(CAST(total AS DOUBLE), 2) AS amount,
-      n AS transaction_count, false AS is_intercompany, false AS adjustment_flag, 'USD' AS currency FROM top
+      n AS transaction_count, false AS is_intercompany, false AS adjustment_flag, 'USD' AS currency FROM ranked
     """
 )
 def aggregates_as_source(spark, folder):
@@ -550,9 +551,9 @@ def confidence_gate(spark, folder):
     return rows.select(*KEYS, "explained_share", "data_confidence", "run_confidence", "overall_confidence", "needs_review")
 
 
-@query(GATE.replace("DCONF", "round(dconf - 0.1::DOUBLE, 3)"))
+@query(GATE.replace("DCONF", "dconf"))
 def investigation(spark, folder):
-    """The whole investigation per entity; without near matches the data confidence is a tenth lower."""
+    """The whole investigation per entity; a check for near matches that is not run takes nothing off."""
     v = Views(spark, folder)
     found = investigate(
         v.source(*EVIDENCE_LINE), v.mapping, v.grouped_target, by=ENTITY, run_log=v.run_log, drift=S.schema_drift(v.inventory, "old", "new"),
@@ -746,15 +747,15 @@ def _first(pattern: str) -> str:
     return f"CASE WHEN regexp_matches(cell_source, '{pattern}') THEN regexp_extract(cell_source, '{pattern}', 1) END"
 
 
-def _split(matches: str, quotes: bool = True, first: int = 1000) -> str:
+def _split(matches: str, quotes: bool = True) -> str:
     part = STRIP.format("p")
     if quotes:
         part = f"""regexp_replace({part}, '^["'']+|["'']+$', '', 'g')"""
-    return f"flatten(list_transform({matches}, lambda m: list_transform(string_split(m, ',')[1:{first}], lambda p: {part})))"
+    return f"flatten(list_transform({matches}, lambda m: list_transform(string_split(m, ','), lambda p: {part})))"
 
 
-def _unique(values: str, first: int) -> str:
-    return f"array_to_string(list_filter({values}, lambda x, i: list_position({values}, x) = i)[1:{first}], '|')"
+def _unique(values: str) -> str:
+    return f"array_to_string(list_filter({values}, lambda x, i: list_position({values}, x) = i), '|')"
 
 
 NAME_SQL = "coalesce(" + ", ".join(_first(p.replace("'", "''")) for p in N.NAME_PATTERNS) + ")"
@@ -763,7 +764,7 @@ KIND_SQL = "CASE " + " ".join(
 ) + " ELSE 'unknown' END"
 STEPS_SQL = f"""
 , steps AS (SELECT notebook_id, cell_index AS step_index,
-    coalesce(replace(lower(substr({STRIP.format(NAME_SQL)}, 1, 60)), ' ', '_'), 'step_' || cell_index) AS step_name, {KIND_SQL} AS transform_type, cell_source
+    coalesce(replace(lower({STRIP.format(NAME_SQL)}), ' ', '_'), 'step_' || cell_index) AS step_name, {KIND_SQL} AS transform_type, cell_source
   FROM cells WHERE cell_type = 'code' AND length({STRIP.format('cell_source')}) > 0)
 """
 
@@ -776,13 +777,13 @@ def _all(pattern: str) -> str:
     STEPS_SQL
     + f"""
     , lists AS (SELECT *, {_split(_all(N.JOIN_KEYS))} AS jk,
-        list_transform({_all(N.FILTER_CALL)}, lambda t: substr({STRIP.format('t')}, 1, 80)) ||
-          list_transform({_all(N.WHERE_CLAUSE)}, lambda t: replace(substr({STRIP.format('t')}, 1, 120), chr(10), ' ')) AS fc,
-        {_split(_all(N.GROUP_CALL))} || {_split(_all(N.GROUP_CLAUSE), False, 5)} AS ac,
-        {_split(_all(N.SELECT_CALL), True, 10)} AS s1, {_split(_all(N.SELECT_CLAUSE), False, 10)} AS s2 FROM steps),
+        list_transform({_all(N.FILTER_CALL)}, lambda t: {STRIP.format('t')}) ||
+          list_transform({_all(N.WHERE_CLAUSE)}, lambda t: replace({STRIP.format('t')}, chr(10), ' ')) AS fc,
+        {_split(_all(N.GROUP_CALL))} || {_split(_all(N.GROUP_CLAUSE), False)} AS ac,
+        {_split(_all(N.SELECT_CALL))} AS s1, {_split(_all(N.SELECT_CLAUSE), False)} AS s2 FROM steps),
     chosen AS (SELECT *, CASE WHEN len(s1) > 0 THEN s1 ELSE s2 END AS os FROM lists)
-    SELECT notebook_id, step_index, step_name, transform_type, {_unique('jk', 8)} AS join_keys, {_unique('fc', 5)} AS filter_conditions,
-      {_unique('ac', 8)} AS aggregation_columns, {_unique('os', 10)} AS output_schema, CAST(length(cell_source) AS INT) AS cell_length_chars FROM chosen
+    SELECT notebook_id, step_index, step_name, transform_type, {_unique('jk')} AS join_keys, {_unique('fc')} AS filter_conditions,
+      {_unique('ac')} AS aggregation_columns, {_unique('os')} AS output_schema, CAST(length(cell_source) AS INT) AS cell_length_chars FROM chosen
     """
 )
 def notebook_steps(spark, folder):

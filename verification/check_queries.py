@@ -49,10 +49,21 @@ def null_rates(spark, folder):
     , c AS (SELECT 'currency' AS column_name, currency AS value, count(*) AS row_count FROM recon_source GROUP BY 2
       UNION ALL SELECT 'period', period, count(*) FROM recon_source GROUP BY 2)
     SELECT column_name, value, row_count FROM c
-    QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY row_count DESC, value) <= 10
     """
 )
 def value_counts(spark, folder):
+    return P.value_counts(Views(spark, folder).source("currency", "period"), ["currency", "period"])
+
+
+@query(
+    """
+    , c AS (SELECT 'currency' AS column_name, currency AS value, count(*) AS row_count FROM recon_source GROUP BY 2
+      UNION ALL SELECT 'period', period, count(*) FROM recon_source GROUP BY 2)
+    SELECT column_name, value, row_count FROM c
+    QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY row_count DESC, value) <= 10
+    """
+)
+def top_value_counts(spark, folder):
     return P.value_counts(Views(spark, folder).source("currency", "period"), ["currency", "period"], 10)
 
 
@@ -158,7 +169,10 @@ def unmapped_codes(spark, folder):
     return as_report(K.unmapped_codes(K.unmapped_totals(v.source("account_code", "amount"), v.mapping)), "total_amount")
 
 
-CHECKSUM = """md5(count(*) || ':' || sum(CAST(CAST('0x' || substr(md5(account_code || ':' || CAST(t AS DECIMAL(28,2))), 1, 15) AS UBIGINT) AS DECIMAL(28,0))))"""
+HALVES = " || ':' || ".join(
+    f"sum(CAST(CAST('0x' || substr(md5(account_code || ':' || CAST(t AS DECIMAL(28,2))), {first}, 16) AS UBIGINT) AS DECIMAL(28,0)))" for first in (1, 17)
+)
+CHECKSUM = f"md5(count(*) || ':' || {HALVES})"
 
 
 @query(
@@ -422,9 +436,10 @@ def schema_hashes(spark, folder):
     HASHES
     + f"""
     , h AS (SELECT table_name, max(CASE WHEN version = 'old' THEN schema_hash END) AS src_hash, max(CASE WHEN version = 'new' THEN schema_hash END) AS map_hash,
-        max(schema_hash) AS tgt_hash FROM hashes GROUP BY 1),
+        max(CASE WHEN version = 'none' THEN schema_hash END) AS tgt_hash FROM hashes GROUP BY 1),
     cov AS (SELECT {COVERAGE})
-    SELECT table_name, substr(md5(concat_ws('|', src_hash, map_hash, tgt_hash, printf('%.1f', coverage_pct))), 1, 12) AS fingerprint_hash FROM h, cov
+    SELECT table_name, substr(md5(coalesce(src_hash, '') || '|' || coalesce(map_hash, '') || '|' || coalesce(tgt_hash, '') || '|' || printf('%.1f', coverage_pct)), 1, 12)
+      AS fingerprint_hash FROM h, cov
     """
 )
 def fingerprints(spark, folder):
@@ -432,7 +447,7 @@ def fingerprints(spark, folder):
     hashes = P.schema_hashes(v.inventory).groupBy("table_name").agg(
         F.max(F.when(F.col("version") == "old", F.col("schema_hash"))).alias("src_hash"),
         F.max(F.when(F.col("version") == "new", F.col("schema_hash"))).alias("map_hash"),
-        F.max("schema_hash").alias("tgt_hash"),
+        F.max(F.when(F.col("version") == "none", F.col("schema_hash"))).alias("tgt_hash"),  # missing: keeps its place
     )
     coverage = P.mapping_coverage(v.source("account_code", "amount"), v.mapping)
     return P.fingerprints(hashes, coverage).select("table_name", "fingerprint_hash")
