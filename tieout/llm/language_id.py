@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tieout.llm.common import fold, small_side
+from tieout.llm.common import fold, free, small_side
 from tieout.llm.words import text_slices
 
 ORDER = 3
@@ -17,7 +17,8 @@ TRAIN_DOCS = 300  # per language; the only bound on what is learned from
 TRAIN_BYTES = 20_000  # longest text that is learned from
 TEST_FOLD = 0
 LANE = 512
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
+STEPS = 1024  # steps of a bit in the table of code lengths
 UNDEFINED = "und"
 
 
@@ -68,8 +69,8 @@ class Model:
     def __init__(self, counts: list[tuple[str, bytes, int]], order: int):
         self.languages = sorted({c[0] for c in counts})
         seen = sorted({b for _, g, _ in counts for b in g} | {10})
-        self.classes = np.full(256, len(seen), np.int64)
-        self.classes[seen] = np.arange(len(seen))
+        self.classes = np.full(256, len(seen), np.int32)
+        self.classes[seen] = np.arange(len(seen), dtype=np.int32)
         width = len(seen) + 1  # the last class: any byte that was never seen
         rest = 256 - len(seen)
         trees: dict[str, dict[bytes, dict[int, int]]] = {x: {} for x in self.languages}
@@ -77,7 +78,7 @@ class Model:
             trees[lang].setdefault(gram[:-1], {})[int(self.classes[gram[-1]])] = n
         contexts = sorted({c for tree in trees.values() for c in tree} | {b""}, key=lambda c: (len(c), c))
         number = {c: i for i, c in enumerate(contexts)}
-        chance = np.zeros((len(contexts), len(self.languages), width))
+        chance = np.zeros((len(contexts), len(self.languages), width), np.float32)
         for j, lang in enumerate(self.languages):
             tree = trees[lang]
             for i, context in enumerate(contexts):
@@ -101,7 +102,9 @@ class Model:
                     own[at] = n / n.sum()
                 chance[i, j] = own
         chance[:, :, -1] /= max(rest, 1)  # one byte of that class
-        self.bits = -np.log2(np.maximum(chance, 1e-12)).astype(np.float32).transpose(0, 2, 1).reshape(len(contexts) * width, -1)
+        np.log2(np.maximum(chance, 1e-9, out=chance), out=chance)
+        chance *= -STEPS
+        self.bits = np.round(chance).astype(np.int16).transpose(0, 2, 1).reshape(len(contexts) * width, -1)
         self.next = np.zeros(len(contexts) * width, np.int32)
         for i, context in enumerate(contexts):
             for k, byte in enumerate([*seen, None]):
@@ -127,7 +130,7 @@ class Model:
         length = end - first
         classes, state = self.classes[data], np.full(len(text), self.start, np.int64)
         state[first > offsets[:-1][text]] = 0
-        total = np.zeros((len(text), len(self.languages)))
+        total = np.zeros((len(text), len(self.languages)), np.int64)
         active = len(text)
         for step in range(int(length[0]) if len(length) else 0):
             while active and length[active - 1] <= step:
@@ -141,7 +144,7 @@ class Model:
                 total[:active] += self.bits[cell]
             state[:active] = self.next[cell]
         out = np.zeros((len(sizes), len(self.languages)))
-        np.add.at(out, text, total)
+        np.add.at(out, text, total / STEPS)
         return out
 
 
@@ -206,5 +209,6 @@ def predicted(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose text has a language that can be told; columns unchanged."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return predict(rows, fit(docs)).where(F.col("lang_pred") != UNDEFINED).select("row.*")
+    held = {c: free(docs, f"{c}_held") for c in docs.columns if c.lower() in ("lang_pred", "score")}
+    known = predict(docs.withColumnsRenamed(held), fit(docs)).where(F.col("lang_pred") != UNDEFINED)
+    return known.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in held.items()})
