@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_CHARS = 2_000_000
-KNOWN_CHUNKS = 1_200_000  # encoded chunks that a worker keeps for its next batches; it starts anew beyond them
+KNOWN_CHUNKS = 700_000  # encoded chunks that a worker keeps for its next batches; it starts anew beyond them
 MARK = "▁"
 CHARACTER = 1 << 24  # a character that is no piece has this number and more
 BEGIN = 1 << 26  # stands before the first piece of a chunk
