@@ -91,3 +91,19 @@ def test_sections_of_odd_texts(docs):
     assert token_counts.section_tokens(docs()).count() == 0
     with pytest.raises(ValueError):
         token_counts.section_tokens(docs(), rule="other")
+
+
+def test_workers_keep_tables_only_for_runs_that_keep():
+    from tieout.llm.common import in_worker, kept
+
+    made = []
+
+    def make(name):
+        made.append(name)
+        return name
+
+    keeping = in_worker(lambda batches: (kept(make, "a") + b for b in batches), keeps=True)
+    assert list(keeping(iter("xy"))) == ["ax", "ay"] and list(keeping(iter("z"))) == ["az"]
+    assert made == ["a"]
+    assert list(in_worker(lambda batches: iter(batches))(iter([]))) == []
+    assert list(keeping(iter("x"))) == ["ax"] and made == ["a", "a"]

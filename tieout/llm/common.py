@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tieout.scale import pin, small_side
 
-__all__ = ["pin", "small_side", "lower_ascii", "fold", "fold_of", "free", "within"]
+__all__ = ["pin", "small_side", "lower_ascii", "fold", "fold_of", "free", "within", "in_worker", "kept"]
 
 
 def fold(doc_id: Column) -> Column:
@@ -39,3 +42,43 @@ def free(df: DataFrame, name: str) -> str:
 def within(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``ids`` (one column of that name); broadcast only if counted small."""
     return df.join(small_side(ids.select(F.col(key).alias("_wanted"))), F.col(key) == F.col("_wanted"), "left_semi")
+
+
+@lru_cache(maxsize=1)
+def kept(make: Callable, *arguments):
+    """What ``make`` gives; a worker keeps it for its next tasks until one runs there that keeps nothing."""
+    return make(*arguments)
+
+
+def give_back() -> None:
+    """Return unused memory of Arrow and of the C library to the machine; else a worker holds it through later stages."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
+def forget() -> None:
+    kept.cache_clear()
+
+
+def _one_by_one(batches: Iterator) -> Iterator:
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
+
+
+def in_worker(run: Callable[[Iterator], Iterator], keeps: bool = False) -> Callable[[Iterator], Iterator]:
+    """``run`` as a function for ``mapInArrow`` whose worker gives memory back after every batch.
+
+    Workers serve the tasks of many stages. Only a ``run`` that ``keeps`` finds what ``kept`` holds from earlier tasks.
+    """
+
+    def task(batches):
+        if not keeps:
+            forget()
+        try:
+            yield from run(_one_by_one(batches))
+        finally:
+            give_back()
+
+    return task

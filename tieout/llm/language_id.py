@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tieout.llm.common import fold, free, small_side
+from tieout.llm.common import fold, free, in_worker, small_side
 from tieout.llm.words import text_slices
 
 ORDER = 3
@@ -198,7 +198,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield batch.append_column("lang_pred", pa.array(names, pa.string())).append_column("score", pa.array(scores, pa.float64()))
 
     schema = ", ".join(f"`{n.replace('`', '``')}` {t}" for n, t in [*kept.dtypes, ("lang_pred", "string"), ("score", "double")])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(in_worker(run), schema)
 
 
 def predicted(docs: DataFrame) -> DataFrame:

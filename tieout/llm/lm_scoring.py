@@ -15,7 +15,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tieout.llm.common import fold_of, pin
+from tieout.llm.common import fold_of, in_worker, pin
 from tieout.llm.words import ODD, Words, mix, text_slices
 
 BLOCK_TOKENS = 1_000_000
@@ -86,7 +86,7 @@ def blocks(docs: DataFrame, most: int = BLOCK_TOKENS) -> DataFrame:
         kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values.values(), kinds)], names=list(values))
 
-    return docs.select("doc_id", "text").mapInArrow(run, BLOCK)
+    return docs.select("doc_id", "text").mapInArrow(in_worker(run), BLOCK)
 
 
 def _keys(vocabulary: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +131,7 @@ def messages(found: DataFrame, parts: int) -> DataFrame:
                     out = [(int(owners[a]) * 2 + odd, row["block"], _rises(keys[a:b]), packed(fitted[a:b]), packed(tuned[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
                     yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "block", "keys", "fitted", "tuned"])
 
-    return found.select("block", "kind", "vocabulary", "tokens", "lengths").mapInArrow(run, MESSAGE)
+    return found.select("block", "kind", "vocabulary", "tokens", "lengths").mapInArrow(in_worker(run), MESSAGE)
 
 
 def _replies(sent: DataFrame) -> DataFrame:

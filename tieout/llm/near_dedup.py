@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tieout.llm.common import free, pin, within
+from tieout.llm.common import free, in_worker, pin, within
 from tieout.llm.components import components
 from tieout.llm.words import ODD, Words, mix, shingles, signed, text_slices
 
@@ -56,7 +56,7 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, per_band: int =
                 )
                 done += len(sets)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(in_worker(run), "doc_id long, n_shingles long, key_a long, key_b long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -71,7 +71,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.slice(done, len(sets)).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "shingles"])
                 done += len(sets)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(in_worker(run), "doc_id long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

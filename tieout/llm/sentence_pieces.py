@@ -10,7 +10,6 @@ is what the merges make of their joined text. So every position keeps one edge,
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -19,6 +18,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, types as T
 
+from tieout.llm.common import in_worker, kept
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_CHARS = 2_000_000
 KNOWN_CHUNKS = 700_000  # encoded chunks that a worker keeps for its next batches; it starts anew beyond them
@@ -100,12 +101,6 @@ class Vocabulary:
         return self._fits[np.minimum(at, len(self._pairs) - 1)]
 
 
-@lru_cache(maxsize=2)
-def _vocabulary(name: str) -> Vocabulary:
-    with open(SparkFiles.get(name), "rb") as file:
-        return Vocabulary(file.read())
-
-
 def suffix_order(codes: np.ndarray, length: int) -> np.ndarray:
     """Suffixes sorted by their first ``length`` or more symbols, by prefix doubling from as many as fit a long."""
     bits = max(int(codes.max()).bit_length(), 1)
@@ -287,9 +282,9 @@ def _texts(batches, most: int):
             first = end
 
 
-@lru_cache(maxsize=1)
 def _encoded(name: str, most: int) -> Encoded:
-    return Encoded(_vocabulary(name), most)
+    with open(SparkFiles.get(name), "rb") as file:
+        return Encoded(Vocabulary(file.read()), most)
 
 
 def encode(docs: DataFrame, model: str = MODEL, batch_chars: int = BATCH_CHARS, decode: bool = False, most_known: int = KNOWN_CHUNKS) -> DataFrame:
@@ -302,12 +297,12 @@ def encode(docs: DataFrame, model: str = MODEL, batch_chars: int = BATCH_CHARS,
     """
     docs.sparkSession.sparkContext.addFile(model)
     name = model.rsplit("/", 1)[-1]
-    kept = docs.drop("piece_ids", "decoded")
-    fields = [*kept.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]
+    rest = docs.drop("piece_ids", "decoded")
+    fields = [*rest.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]
     fields += [T.StructField("decoded", T.StringType())] if decode else []
 
     def run(batches):
-        known = _encoded(name, most_known)
+        known = kept(_encoded, name, most_known)
         vocabulary = known.vocabulary
         for batch in _texts(batches, batch_chars):
             texts = batch.column("text")
@@ -319,4 +314,4 @@ def encode(docs: DataFrame, model: str = MODEL, batch_chars: int = BATCH_CHARS,
                 batch = batch.append_column("decoded", decode_all(flat, ends, missing, vocabulary))
             yield batch
 
-    return kept.mapInArrow(run, T.StructType(fields))
+    return rest.mapInArrow(in_worker(run, keeps=True), T.StructType(fields))

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from tieout.llm.common import in_worker
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RULES = ("start", "most", "share")
@@ -105,4 +107,4 @@ def section_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, rule: str = "s
     def table(out, kinds, names):
         return pa.RecordBatch.from_arrays([pa.array([x for row in out for x in row[i]], kind) for i, kind in enumerate(kinds)], names=names)
 
-    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "text").mapInArrow(in_worker(run), SCHEMA)
