@@ -46,8 +46,13 @@ def aggregates_as_source(transactions: DataFrame) -> DataFrame:
 
 def inventory_of(df: DataFrame, table: str, version: str) -> DataFrame:
     """Columns and types of one table version; only its schema is read."""
-    rows = [(table, version, name, kind) for name, kind in df.dtypes]
-    return df.sparkSession.createDataFrame(rows, INVENTORY)
+    return inventory({table: df}, version)
+
+
+def inventory(tables: dict[str, DataFrame], version: str) -> DataFrame:
+    """Columns and types of several tables; only their schemas are read."""
+    rows = [(table, version, name, kind) for table, df in tables.items() for name, kind in df.dtypes]
+    return next(iter(tables.values())).sparkSession.createDataFrame(rows, INVENTORY)
 
 
 def catalog_inventory(spark: SparkSession, version: str, database: str | None = None) -> DataFrame:
