@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tieout.llm.common import free, in_worker, pin, within
+from tieout.llm.common import free, in_worker, pin, small_side, within
 from tieout.llm.components import components
 from tieout.llm.words import ODD, Words, mix, shingles, signed, text_slices
 
@@ -90,6 +90,48 @@ def _labelled(df: DataFrame, column: str, found: DataFrame | None, out: str) ->
     return df.join(side, F.col(column) == F.col("_node"), "left").withColumn(out, F.coalesce("_component", column)).drop("_node", "_component")
 
 
+def _within_families(spokes: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links to the pivots of families, and pairs (a, b) of different components that still have to be compared.
+
+    A family is what ``spokes`` (node, hub) connects; its pivot is the hub of most nodes. With D(x) as the shingles in
+    which x and the pivot differ, x and y differ in |D(x)| + |D(y)| - 2 * |common to D(x) and D(y)|. So a similar pair
+    has some number of changes in common, and in any fixed order of shingles the first of these leaves room for the
+    others in both sets. Changes are ordered by how many classes share them, and classes meet only at a change that
+    leaves that room: copies that were edited in different places never meet. Pairs that need no common change are
+    both linked to the pivot.
+    """
+    more, less = 100 + percent, 100 - percent
+    family = components(spokes.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    family = family.select("node", F.col("component").alias("family"))
+    placed = pin(_labelled(family, "node", found, "c"))
+    open_ = placed.groupBy(F.col("family").alias("_family")).agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("_family")
+    placed = placed.join(small_side(open_), F.col("family") == F.col("_family"), "left_semi")
+    wide = spokes.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).join(placed, F.col("hub") == F.col("node"))
+    pivots = wide.groupBy(F.col("family").alias("_family")).agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("pivot"))
+    pivots = pin(pivots.join(sets, F.col("pivot") == F.col("doc_id")).select("_family", "pivot", F.col("shingles").alias("_of")))
+    members = placed.join(sets, F.col("node") == F.col("doc_id")).join(small_side(pivots), F.col("family") == F.col("_family"))
+    changes = F.concat(F.array_except("shingles", "_of"), F.array_except("_of", "shingles"))
+    members = members.select("family", "pivot", "node", "c", F.size("shingles").alias("n"), F.size("_of").alias("n_pivot"), changes.alias("changes"))
+    members = pin(members.withColumn("size", F.size("changes")).withColumn("weight", more * F.col("size") - less * F.col("n")))
+    near = members.where((F.col("node") != F.col("pivot")) & (more * F.col("size") <= less * (F.col("n") + F.col("n_pivot"))))
+
+    each = members.select("family", "node", "c", "size", "weight", F.explode("changes").alias("change"))
+    shared = each.groupBy(F.col("family").alias("_family"), F.col("change").alias("_change")).agg(
+        F.count(F.lit(1)).alias("holders"), F.min("weight").alias("least"), F.min("c").alias("low"), F.max("c").alias("high")
+    )
+    each = each.join(shared.where("low < high"), (F.col("family") == F.col("_family")) & (F.col("change") == F.col("_change")))
+    # Changes that only one component has come first in the order, and are no longer here.
+    rest = F.count(F.lit(1)).over(Window.partitionBy("node")) - F.row_number().over(Window.partitionBy("node").orderBy("holders", "change"))
+    each = each.withColumn("room", 2 * more * (rest + 1)).where("room >= weight + least")
+    each = pin(each.select("family", "change", "node", "c", "weight", "room"))
+    other = each.select(*[F.col(name).alias(f"_{name}") for name in each.columns])
+    meet = (F.col("family") == F.col("_family")) & (F.col("change") == F.col("_change")) & (F.col("node") < F.col("_node")) & (F.col("c") != F.col("_c"))
+    both = F.col("weight") + F.col("_weight")
+    met = each.join(other, meet & (both > 0) & (F.col("room") >= both) & (F.col("_room") >= both))
+    pairs = pin(met.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct())
+    return near.select(F.col("pivot").alias("a"), F.col("node").alias("b")), pairs
+
+
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, text: Column | str = "text", bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
@@ -99,10 +141,11 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, text: Column
 
     1. every class is compared with the smallest class that it meets in most buckets;
     2. then with the smallest class of each bucket that is not yet in its component;
-    3. then every two classes of a bucket that are still in different components.
+    3. then classes that buckets connect (a family) but that are still in different components, by what each of them
+       has changed against one class of the family; see ``_within_families``.
 
-    Step 3 leaves out only pairs that are already connected, so no candidate is lost; with the default bands a pair
-    at exactly 80 % is missed with probability 0.000008. All links are confirmed on full sets.
+    Step 3 leaves out only pairs that are already connected or cannot be similar enough, so no candidate is lost; with
+    the default bands a pair at exactly 80 % is missed with probability 0.000008. All links are confirmed on full sets.
 
     Null or empty text: no shingles, linked with nothing. Null doc_id: linked with nothing, component null, kept. Rows
     that share a doc_id are one document: they get one component, and both are kept or not. Empty input: no rows.
@@ -128,14 +171,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, text: Column
     links = links.union(_confirmed(rest, sets, percent))
     found = components(links)
 
-    placed = pin(_labelled(met, "node", found, "c"))
-    open_ = placed.groupBy(F.col("bucket").alias("_bucket")).agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max_by("c", F.col("node") == F.col("hub")).alias("hub_c")).where("low < high").select("_bucket", "hub_c")
-    left = placed.join(open_, F.col("bucket") == F.col("_bucket")).where("node != hub")
-    outside = left.where("c != hub_c").select(F.col("bucket").alias("_in"), F.col("node").alias("x"), F.col("c").alias("cx"))
-    pairs = left.select("bucket", "node", "c").join(outside, (F.col("bucket") == F.col("_in")) & (F.col("c") != F.col("cx")))
-    pairs = pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-    pairs = pin(pairs.join(first.union(rest), ["a", "b"], "left_anti"))
-    links = links.union(_confirmed(pairs, sets, percent))
+    near, pairs = _within_families(spokes, sets, found, percent)
+    links = links.union(near).union(_confirmed(pairs.join(first.union(rest), ["a", "b"], "left_anti"), sets, percent))
 
     nodes = classes.select(F.col("key_a").alias("_a"), F.col("key_b").alias("_b"), F.col("n_shingles").alias("_n"), "node")
     same_set = (F.col("key_a") == F.col("_a")) & (F.col("key_b") == F.col("_b")) & (F.col("n_shingles") == F.col("_n"))
