@@ -106,6 +106,32 @@ def test_every_long_repeat_is_found(given):
     assert wanted and all(len(span - found[doc]) <= 2 for doc, span in wanted.items())
 
 
+def uncovered(texts, found, least=50):
+    """Words in runs of ``least`` words that an earlier document has too and that no passage covers, by document."""
+    first, wanted = {}, collections.defaultdict(set)
+    for doc in sorted(texts):
+        w = words(texts[doc])
+        for i in range(len(w) - least + 1):
+            if first.setdefault(tuple(w[i : i + least]), doc) != doc:
+                wanted[doc].update(range(i, i + least))
+    for r in found:
+        wanted[r.doc_id] -= set(range(r.first_word, r.end_word))
+        assert r.identity < 1 or words(texts[r.doc_id])[r.first_word : r.end_word] == words(texts[r.source_doc_id])[r.source_first_word : r.source_end_word]
+    return {d: sorted(x) for d, x in wanted.items() if x}
+
+
+def test_copies_of_documents_that_repeat_themselves_are_found(docs):
+    rng = random.Random(5)
+    fresh = lambda n: " ".join(f"s{rng.randrange(10**7)}" for _ in range(n))
+    line, block = fresh(9), fresh(30)
+    mixed = "\n".join(x for _ in range(5) for x in (block, fresh(7)))
+    texts = {1: "same " * 372, 2: "same " * 372, 3: "\n".join([line] * 30), 4: fresh(60) + "\n" + "\n".join([line] * 40), 5: mixed, 6: fresh(20) + " " + mixed, 7: "same " * 900}
+    found = substring_dedup.repeated_passages(docs(*texts.items())).collect()
+    assert {2, 4, 6, 7} == {r.doc_id for r in found} and uncovered(texts, found) == {}
+    cut = {r.doc_id: words(r.text) for r in substring_dedup.dedup_passages(docs(*texts.items())).collect()}
+    assert set(cut) == {1, 3, 4, 5, 6} and len(cut[4]) == 60 and len(cut[6]) == 20
+
+
 def test_planted_passages_are_cut_and_clean_documents_stay(docs):
     rng = random.Random(3)
     fresh = lambda n: " ".join(f"t{rng.randrange(10**7)}" for _ in range(n))
