@@ -132,6 +132,16 @@ def test_copies_of_documents_that_repeat_themselves_are_found(docs):
     assert set(cut) == {1, 3, 4, 5, 6} and len(cut[4]) == 60 and len(cut[6]) == 20
 
 
+def test_a_passage_whose_parts_stand_in_other_documents_is_found(docs):
+    rng = random.Random(6)
+    fresh = lambda n: [f"p{rng.randrange(10**7)}" for _ in range(n)]
+    make = lambda *parts: " ".join(w for p in parts for w in p)
+    passage, ends = fresh(60), fresh(52)
+    texts = {0: make(fresh(40), passage[30:], fresh(40)), 1: make(fresh(30), passage[:30], fresh(30)), 2: make(fresh(70), passage), 3: make(passage, fresh(90)), 4: make(fresh(30), ends[:26], fresh(20), ends[26:]), 5: make(ends, fresh(20)), 6: make(fresh(25), ends, fresh(25))}
+    found = substring_dedup.repeated_passages(docs(*texts.items())).collect()
+    assert {(r.doc_id, r.source_doc_id) for r in found} == {(3, 2), (6, 5)} and uncovered(texts, found) == {}
+
+
 def test_planted_passages_are_cut_and_clean_documents_stay(docs):
     rng = random.Random(3)
     fresh = lambda n: " ".join(f"t{rng.randrange(10**7)}" for _ in range(n))
