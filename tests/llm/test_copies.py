@@ -142,6 +142,19 @@ def test_a_passage_whose_parts_stand_in_other_documents_is_found(docs):
     assert {(r.doc_id, r.source_doc_id) for r in found} == {(3, 2), (6, 5)} and uncovered(texts, found) == {}
 
 
+@pytest.mark.parametrize("every", [10, 7, 5])
+def test_passages_with_many_changed_words_are_found(docs, every):
+    rng = random.Random(every)
+    fresh = lambda n: [f"f{rng.randrange(10**8)}" for _ in range(n)]
+    rows = {}
+    for i in range(40):
+        passage = fresh(60)
+        edited = [fresh(1)[0] if k % every == every // 2 else w for k, w in enumerate(passage)]
+        rows[i], rows[100 + i] = " ".join(fresh(50) + passage + fresh(30)), " ".join(fresh(20) + edited + fresh(60))
+    found = substring_dedup.repeated_passages(docs(*rows.items())).collect()
+    assert all(r.source_doc_id == r.doc_id - 100 and r.identity >= 0.8 for r in found) and len({r.doc_id for r in found}) >= 38
+
+
 def test_planted_passages_are_cut_and_clean_documents_stay(docs):
     rng = random.Random(3)
     fresh = lambda n: " ".join(f"t{rng.randrange(10**7)}" for _ in range(n))
