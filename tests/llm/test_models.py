@@ -121,6 +121,15 @@ def test_languages_of_odd_rows(docs):
     assert [r.lang_pred for r in language_id.predicted(docs((1, "a", None))).collect()] == ["und"]
 
 
+def test_long_texts_are_learned_from_and_nothing_goes_without_a_model(docs):
+    short, long = "the cat and the dog ", "köttur og hundur í þorpinu "
+    df = docs(*[(i, short * 5, "en") for i in range(20)], *[(100 + i, long * 2_000, "is") for i in range(20)], (200, None, "en"), (201, "12 34", "en"))
+    rows = {r.doc_id: r.lang_pred for r in language_id.predicted(df).collect()}
+    assert rows == {**{i: "en" for i in range(20)}, **{100 + i: "is" for i in range(20)}, 200: "und", 201: "und"}
+    assert max(len(r.text.encode()) for r in language_id.training_rows(df).collect()) <= 1.01 * language_id.TRAIN_BYTES
+    assert sorted(r.doc_id for r in language_id.keep_identified(df.withColumn("lang", F.lit(None).cast("string"))).collect()) == [*range(20), *range(100, 120)]
+
+
 def test_statements_of_planted_licences(docs):
     fill = [(i, "\n".join(f"word{(i * j) % 97} of the ver{j} and to{i} it was" for j in range(1, 9))) for i in range(40)]
     df = docs(

@@ -7,14 +7,15 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tieout.llm.common import fold, free, in_worker, small_side
 from tieout.llm.words import text_slices
 
 ORDER = 3
 TRAIN_DOCS = 300  # per language; the only bound on what is learned from
-TRAIN_BYTES = 20_000  # longest text that is learned from
+TRAIN_BYTES = 20_000  # of a longer text, so many bytes are learned from
+SEGMENTS = 20  # parts of a longer text, spread evenly from its start to its end
 TEST_FOLD = 0
 LANE = 512
 SLICE_BYTES = 1_500_000
@@ -23,21 +24,30 @@ UNDEFINED = "und"
 
 
 def training_rows(docs: DataFrame, most: int = TRAIN_DOCS, longest: int = TRAIN_BYTES) -> DataFrame:
-    """(lang, text): at most ``most`` whole texts per language, those with the smallest hash of their id.
+    """(lang, text): at most ``most`` texts per language, those with the smallest hash of their id.
 
+    Texts of up to ``longest`` bytes are whole; a longer one is as many bytes in segments spread over all of it.
     Documents are counted first; with that number all but a few times as many hashes as wanted are cut where the rows
     are read, so a language with most of the rows sends no more than the others.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    known = docs.where(fold(F.col("doc_id")) != TEST_FOLD).where("lang IS NOT NULL AND text IS NOT NULL").where((F.octet_length(text) <= longest) & (F.length(text) > 0))
+    known = docs.where(fold(F.col("doc_id")) != TEST_FOLD).where("lang IS NOT NULL AND text IS NOT NULL").where(F.length(text) > 0)
     keyed = known.select("lang", "text", F.xxhash64("doc_id", F.lit(9)).alias("h"))
     counts = small_side(known.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("n")))
     share = F.col("h").bitwiseAND(F.lit(2**63 - 1)) / F.lit(2.0**63)
     near = keyed.join(counts, F.col("lang") == F.col("_lang")).where(share * F.col("n") < 4.0 * most + 100)
+    near = near.withColumn("text", F.when(F.octet_length("text") <= longest, F.col("text")).otherwise(_segments(F.col("text"), longest)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(share, "h", "text"))
     return near.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "text")
 
 
+def _segments(text: Column, size: int) -> Column:
+    """About ``size`` bytes of a text that has more, in equal segments on lines of their own."""
+    n = F.char_length(text)
+    each = F.greatest(F.floor(size / SEGMENTS * n / F.octet_length(text)), F.lit(1)).cast("int")
+    return F.concat_ws("\n", *[F.substring(text, (F.floor((n - each) * i / (SEGMENTS - 1)) + 1).cast("int"), each) for i in range(SEGMENTS)])
+
+
 def context_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
     """(lang, gram, n): how often a byte (the last of ``gram``) follows the bytes before it, for contexts of 0 to ``order`` bytes."""
 
@@ -169,12 +179,12 @@ def fit(docs: DataFrame, order: int = ORDER, most: int = TRAIN_DOCS, longest: in
     return Model([(r.lang, bytes(r.gram), r.n) for r in counts], order) if counts else None
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, untold: str = UNDEFINED) -> DataFrame:
     """``docs`` with lang_pred and score (columns of these names are replaced).
 
     lang_pred is the language with the shortest code; the first by name if several are equal. score is its share when
     each language has the weight 2 ** -(bits per 32 bytes), so it is 1 / number of languages where all are alike. Null
-    text, a text without letters, or no model: ``und`` with score 0. Whole texts are read. Empty input: no rows.
+    text or a text without letters: ``und`` with score 0. No model: ``untold`` with score 0 for texts with letters. Whole texts are read. Empty input: no rows.
     """
     kept = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -186,7 +196,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             for first, end, data, offsets in text_slices(batch.column("text"), SLICE_BYTES):
                 has = _letters(data, offsets)
                 if model is None:
-                    names += [UNDEFINED] * len(has)
+                    names += [untold if h else UNDEFINED for h in has.tolist()]
                     scores += [0.0] * len(has)
                     continue
                 bits = model.code_lengths(data, offsets)
@@ -208,7 +218,7 @@ def predicted(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose text has a language that can be told; columns unchanged."""
+    """Rows of ``docs`` but those whose text is null or has no letter, also if there is nothing to learn from; columns unchanged."""
     held = {c: free(docs, f"{c}_held") for c in docs.columns if c.lower() in ("lang_pred", "score")}
-    known = predict(docs.withColumnsRenamed(held), fit(docs)).where(F.col("lang_pred") != UNDEFINED)
+    known = predict(docs.withColumnsRenamed(held), fit(docs), untold="").where(F.col("lang_pred") != UNDEFINED)
     return known.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in held.items()})
