@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tieout.llm import decontamination, fingerprints, language_id, licenses, lm_scoring, near_dedup, sentence_pieces, sharding, substring_dedup, token_counts
+from tieout.llm import decontamination, filter_audit, fingerprints, language_id, licenses, lm_scoring, near_dedup, periodic_runs, sentence_pieces, sharding, substring_dedup, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,46 @@ def op7_fingerprints(spark, folder):
 def op6_license_scan(spark, folder):
     """Licence statements of all documents by family."""
     return licenses.license_statements(_table(spark, folder, "documents"))
+
+
+@query
+def op11_filter_audit(spark, folder):
+    """What each of five filters removes in every order, per language."""
+    flagged = filter_audit.failures(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return filter_audit.filter_audit(flagged, list("ABCDE"))
+
+
+ORACLES["op11_filter_audit"] = r"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+words AS (SELECT *, [x FOR x IN regexp_split_to_array(t, '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM docs),
+fails AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END ||
+    CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 'C' ELSE '' END ||
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END ||
+    CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS f
+  FROM words LEFT JOIN marks USING (doc_id)),
+cells AS (
+  SELECT part, f, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM fails GROUP BY part, f),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+stopped AS (SELECT *, coalesce(list_min([strpos(o, y) FOR y IN string_split(f, '') IF y <> '']), 6) AS stop FROM cells, orders),
+credit AS (SELECT part, substr(o, stop, 1) AS x, sum(n) AS n FROM stopped WHERE stop < 6 GROUP BY ALL)
+SELECT s.part, o AS filter_order, k::INTEGER AS step,
+  coalesce(sum(s.n) FILTER (WHERE stop > k), 0)::BIGINT AS kept, coalesce(sum(s.n) FILTER (WHERE stop = k), 0)::BIGINT AS removed,
+  coalesce(sum(s.n) FILTER (WHERE stop < k AND contains(f, substr(o, k, 1))), 0)::BIGINT AS redundant,
+  coalesce(sum(s.n) FILTER (WHERE f = substr(o, k, 1)), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (WHERE stop = k), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE stop = k), 0)::BIGINT AS toxic_lost,
+  coalesce(any_value(credit.n), 0)::BIGINT AS shapley
+FROM stopped s CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS k) LEFT JOIN credit ON credit.part = s.part AND credit.x = substr(o, k, 1)
+GROUP BY s.part, o, k
+"""
+
+
+@query
+def op12_periodic_runs(spark, folder):
+    """Periodic runs of the words of every document, one document in ten made periodic before."""
+    return periodic_runs.periodic_runs(_table(spark, folder, "documents"), plant=True, texts=False).drop("n_words", "runs", "collapsed")

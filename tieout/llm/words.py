@@ -53,7 +53,7 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
 class Words:
     """Words of a slice: ``hashes``, byte spans ``begin`` and ``end``, and ``starts`` (first word of each text)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
         inside = ~_SPACE[data]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
@@ -66,7 +66,7 @@ class Words:
             lengths = np.diff(np.append(runs, len(at)))
             place = np.arange(len(at)) - np.repeat(runs, lengths)
             powers = np.cumprod(np.full(int(lengths.max()), _STEP, dtype=np.uint64))
-            self.hashes = mix(np.add.reduceat(_BYTE[_LOWER[data[at]]] * powers[place], runs) + lengths.astype(np.uint64))
+            self.hashes = mix(np.add.reduceat(_BYTE[_LOWER[data[at]] if lower else data[at]] * powers[place], runs) + lengths.astype(np.uint64))
             self.end = self.begin + lengths
         else:
             self.hashes, self.end = np.zeros(0, np.uint64), self.begin
