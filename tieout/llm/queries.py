@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tieout.llm import decontamination, filter_audit, fingerprints, language_id, licenses, lm_scoring, near_dedup, periodic_runs, sentence_pieces, sharding, substring_dedup, token_counts
+from tieout.llm import decontamination, filter_audit, fingerprints, jaccard_join, language_id, licenses, lm_scoring, near_dedup, periodic_runs, sentence_pieces, sharding, substring_dedup, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -146,3 +146,9 @@ GROUP BY s.part, o, k
 def op12_periodic_runs(spark, folder):
     """Periodic runs of the words of every document, one document in ten made periodic before."""
     return periodic_runs.periodic_runs(_table(spark, folder, "documents"), plant=True, texts=False).drop("n_words", "runs", "collapsed")
+
+
+@query
+def op13_jaccard_join(spark, folder):
+    """Components of documents whose 4-word shingle sets are similar to 85 % or more."""
+    return jaccard_join.jaccard_groups(_table(spark, folder, "documents"))
