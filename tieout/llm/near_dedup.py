@@ -165,9 +165,10 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, text: Column
     links = _confirmed(first, sets, percent)
     found = components(links)
 
-    rest = spokes.select(F.col("hub").alias("a"), F.col("node").alias("b")).join(first, ["a", "b"], "left_anti")
-    rest = _labelled(_labelled(rest, "a", found, "ca"), "b", found, "cb").where("ca != cb").select("a", "b")
-    rest = pin(rest)
+    apart = pin(_labelled(classes.select("node", "bands"), "node", found, "c")).select(F.explode("bands").alias("bucket"), "node", "c")
+    hubs = apart.groupBy(F.col("bucket").alias("_bucket")).agg(F.min_by(F.struct(F.col("node").alias("a"), "c"), "node").alias("hub"), F.min("c").alias("low"), F.max("c").alias("high"))
+    rest = apart.join(hubs.where("low < high"), (F.col("bucket") == F.col("_bucket")) & (F.col("c") != F.col("hub.c")))
+    rest = pin(rest.select("hub.a", F.col("node").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     links = links.union(_confirmed(rest, sets, percent))
     found = components(links)
 
