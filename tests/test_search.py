@@ -46,16 +46,39 @@ def check(spark, left, right, least, **options):
     return got
 
 
-@pytest.mark.parametrize("limits", [{}, {"variants_per_code": 8}, {"variants_per_code": 0}])
-def test_random_codes(spark, limits, monkeypatch):
+@pytest.mark.parametrize("limits", [{}, {"whole_deletions": 1}, {"whole_deletions": -1}])
+@pytest.mark.parametrize("least", [70, 45])
+def test_random_codes(spark, limits, least):
     rng = random.Random(7)
     code = lambda: "".join(rng.choice("ab1 ") for _ in range(rng.randint(1, 9))).strip() or "a"
     left, right = [code() for _ in range(60)], [code() for _ in range(50)]
-    monkeypatch.setattr(fuzzy, "VARIANTS_PER_PASS", 300)  # several passes
-    check(spark, left, right, 70, **limits)
+    check(spark, left, right, least, **limits)
 
 
-def test_long_codes_are_finished_by_shared_characters(spark):
+def test_lengths_beyond_one_number_of_the_fold(spark):
+    rng = random.Random(5)
+    pairs = [("".join(rng.choice("abcé😀 ") for _ in range(rng.choice((1, 61, 62, 63, 124, 125, 150)))), "".join(rng.choice("abcé😀 ") for _ in range(rng.choice((0, 1, 62, 130))))) for _ in range(60)]
+    df = spark.createDataFrame(pairs, "a string, b string").withColumn("n", F.length("a"))
+    got = df.withColumn("c", fuzzy.common_length(fuzzy.places(F.col("a"), F.col("n")), F.col("n"), F.col("b"))).collect()
+    assert [r.c for r in got] == [common(a, b) for a, b in pairs]
+
+
+def test_segments_make_fewer_rows_than_all_pairs(spark):
+    """1,500 names that differ in their digits only: every zero dropped once, against all of them."""
+    names = [f"Customer#{i:09d}" for i in range(1500)]
+    right = fuzzy.distinct_codes(spark.createDataFrame([(n,) for n in names], "code string"), "code")
+    left = fuzzy.distinct_codes(spark.createDataFrame([(n[:9] + n[10:],) for n in names], "code string"), "code")
+    rounds = fuzzy.deletion_rounds([17], [18], 80)
+    needed = [lengths for r in (0, 1) if r in rounds for lengths in rounds[r]]
+    ours = fuzzy.deletions(left, {(n, n - k) for n, m, k in needed})
+    theirs = fuzzy.deletions(right, {(m, m - k) for n, m, k in needed}).groupBy("text", "size").agg(F.min("code").alias("code"))
+    rows = ours.join(theirs, "text").count()
+    best = {r.source_code: r.suggested_code for r in fuzzy.best_matches(left, right, 80).collect()}
+    assert len(best) == 1500 and rows < 1500 * 1500 / 50
+    assert best["Customer#00000017"] == "Customer#000000017"
+
+
+def test_long_codes_are_finished_by_segments(spark):
     rng = random.Random(3)
     base = ["".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(12)]
     cut = lambda t, n: "".join(c for i, c in enumerate(t) if i not in set(rng.sample(range(len(t)), n)))

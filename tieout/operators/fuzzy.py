@@ -3,31 +3,33 @@
 The score is the token-sort ratio: words sorted and joined, then 200 * common / (length + length),
 where ``common`` is the length of the longest common subsequence. Two texts have a common
 subsequence of length L exactly if deleting characters from both can leave the same text of length L.
-So instead of comparing pairs, each side is expanded into the texts that remain after deletions, and
-the sides meet by an equi-join on those texts. Of all mapped codes that leave the same text and have the
-same length only the smallest can win, so the mapped side is reduced to that one before the join: a
-text shared by very many codes stays one row.
-
-Deletions are tried in rounds, fewest first. After each round only those codes go on for which more
-deletions could still give an equal or better score. Codes too long to expand further are finished by
-comparing them with the codes that share a rare character, which loses no match either.
+No pair is made to find that out. Searches go on in rounds, fewest deletions first, and after each round
+only those codes go on for which more deletions could still give an equal or better score.
+
+Up to ``WHOLE_DELETIONS`` characters are deleted from whole texts, and the sides meet by an equi-join on the texts
+that remain. Of all mapped codes that leave the same text and have the same length only the smallest can win,
+so the mapped side is reduced to that one before the join: a text shared by very many codes stays one row.
+
+More deletions would leave too many texts. There a mapped text is cut into one segment more than there can be
+deletions in both texts; each deletion spoils one segment at most, so one is whole in the other text, not
+farther from its place than the deletions allow. The sides meet by an equi-join on length, segment number and the
+segment's text, and every pair is scored once, by a fold over the characters that stays inside Spark.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from math import ceil, comb
+from math import ceil
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tieout import defaults as D
 from tieout.functions import token_sorted
 from tieout.operators.enrich import mapping_keys
 from tieout.scale import pin, small_side
 
-VARIANTS_PER_CODE = 5_000
-VARIANTS_PER_PASS = 2_000_000
+WHOLE_DELETIONS = 2
+LIMB = 62  # characters for each number of the fold
 
 
 def distinct_codes(df: DataFrame, column: str) -> DataFrame:
@@ -46,13 +48,13 @@ def fuzzy_matches(
     source: DataFrame,
     mapping: DataFrame,
     min_score: float = D.FUZZY_MIN_SCORE,
-    variants_per_code: int = VARIANTS_PER_CODE,
+    whole_deletions: int = WHOLE_DELETIONS,
 ) -> DataFrame:
     """Every unmapped code with a match of at least ``min_score``: code, match, score and its category.
 
     Equal scores are settled by the smaller code, repeated mapping rows by the smaller category.
     """
-    best = best_matches(unmapped_distinct(source, mapping), distinct_codes(mapping, "source_account_code"), min_score, variants_per_code)
+    best = best_matches(unmapped_distinct(source, mapping), distinct_codes(mapping, "source_account_code"), min_score, whole_deletions)
     categories = mapping.groupBy(F.col("source_account_code").cast("string").alias("_known")).agg(
         F.min("metric_category").alias("suggested_category")
     )
@@ -60,32 +62,30 @@ def fuzzy_matches(
     return joined.select("source_code", "suggested_code", F.round("score", 1).alias("score"), "suggested_category")
 
 
-def best_matches(left: DataFrame, right: DataFrame, min_score: float, variants_per_code: int = VARIANTS_PER_CODE) -> DataFrame:
-    """Best match of each left code; both sides as made by ``distinct_codes``."""
+def best_matches(left: DataFrame, right: DataFrame, min_score: float, whole_deletions: int = WHOLE_DELETIONS) -> DataFrame:
+    """Best match of each left code; both sides as made by ``distinct_codes``.
+
+    ``whole_deletions`` is the number of deletions (of the side with more of them) up to which whole texts meet; the
+    result does not depend on it. Negative: segments only.
+    """
     # Of codes with the same words only the smallest can be suggested.
     right = right.groupBy("text", "size").agg(F.min("code").alias("code"))
     left, right = pin(left), pin(right)
     # One row per text length, so this stays small however many codes there are.
-    both = left.select(F.lit("l").alias("side"), "size").union(right.select(F.lit("r").alias("side"), "size"))
-    counts = {(r["side"], r["size"]): r["count"] for r in both.groupBy("side", "size").count().collect()}
-    ours, theirs = ({n: c for (side, n), c in counts.items() if side == s} for s in "lr")
-    rounds = deletion_rounds(sorted(ours), sorted(theirs), min_score)
+    both = left.select(F.lit("l").alias("side"), "size").union(right.select(F.lit("r").alias("side"), "size")).distinct().collect()
+    rounds = deletion_rounds(sorted(r["size"] for r in both if r["side"] == "l"), sorted(r["size"] for r in both if r["side"] == "r"), min_score)
     best = left.select(F.col("code").alias("source_code"), F.lit(None).cast("string").alias("suggested_code"), F.lit(None).cast("double").alias("score")).limit(0)
-    waiting, expandable = left, True
-    for r, needed in passes(rounds, ours, theirs, variants_per_code):
-        if _per_code(needed) > variants_per_code:
-            expandable = False
-            break
-        best = _better(best.unionByName(_round(waiting, right, needed)))
-        bounds = remaining_bounds(rounds, r)
+    waiting = left
+    for last, needed in passes(rounds, whole_deletions):
+        found = _round(waiting, right, needed) if last <= whole_deletions else _by_segments(waiting, right, needed)
+        best = _better(best.unionByName(found))
+        bounds = remaining_bounds(rounds, last)
         if not bounds:
             break
         best = pin(best)
         waiting = pin(_unsettled(left, best, bounds))
         if waiting.isEmpty():
             break
-    if not expandable and not waiting.isEmpty():
-        best = _better(best.unionByName(_by_shared_characters(waiting, right, min_score)))
     return best
 
 
@@ -100,24 +100,13 @@ def deletion_rounds(ours: list[int], theirs: list[int], min_score: float) -> dic
     return rounds
 
 
-def _per_code(needed: list[tuple[int, int, int]]) -> int:
-    return max(max(comb(n, n - k), comb(m, m - k)) for n, m, k in needed)
-
-
-def passes(rounds: dict, ours: dict[int, int], theirs: dict[int, int], variants_per_code: int):
-    """Rounds in order, joined into one pass as long as all its texts together and those of a code stay few."""
-    joined: list[tuple[int, int, int]] = []
-    texts, last = 0, None
+def passes(rounds: dict, whole_deletions: int):
+    """(last round, lengths) of rounds that are searched together: each one on whole texts, else up to twice as many deletions."""
+    together: dict[tuple[int, int], list[int]] = {}
     for r in sorted(rounds):
-        left = {(n, n - k) for n, _, k in rounds[r]}
-        right = {(m, m - k) for _, m, k in rounds[r]}
-        more = sum(ours[n] * comb(n, d) for n, d in left) + sum(theirs[m] * comb(m, d) for m, d in right)
-        if joined and (texts + more > VARIANTS_PER_PASS or _per_code(rounds[r]) > variants_per_code):
-            yield last, joined
-            joined, texts = [], 0
-        joined, texts, last = joined + rounds[r], texts + more, r
-    if joined:
-        yield last, joined
+        together.setdefault((0, max(r, 1)) if r <= whole_deletions else (1, r.bit_length()), []).append(r)
+    for some in together.values():
+        yield some[-1], [lengths for r in some for lengths in rounds[r]]
 
 
 def remaining_bounds(rounds: dict, done: int) -> dict[int, float]:
@@ -179,59 +168,108 @@ def _unsettled(left: DataFrame, best: DataFrame, bounds: dict[int, float]) -> Da
     return joined.filter(bound.isNotNull() & (F.col("score").isNull() | (bound >= F.col("score")))).select("code", "text", "size")
 
 
-def _characters(text: Column) -> Column:
-    """Every character with its running number in the text, so that equal ones count separately."""
-    def numbered(c, i):
-        head = F.substr(text, F.lit(1), i + 1)
-        return F.concat(c, (F.length(head) - F.length(F.replace(head, c, F.lit("")))).cast("string"))
+def _segments(lengths: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(left length, right length, deletions in both, segments of the right text) from the least common length."""
+    least: dict[tuple[int, int], int] = {}
+    for n, m, common in lengths:
+        least[n, m] = min(common, least.get((n, m), common))
+    most: dict[int, int] = {}
+    for (n, m), common in least.items():
+        most[m] = max(most.get(m, 0), n + m - 2 * common)
+    return [(n, m, n + m - 2 * common, most[m] + 1) for (n, m), common in least.items()]
 
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), numbered)
 
+def _place(number: Column, size: Column, parts: Column) -> tuple[Column, Column]:
+    """Start (from zero) and length of a segment when a text of ``size`` is cut into ``parts``; the later ones are longer."""
+    short = (size / parts).cast("int")
+    plain = parts - size % parts
+    return number * short + F.greatest(number - plain, F.lit(0)), short + (number >= plain).cast("int")
 
-@F.pandas_udf(T.IntegerType())
-def common_length(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence, one bit per character of the left text."""
-    out = []
-    for a, b in zip(left, right):
-        places: dict[str, int] = {}
-        for i, c in enumerate(a):
-            places[c] = places.get(c, 0) | (1 << i)
-        every = (1 << len(a)) - 1
-        open_bits = every
-        for c in b:
-            hit = open_bits & places.get(c, 0)
-            open_bits = ((open_bits + hit) | (open_bits - hit)) & every
-        out.append(len(a) - open_bits.bit_count())
-    return pd.Series(out, dtype="int32")
 
+def segment_pairs(left: DataFrame, right: DataFrame, lengths: list[tuple[int, int, int]]) -> DataFrame:
+    """Pairs (code, their_code), each once, that can have the common lengths of ``lengths``.
 
-def _by_shared_characters(left: DataFrame, right: DataFrame, min_score: float) -> DataFrame:
-    """Best match through pairs that share a character among the rarest of both texts.
-
-    A match needs at least t*n/(200-t) common characters, so the n - that + 1 rarest characters of
-    both texts have one in common. A pair is made only at the first such character.
+    With k deletions in both texts together, take the first segment of the right text that none of them spoils. Those
+    before it take one deletion each, which leaves k minus its number for what follows it; the difference of what follows
+    it in both texts, and that of what goes before it, cannot be larger than that.
+    """
+    table = left.sparkSession.createDataFrame(_segments(lengths), "n int, m int, k int, parts int")  # a row per pair of lengths
+    each = F.explode(F.sequence(F.lit(0), F.col("k"))).alias("number")
+    ours = left.select("code", "text", "size").join(F.broadcast(table), F.col("size") == F.col("n")).select("*", each)
+    start, length = _place(F.col("number"), F.col("m"), F.col("parts"))
+    apart = F.col("n") - F.col("m")
+    low = F.greatest(F.ceil((apart - F.col("k")) / 2).cast("int"), apart - (F.col("k") - F.col("number")), -start)
+    high = F.least(F.floor((apart + F.col("k")) / 2).cast("int"), apart + (F.col("k") - F.col("number")), F.col("n") - start - length)
+    ours = ours.select("code", "text", "m", "number", start.alias("start"), length.alias("length"), low.alias("low"), high.alias("high")).where("low <= high")
+    texts = F.transform(F.sequence("low", "high"), lambda by: F.substr("text", F.col("start") + by + 1, F.col("length")))
+    ours = ours.select("code", "m", "number", F.explode(F.array_distinct(texts)).alias("segment"))
+    cut = F.broadcast(table.select(F.col("m").alias("_m"), "parts").distinct())
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("_number")
+    theirs = right.join(cut, F.col("size") == F.col("_m")).select(F.col("code").alias("their_code"), "text", "_m", "parts", every)
+    start, length = _place(F.col("_number"), F.col("_m"), F.col("parts"))
+    theirs = theirs.select("their_code", "_m", "_number", F.substr("text", start + 1, length).alias("_segment"))
+    met = ours.join(theirs, (F.col("m") == F.col("_m")) & (F.col("number") == F.col("_number")) & (F.col("segment") == F.col("_segment")))
+    return met.select("code", "their_code").distinct()
+
+
+def _by_segments(left: DataFrame, right: DataFrame, lengths: list[tuple[int, int, int]]) -> DataFrame:
+    """Best match through pairs that share a segment, as far as the common lengths of ``lengths`` go."""
+    limits = left.sparkSession.createDataFrame([(n, m, (n + m - k) // 2) for n, m, k, _ in _segments(lengths)], "n int, m int, least int")
+    ours = left.select("code", F.col("size").alias("n"), places(F.col("text"), F.col("size")).alias("places"))
+    theirs = right.select(F.col("code").alias("_code"), F.col("text").alias("their_text"), F.col("size").alias("m"))
+    pairs = segment_pairs(left, right, lengths).join(ours, "code").join(theirs, F.col("their_code") == F.col("_code"))
+    scored = pairs.withColumn("common", common_length(F.col("places"), F.col("n"), F.col("their_text")))
+    good = scored.join(F.broadcast(limits), ["n", "m"]).where(F.col("common") >= F.col("least"))
+    score = F.lit(200.0) * F.col("common") / (F.col("n") + F.col("m"))
+    return _better(good.select(F.col("code").alias("source_code"), F.col("their_code").alias("suggested_code"), score.alias("score")))
+
+
+def characters(text: Column, size: Column) -> Column:
+    """Characters of a text of ``size``; of an empty one a single empty text."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.substr(text, i, F.lit(1)))
+
+
+def places(text: Column, size: Column) -> Column:
+    """Map from each character of a text to its places, as bits of one number for every ``LIMB`` characters."""
+    chars = characters(text, size)
+    limbs = F.sequence(F.lit(0), F.greatest(F.floor((size - 1) / LIMB), F.lit(0)).cast("int"))
+
+    def bits(c):
+        def limb(j):
+            part = F.slice(chars, j * LIMB + 1, F.lit(LIMB))
+            marks = F.transform(part, lambda x, i: F.when(x == c, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+            return F.aggregate(marks, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+        return F.transform(limbs, limb)
+
+    each = F.array_distinct(chars)
+    return F.map_from_arrays(each, F.transform(each, bits))
+
+
+def common_length(places_: Column, size: Column, other: Column) -> Column:
+    """Length of the longest common subsequence of the text of ``places_`` and ``other``.
+
+    One bit per character of the first text says whether it is still open; a character of the other text closes, in
+    every run of open ones, the first place where it stands (by an addition whose carry goes through the run).
     """
-    sides = [df.withColumn("chars", _characters(F.col("text"))) for df in (left, right)]
-    counts = sides[0].select(F.explode("chars").alias("c")).union(sides[1].select(F.explode("chars").alias("c"))).groupBy("c").count()
-    frequent = small_side(counts)
-
-    def rare(df, mark):
-        ranked = df.select("code", "text", "size", F.explode("chars").alias("c")).join(frequent, "c")
-        listed = ranked.groupBy("code", "text", "size").agg(F.sort_array(F.collect_list(F.struct("count", "c"))).alias("l"))
-        needed = F.ceil(F.col("size") * min_score / (200 - min_score) - 1e-9).cast("int")
-        head = F.slice(F.transform("l", lambda x: x.c), F.lit(1), F.col("size") - needed + 1)
-        out = listed.select(
-            F.col("code").alias(f"{mark}_code"), F.col("text").alias(f"{mark}_text"), F.col("size").alias(f"{mark}_size"),
-            F.transform("l", lambda x: x.c).alias(f"{mark}_all"), head.alias(f"{mark}_head"),
-        )
-        return out.withColumn("c", F.explode(f"{mark}_head"))
-
-    pairs = rare(sides[0], "l").join(rare(sides[1], "r"), "c")
-    length = F.col("l_size") + F.col("r_size")
-    fits = 200 * F.least("l_size", "r_size") >= min_score * length
-    first = F.try_element_at(F.array_intersect("l_head", "r_head"), F.lit(1)) == F.col("c")
-    shared = 200 * F.size(F.array_intersect("l_all", "r_all")) >= min_score * length
-    scored = pairs.filter(fits & first & shared).withColumn("common", common_length("l_text", "r_text"))
-    score = F.lit(200.0) * F.col("common") / length
-    good = scored.filter(200 * F.col("common") >= min_score * length)
-    return _better(good.select(F.col("l_code").alias("source_code"), F.col("r_code").alias("suggested_code"), score.alias("score")))
+    zero = F.lit(0).cast("long")
+    full = (1 << LIMB) - 1
+    limbs = F.sequence(F.lit(0), F.greatest(F.floor((size - 1) / LIMB), F.lit(0)).cast("int"))
+    width = lambda j: F.least(size - j * LIMB, F.lit(LIMB)).cast("int")
+    every = F.transform(limbs, lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), width(j)) - 1)
+
+    def character(open_, c):
+        here = F.try_element_at(places_, c)
+
+        def limb(state, j):
+            v = F.get(open_, j)
+            hit = v.bitwiseAND(F.get(here, j))
+            total = v + hit + state["carry"]
+            left = total.bitwiseAND(F.lit(full)).bitwiseOR(v - hit).bitwiseAND(F.get(every, j))
+            return F.struct(F.concat(state["limbs"], F.array(left)).alias("limbs"), F.shiftright(total, LIMB).alias("carry"))
+
+        start = F.struct(F.array().cast("array<bigint>").alias("limbs"), zero.alias("carry"))
+        return F.when(here.isNull(), open_).otherwise(F.aggregate(limbs, start, limb, lambda s: s["limbs"]))
+
+    chars = characters(other, F.length(other))
+    return F.aggregate(chars, every, character, lambda v: size - F.aggregate(F.transform(v, F.bit_count), F.lit(0), lambda a, b: a + b))

@@ -2,18 +2,19 @@
 
 Each of the trees sees a bounded sample of accounts, so growing them takes one small task per tree.
 As there is one value per account, a tree is a list of intervals with a path length each, and the
-whole forest is one step function of at most trees * sample steps. Scoring all accounts is a lookup in that
-function inside the tasks.
+whole forest is one step function. Steps and accounts are brought into one order by value, which is cut into
+ranges, and every account takes the sum of the steps before it: an as-of lookup between two tables. Neither
+the forest nor the accounts pass through the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tieout import defaults as D
-from tieout.scale import pin
+from tieout.scale import pin, running_total
 
 EULER = 0.5772156649015329
 
@@ -85,20 +86,40 @@ def outlier_scores(
         return pd.DataFrame({"tree": tree, "start": starts, "path": paths})
 
     leaves = _samples(accounts, n, trees, sample, seed).groupBy("tree").applyInPandas(grow, "tree int, start double, path double")
-    forest = leaves.toPandas().sort_values(["tree", "start"])  # at most trees * sample rows
-    step = forest.path - forest.groupby("tree").path.shift(fill_value=0.0)
-    steps = step.groupby(forest.start).sum().sort_index()
-    starts, mean_path = steps.index.to_numpy(), steps.cumsum().to_numpy() / trees
-    scores = 2.0 ** (-mean_path / float(average_path(min(sample, n))))
-
-    @F.pandas_udf(T.DoubleType())
-    def score(amount: pd.Series) -> pd.Series:
-        return pd.Series(scores[np.searchsorted(starts, amount.to_numpy(), side="right") - 1])
-
-    scored = accounts.withColumn("score", score(F.col("amount").cast("double")))
-    # Scores take at most trees * sample values, which bounds the state of the exact percentile.
-    cut = scored.agg(F.percentile("score", F.lit(1.0 - share))).first()[0]
-    return scored.withColumn("is_anomalous", F.col("score") > F.lit(cut))
+    depth = as_of_sum(accounts, forest_steps(leaves))
+    score = F.pow(F.lit(2.0), -F.col("depth").cast("double") / (trees * float(average_path(min(sample, n)))))
+    return flag_highest(depth.withColumn("score", score).drop("depth"), share)
+
+
+def forest_steps(leaves: DataFrame) -> DataFrame:
+    """(start, change): by how much the summed path length of all trees changes at each left end of an interval.
+
+    Path lengths are rounded to twelve places and summed as decimals, so the sum does not depend on an order.
+    """
+    path = F.col("path").cast("decimal(28,12)")
+    before = F.lag(path, 1).over(Window.partitionBy("tree").orderBy("start"))  # at most ``sample`` intervals a tree
+    change = (path - F.coalesce(before, F.lit(0).cast("decimal(28,12)"))).cast("decimal(28,12)")
+    return leaves.select("start", change.alias("change")).groupBy("start").agg(F.sum("change").cast("decimal(28,12)").alias("change"))
+
+
+def as_of_sum(accounts: DataFrame, steps: DataFrame) -> DataFrame:
+    """``accounts`` (account_code, amount) with ``depth``: the sum of all changes up to their amount, that included."""
+    none = F.lit(0).cast("decimal(28,12)")
+    marks = steps.select(F.col("start").alias("value"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("account_code"), F.lit(None).cast(accounts.schema["amount"].dataType).alias("amount"), "change")
+    rows = accounts.select(F.col("amount").cast("double").alias("value"), F.lit(1).alias("kind"), "account_code", "amount", none.alias("change"))
+    summed = running_total(marks.unionByName(rows), [], [F.col("value"), F.col("kind"), F.col("account_code")], "change", "depth")
+    return summed.filter("kind = 1").select("account_code", "amount", "depth")
+
+
+def flag_highest(scored: DataFrame, share: float = D.OUTLIER_SHARE) -> DataFrame:
+    """Adds ``is_anomalous``: the score is above the one that ``share`` of all rows exceed.
+
+    The cut is exact, interpolated between two scores. Scores of a forest take at most trees * sample values, which bounds
+    the state of the aggregate; it stays in the plan as one value.
+    """
+    scored = pin(scored)
+    cut = scored.agg(F.percentile("score", F.lit(1.0 - share)).alias("cut")).scalar()
+    return scored.withColumn("is_anomalous", F.coalesce(F.col("score") > cut, F.lit(False)))
 
 
 def outlier_accounts(scored: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tieout import defaults as D
+from tieout.operators.overlap import overlapping
 from tieout.scale import small_side
 
 RUN_FIELDS = ["task_name", "start_time", "end_time", "status", "parameters", "high_watermark"]
@@ -40,11 +41,15 @@ def recent_tasks(run_log: DataFrame, keys: list[str] = ("pipeline_id", "side"),
     return run_log.select(*keys, "task_name", place.alias("place")).filter(F.col("place") <= n)
 
 
-def paired_runs(run_log: DataFrame, key: str = "pipeline_id") -> DataFrame:
-    """Latest run of both sides of every feed in one row; a side may be missing."""
-    latest = latest_runs(run_log, [key, "side"])
+def paired_runs(run_log: DataFrame, key: str | list[str] = "pipeline_id") -> DataFrame:
+    """Latest run of both sides of every feed in one row; a side may be missing.
+
+    ``key`` may have further columns, as the period of ``in_periods``; then there is one row for each of them.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    latest = latest_runs(run_log, [*keys, "side"])
     side = lambda name: F.max_by(F.when(F.col("side") == name, F.struct("last_run_ts", "parameters", "high_watermark")), F.col("side") == name)
-    return latest.groupBy(key).agg(side("source").alias("source_run"), side("target").alias("target_run"))
+    return latest.groupBy(*keys).agg(side("source").alias("source_run"), side("target").alias("target_run"))
 
 
 def parameter_differences(pairs: DataFrame, key: str = "pipeline_id") -> DataFrame:
@@ -69,15 +74,16 @@ def parameter_difference_count(ours, theirs):
     return F.size(differing).cast("long")
 
 
-def run_checks(pairs: DataFrame, key: str = "pipeline_id", seconds: int = D.RUN_GAP_SECONDS) -> DataFrame:
-    """Time, parameter and watermark differences per feed with the confidence of the check."""
+def run_checks(pairs: DataFrame, key: str | list[str] = "pipeline_id", seconds: int = D.RUN_GAP_SECONDS) -> DataFrame:
+    """Time, parameter and watermark differences per feed (and further keys) with the confidence of the check."""
+    keys = [key] if isinstance(key, str) else list(key)
     ours, theirs = F.col("source_run"), F.col("target_run")
     apart = F.abs(F.unix_timestamp(ours.last_run_ts) - F.unix_timestamp(theirs.last_run_ts))
     water = F.round(
         ours.high_watermark.cast("string").try_cast("double") - theirs.high_watermark.cast("string").try_cast("double"), 4
     )
     facts = pairs.select(
-        key,
+        *keys,
         ours.last_run_ts.alias("source_ts"),
         theirs.last_run_ts.alias("target_ts"),
         apart.alias("timestamp_diff_seconds"),
@@ -97,6 +103,17 @@ def run_confidence():
     return F.round(F.least(score, F.lit(1.0)), 3)
 
 
+def in_periods(run_log: DataFrame, periods: DataFrame) -> DataFrame:
+    """Every run with each period (period, period_start, period_end; the end belongs to the next one) that it overlaps.
+
+    A run lasts from its start to its end; with one of the two times only it is a moment, and without any it is in no
+    period. A run over several periods is in each of them.
+    """
+    begun, ended = F.coalesce("start_time", "end_time"), F.coalesce("end_time", "start_time")
+    runs = run_log.withColumns({"_begun": F.least(begun, ended), "_ended": F.greatest(begun, ended)})
+    return overlapping(runs, periods, ("_begun", "_ended"), ("period_start", "period_end")).drop("_begun", "_ended", "period_start", "period_end")
+
+
 def with_run_times(steps: DataFrame, run_log: DataFrame, keys: list[str] = ("step_name",)) -> DataFrame:
     """Start, end and status of the newest run whose task has the step's name."""
     others = [k for k in keys if k != "step_name"]

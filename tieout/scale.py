@@ -52,7 +52,8 @@ def scratch_folder(spark) -> str:
     return named
 
 
-def _path(spark, name: str):
+def path_of(spark, name: str):
+    """Hadoop path of a name, and the file system that holds it."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -61,7 +62,7 @@ def application_folder(spark) -> str:
     """This application's part of the shared folder; Hadoop removes it when the application ends."""
     path = f"{scratch_folder(spark)}/tieout-{spark.sparkContext.applicationId}"
     if path not in _FOLDERS:
-        hadoop, files = _path(spark, path)
+        hadoop, files = path_of(spark, path)
         files.mkdirs(hadoop)
         files.deleteOnExit(hadoop)
         _FOLDERS.add(path)
@@ -88,7 +89,7 @@ def scratch(spark):
         yield
     finally:
         for path in _SCOPES.pop():
-            hadoop, files = _path(spark, path)
+            hadoop, files = path_of(spark, path)
             files.delete(hadoop, True)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tieout import defaults as D
 from tieout.functions import amount_of, category, flag, quarter_label, time_of
@@ -19,6 +21,37 @@ def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.options(**({"header": True} if kind == "csv" else {}) | options).format(kind).load(path)
 
 
+@dataclass(frozen=True)
+class Checked:
+    """Rows that were read, and lines that were not: ``good`` with ``source_file``, ``bad`` with ``source_file`` and ``line``."""
+
+    good: DataFrame
+    bad: DataFrame
+
+
+def read_checked(spark: SparkSession, path: str, schema: str, header: bool = True, **options) -> Checked:
+    """CSV files read with a schema; lines with too few or too many fields, or with a value of another type, are kept apart.
+
+    All fields of a line are read for both parts whatever columns are used later, so every line of every file is in one of
+    them. Empty lines are no lines.
+    """
+    kinds = T.StructType.fromDDL(schema)
+    broken = "_line"
+    while broken in kinds.names:
+        broken += "_"
+    whole = T.StructType([*kinds.fields, T.StructField(broken, T.StringType())])
+    reader = spark.read.schema(whole).options(header=header, mode="PERMISSIVE", columnNameOfCorruptRecord=broken, enforceSchema=True, **options)
+    rows = reader.csv(path).select("*", F.col("_metadata.file_path").alias("source_file"))
+    every = F.hash(*kinds.names) >= -(2**31)  # always true; a line is read whole whatever columns are used
+    good = rows.where(F.col(broken).isNull() & every).select(*kinds.names, "source_file")
+    return Checked(good, rows.where(F.col(broken).isNotNull() & every).select("source_file", F.col(broken).alias("line")))
+
+
+def write_quarantine(bad: DataFrame, folder: str) -> None:
+    """Adds the lines that could not be read to the table at ``folder``."""
+    bad.select("source_file", "line", F.current_timestamp().alias("found_at")).write.mode("append").parquet(folder)
+
+
 def plain_names(df: DataFrame) -> DataFrame:
     """Column names trimmed, in lower case, with ``_`` for blanks."""
     return df.toDF(*[c.strip().lower().replace(" ", "_") for c in df.columns])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tieout import defaults as D
 from tieout.scale import running_total
+from tieout.sources.types import leaf_dtypes
 
 CELL_DELIMITER = "# COMMAND ----------"  # fixed value: line between the cells of an exported notebook
 INVENTORY = T.StructType([T.StructField(c, T.StringType()) for c in ("table_name", "version", "column_name", "data_type")])
@@ -44,14 +45,15 @@ def aggregates_as_source(transactions: DataFrame) -> DataFrame:
     )
 
 
-def inventory_of(df: DataFrame, table: str, version: str) -> DataFrame:
+def inventory_of(df: DataFrame, table: str, version: str, nested: bool = False) -> DataFrame:
     """Columns and types of one table version; only its schema is read."""
-    return inventory({table: df}, version)
+    return inventory({table: df}, version, nested)
 
 
-def inventory(tables: dict[str, DataFrame], version: str) -> DataFrame:
-    """Columns and types of several tables; only their schemas are read."""
-    rows = [(table, version, name, kind) for table, df in tables.items() for name, kind in df.dtypes]
+def inventory(tables: dict[str, DataFrame], version: str, nested: bool = False) -> DataFrame:
+    """Columns and types of several tables; only their schemas are read. With ``nested`` a row for each leaf of a type."""
+    kinds = leaf_dtypes if nested else (lambda df: df.dtypes)
+    rows = [(table, version, name, kind) for table, df in tables.items() for name, kind in kinds(df)]
     return next(iter(tables.values())).sparkSession.createDataFrame(rows, INVENTORY)
 
 

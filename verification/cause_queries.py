@@ -21,10 +21,11 @@ from tieout.operators import (
 )
 from tieout.operators.enrich import fold
 from tieout.operators.metrics import as_report
-from tieout.plans.investigate import gap_evidence, investigate
+from tieout.plans.investigate import Scopes, gap_evidence, investigate, scoped
+from tieout.plans.investigate import component_findings as component_rows
 from tieout.scale import pin
 from tieout.sources import files, remote
-from verification.check_queries import COVERAGE, IC, PAIRS, RAW_AMOUNT, UNMAPPED, raw_amount
+from verification.check_queries import COVERAGE, IC, PAIRS, RAW_AMOUNT, SIDES, UNMAPPED, raw_amount
 from verification.gap_queries import LINE, RULES, TOTAL_GAPS
 from verification.registry import query
 from verification.views import Views
@@ -246,9 +247,9 @@ def fuzzy_names(spark, folder):
 
 @query(fuzzy_sql("odd_names", "name_mapping", 85, "metric_category") + BEST)
 def fuzzy_names_by_characters(spark, folder):
-    """The same search by shared characters only, as for codes too long to expand."""
+    """The same search by shared segments of characters only, as for codes that need many deletions."""
     v = Views(spark, folder)
-    return Z.fuzzy_matches(v.odd_names, v.names, 85, variants_per_code=0)
+    return Z.fuzzy_matches(v.odd_names, v.names, 85, whole_deletions=-1)
 
 
 @query()
@@ -561,6 +562,112 @@ def investigation(spark, folder):
     return found.gate
 
 
+# ---------------------------------------------------------------- evidence per group
+
+
+@query(
+    """
+    , weeks AS (SELECT DISTINCT date_trunc('week', end_time)::TIMESTAMP AS b FROM timed_runs)
+    SELECT strftime(b, '%Y-%m-%d') AS period, count(*) AS run_count, count(DISTINCT pipeline_id) AS feed_count, count(*) FILTER (begun < b) AS begun_before
+    FROM weeks JOIN timed_runs ON begun < b + INTERVAL 7 DAY AND end_time >= b GROUP BY 1
+    """
+)
+def runs_by_period(spark, folder):
+    """Runs of up to three days with the weeks that they overlap."""
+    log = Views(spark, folder).timed_runs
+    weeks = log.select(F.date_trunc("week", "end_time").alias("period_start")).distinct()
+    weeks = weeks.select(F.date_format("period_start", "yyyy-MM-dd").alias("period"), "period_start", (F.col("period_start") + F.expr("INTERVAL 7 DAYS")).alias("period_end"))
+    before = F.count_if(F.col("start_time") < F.to_timestamp("period"))
+    return R.in_periods(log, weeks).groupBy("period").agg(F.count(F.lit(1)).alias("run_count"), F.count_distinct("pipeline_id").alias("feed_count"), before.alias("begun_before"))
+
+
+RUNS_BY_FEED = """
+, x_run AS (SELECT entity_code, max(late OR params > 0 OR wet) AS found, round(avg(conf::DECIMAL(10,3)), 3) AS conf, max(late) AS late, max(params > 0) AS params, max(wet) AS wet
+  FROM run_facts JOIN feeds USING (pipeline_id) GROUP BY 1)"""
+DRIFT_BY_TABLE = """
+, x_drift AS (SELECT entity_code, max(old_type IS NULL OR new_type IS NULL OR old_type <> new_type) AS drifted FROM sides JOIN fed_tables USING (table_name) GROUP BY 1)
+"""
+
+
+def by_feed(text: str) -> str:
+    """The evidence with runs and drift of each entity in place of one value for all."""
+    start = text.index("x_run AS (")
+    end = text.index("ev AS MATERIALIZED")
+    text = text[:start] + RUNS_BY_FEED.strip(", \n") + SIDES.rstrip() + DRIFT_BY_TABLE.rstrip() + ",\n" + text[end:]
+    for old, new in (
+        ("found, x_run.conf AS conf, late, params, wet,", "coalesce(found, false) AS found, coalesce(x_run.conf, 0.5::DOUBLE) AS conf, coalesce(late, false) AS late, coalesce(params, false) AS params, coalesce(wet, false) AS wet,"),
+        ("ELSE 0.0 END - 0.2)::DOUBLE", "ELSE 0.0 END - CASE WHEN coalesce(drifted, false) THEN 0.2 ELSE 0.0 END)::DOUBLE"),
+        ("LEFT JOIN x_adj USING (entity_code), x_run)", "LEFT JOIN x_adj USING (entity_code) LEFT JOIN x_run USING (entity_code) LEFT JOIN x_drift USING (entity_code))"),
+    ):
+        assert text.count(old) == 1, old
+        text = text.replace(old, new)
+    return text
+
+
+@query(by_feed(GATE.replace("DCONF", "dconf")))
+def investigation_by_feed(spark, folder):
+    """The whole investigation per entity; runs and drift count for the entities that their feeds and tables serve."""
+    v = Views(spark, folder)
+    found = investigate(
+        v.source(*EVIDENCE_LINE), v.mapping, v.grouped_target, by=ENTITY, run_log=v.run_log, drift=S.schema_drift(v.inventory, "old", "new"),
+        scopes=Scopes(feeds=v.feeds, tables=v.fed_tables),
+    )
+    return found.gate
+
+
+@query(
+    ENTITY_GAPS
+    + LATEST
+    + RUNS_BY_FEED
+    + SIDES
+    + DRIFT_BY_TABLE
+    + fuzzy_sql("recon_source", "recon_mapping", 80, "metric_category")
+    + """
+    , have AS (SELECT DISTINCT entity_code, account_code FROM recon_source),
+    x_fuzzy AS (SELECT DISTINCT entity_code, true AS matched FROM best JOIN have ON a = account_code),
+    x_odd AS (SELECT entity_code, count(*)::INTEGER AS n FROM have WHERE account_code IN ('Brand#4', 'Brand#8', 'Brand#12') GROUP BY 1),
+    x_apart AS (SELECT DISTINCT n_name AS entity_code, true AS apart FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name LIKE 'A%')
+    SELECT entity_code, coalesce(found, false) AS has_run_findings, coalesce(conf, 0.5::DOUBLE) AS run_confidence, coalesce(late, false) AS timestamp_gap_flag,
+      coalesce(params, false) AS has_parameter_diffs, coalesce(wet, false) AS watermark_gap_flag, coalesce(drifted, false) AS has_schema_drift,
+      coalesce(matched, false) AS has_fuzzy_match, coalesce(apart, false) AS has_region_mismatch, coalesce(n, 0)::INTEGER AS anomalous_count
+    FROM e_primary LEFT JOIN x_run USING (entity_code) LEFT JOIN x_drift USING (entity_code) LEFT JOIN x_fuzzy USING (entity_code)
+      LEFT JOIN x_odd USING (entity_code) LEFT JOIN x_apart USING (entity_code)
+    """
+)
+def evidence_by_group(spark, folder):
+    """Evidence of every entity from its own feeds, tables, accounts and region."""
+    v = Views(spark, folder)
+    source = pin(fold(v.source(*EVIDENCE_LINE)))
+    scopes = Scopes(feeds=v.feeds, tables=v.fed_tables, regions=v.places.select(F.col("r_name").alias("region"), F.col("n_name").alias("entity_code")))
+    odd = v.table("part").where(F.col("p_brand").isin("Brand#4", "Brand#8", "Brand#12")).select(F.col("p_brand").alias("account_code")).distinct()
+    apart = v.table("region").where("r_name LIKE 'A%'").select(F.col("r_name").alias("group"))
+    found = scoped(scopes, source, ENTITY, scopes.run_checks(v.run_log, ENTITY), S.schema_drift(v.inventory, "old", "new"), Z.fuzzy_matches(source, v.mapping), apart, odd)
+    rows = gap_evidence(entity_primary(v), source, v.mapping, ENTITY, None, *found)
+    flags = ["has_run_findings", "run_confidence", "timestamp_gap_flag", "has_parameter_diffs", "watermark_gap_flag", "has_schema_drift", "has_fuzzy_match", "has_region_mismatch", "anomalous_count"]
+    return rows.select(*ENTITY, *flags)
+
+
+@query(
+    UNMAPPED
+    + LATEST
+    + """
+    , f AS (
+      SELECT entity_code, 1 AS seq, 'Mapping Gap' AS category, account_code AS finding, t AS amount FROM u
+      UNION ALL SELECT * FROM (SELECT entity_code, 2, 'Intercompany Elimination', entity_code || ' / ' || counterparty_entity, sum(amount) AS t FROM recon_source
+        WHERE is_intercompany GROUP BY entity_code, counterparty_entity) WHERE abs(t) > 0.01
+      UNION ALL SELECT entity_code, 3, 'Orchestration Timing', pipeline_id, NULL FROM run_facts JOIN feeds USING (pipeline_id) WHERE late OR params > 0 OR wet
+      UNION ALL SELECT entity_code, 5, 'Manual Adjustment', entity_code, sum(amount) FROM recon_source WHERE adjustment_flag GROUP BY entity_code)
+    SELECT entity_code, seq, category, finding, round(CAST(amount AS DOUBLE), 2) AS amount,
+      CAST(row_number() OVER (PARTITION BY entity_code, seq ORDER BY abs(amount) DESC NULLS LAST, finding) AS INT) AS place FROM f QUALIFY place <= 10
+    """
+)
+def component_findings(spark, folder):
+    """The largest findings behind each component of every entity's gap."""
+    v = Views(spark, folder)
+    checks = Scopes(feeds=v.feeds).run_checks(v.run_log, ENTITY)
+    return as_report(component_rows(pin(fold(v.source(*EVIDENCE_LINE))), v.mapping, ENTITY, run_checks=checks), "amount")
+
+
 # ---------------------------------------------------------------- outliers
 
 
@@ -579,6 +686,40 @@ def top_outliers(spark, folder):
     return as_report(O.top_outliers(O.outlier_scores(O.account_amounts(rows))), "amount")
 
 
+@query(
+    """
+    , scored AS (SELECT CAST(l_partkey AS VARCHAR) AS account_code, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS amount FROM lineitem GROUP BY 1),
+    given AS (SELECT account_code, amount, CAST(abs(amount) AS DOUBLE) / 1000 AS score FROM scored),
+    flagged AS (SELECT *, score > (SELECT quantile_cont(score, 0.95) FROM given) AS is_anomalous FROM given)
+    SELECT account_code, round(CAST(amount AS DOUBLE), 2) AS amount, score, is_anomalous FROM flagged
+    """
+)
+def outlier_flags(spark, folder):
+    """The cut and the flags for given scores."""
+    lines = Views(spark, folder).table("lineitem")
+    rows = lines.select(F.col("l_partkey").cast("string").alias("account_code"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"))
+    scored = O.account_amounts(rows).withColumn("score", F.abs("amount").cast("double") / 1000)
+    return as_report(O.flag_highest(scored), "amount")
+
+
+@query(
+    """
+    , accounts AS (SELECT CAST(l_partkey AS VARCHAR) AS account_code, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS amount FROM lineitem GROUP BY 1),
+    steps AS (SELECT CAST(o_totalprice AS DOUBLE) * 10 AS start, sum(CAST(o_custkey AS DECIMAL(28,12))) AS change FROM orders GROUP BY 1),
+    summed AS (SELECT start, sum(change) OVER (ORDER BY start) AS depth FROM steps)
+    SELECT account_code, round(CAST(amount AS DOUBLE), 2) AS amount, coalesce(CAST(depth AS DOUBLE), 0.0) AS depth
+    FROM accounts ASOF LEFT JOIN summed ON CAST(amount AS DOUBLE) >= start
+    """
+)
+def as_of_lookup(spark, folder):
+    """Every account with the sum of all steps up to its amount; orders stand for the steps of a forest."""
+    v = Views(spark, folder)
+    rows = v.table("lineitem").select(F.col("l_partkey").cast("string").alias("account_code"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"))
+    steps = v.table("orders").groupBy((F.col("o_totalprice").cast("double") * 10).alias("start")).agg(F.sum(F.col("o_custkey").cast("decimal(28,12)")).cast("decimal(28,12)").alias("change"))
+    found = O.as_of_sum(O.account_amounts(rows), steps)
+    return as_report(found.withColumn("depth", F.col("depth").cast("double")), "amount")
+
+
 # ---------------------------------------------------------------- fixes
 
 ADDED = """
@@ -640,6 +781,49 @@ def preview_elimination_fix(spark, folder):
     return as_report(X.preview_fix("add_elimination", entries, v.source(*LINE, "entity_code", "counterparty_entity"), v.mapping, v.target), *PREVIEW)
 
 
+BY_REGION = """
+, fixed AS (SELECT entity_code, CASE WHEN entity_code IN ('NATION_3', 'NATION_8') THEN 'Corporate' WHEN entity_code = 'NATION_5' THEN 'ASIA' ELSE region END AS region FROM recon_hierarchy),
+moved AS (SELECT 'b' AS state, h.region, metric_category AS metric, amount FROM recon_source s JOIN recon_mapping ON account_code = source_account_code JOIN recon_hierarchy h ON s.entity_code = h.entity_code WHERE NOT is_intercompany
+  UNION ALL SELECT 'a', f.region, metric_category, amount FROM recon_source s JOIN recon_mapping ON account_code = source_account_code JOIN fixed f ON s.entity_code = f.entity_code WHERE NOT is_intercompany
+  UNION ALL SELECT 't', region, metric, amount FROM recon_grouped_target JOIN recon_hierarchy USING (entity_code)),
+summed AS (SELECT state, region, metric, sum(amount) AS v FROM moved GROUP BY ALL
+  UNION ALL SELECT state, region, 'Gross Margin', sum(amount) FROM moved WHERE state <> 't' AND metric IN ('Revenue', 'COGS') GROUP BY ALL
+  UNION ALL SELECT state, region, 'Operating Profit', sum(amount) FROM moved WHERE state <> 't' GROUP BY ALL),
+wide AS (SELECT region, metric, coalesce(sum(v) FILTER (state = 'b'), 0) AS b, coalesce(sum(v) FILTER (state = 'a'), 0) AS a, coalesce(sum(v) FILTER (state = 't'), 0) AS t FROM summed GROUP BY ALL)
+SELECT region, metric, round(CAST(b AS DOUBLE), 2) AS before_our_value, round(CAST(a AS DOUBLE), 2) AS after_our_value, round(CAST(t AS DOUBLE), 2) AS target_value,
+  round(CAST(b - t AS DOUBLE), 2) AS gap_before, round(CAST(a - t AS DOUBLE), 2) AS gap_after, round(CAST(b - a AS DOUBLE), 2) AS gap_closed,
+  CASE WHEN b <> t THEN round(abs(CAST(b - a AS DOUBLE) / CAST(b - t AS DOUBLE) * 100), 1) ELSE 0.0 END AS gap_closed_pct FROM wide
+"""
+
+
+@query(BY_REGION)
+def preview_hierarchy_fix(spark, folder):
+    """Three entities placed anew: gaps per region before and after."""
+    v = Views(spark, folder)
+    moves = v.hierarchy.where(F.col("entity_code").isin("NATION_3", "NATION_8", "NATION_5"))
+    place = F.when(F.col("entity_code") == "NATION_5", "ASIA").otherwise("Corporate")
+    updates = moves.select("entity_code", F.lit("region").alias("field"), place.alias("new_value"), F.lit(1).alias("seq"))
+    reported = v.grouped_target.join(v.hierarchy.select("entity_code", "region"), "entity_code").select("region", "metric", "amount")
+    rows = X.preview_fix("fix_hierarchy", updates, v.source("entity_code", *LINE), v.mapping, reported, v.hierarchy, ["region"])
+    return as_report(rows, *PREVIEW)
+
+
+@query(
+    TOTAL_GAPS
+    + """
+    , fixed_mapping AS (SELECT * FROM recon_mapping),
+    booked AS (SELECT 'Brand#' || (1 + s_suppkey % 25) AS account_code, CAST(s_acctbal AS DECIMAL(18,2)) AS amount, false AS is_intercompany FROM supplier)
+    """
+    + AFTER.replace("FROM recon_source JOIN fixed_mapping", "FROM (SELECT account_code, amount, is_intercompany FROM recon_source UNION ALL SELECT * FROM booked) JOIN fixed_mapping")
+)
+def preview_adjustment_fix(spark, folder):
+    """One adjustment per supplier on the accounts in turn."""
+    v = Views(spark, folder)
+    account = F.concat(F.lit("Brand#"), (1 + F.col("s_suppkey") % 25).cast("string"))
+    entries = v.table("supplier").select(account.alias("account_code"), F.col("s_acctbal").cast("decimal(18,2)").alias("amount"))
+    return as_report(X.preview_fix("add_adjustment", entries, v.source(*LINE), v.mapping, v.target), *PREVIEW)
+
+
 @query(
     PAIRS
     + """

@@ -13,9 +13,11 @@ from tieout.operators import (
     profile as P,
     rollup as R,
     schema_diff as S,
+    sketches,
     validation as V,
 )
 from tieout.operators.metrics import as_report
+from tieout.scale import pin
 from verification.registry import query
 from verification.views import Views
 
@@ -521,3 +523,37 @@ def step_control_totals(spark, folder):
     wanted = [("load", "a"), ("without_intercompany", "b"), ("mapped", "b")]
     names = F.array(*[F.struct(F.lit(n).alias("step_name"), F.col(c).alias("expected_total")) for n, c in wanted])
     return as_report(T.step_checks(totals, sums.select(F.inline(names))), "total", "expected_total", "delta")
+
+
+# ---------------------------------------------------------------- sketches
+
+SKETCHED = ["l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_extendedprice"]
+
+
+def counts_sql(column: str) -> str:
+    median = "NULL::DOUBLE" if column == "l_returnflag" else f"median({column})::DOUBLE"
+    return f"SELECT year, '{column}' AS column_name, count(*) AS row_count, count(*) FILTER ({column} IS NULL) AS null_count, count(DISTINCT {column}) AS distinct_count, {median} AS m FROM l GROUP BY 1"
+
+
+@query(
+    ", l AS (SELECT year(l_shipdate)::INTEGER AS year, * FROM lineitem), c AS ("
+    + " UNION ALL ".join(counts_sql(c) for c in SKETCHED)
+    + ") SELECT year, column_name, row_count, null_count, distinct_count, true AS distinct_is_within, m IS NOT NULL AS has_median, true AS median_is_within FROM c"
+)
+def sketched_profile(spark, folder):
+    """Sketches of every quarter, stored, read again and merged per year, beside exact counts."""
+    lines = Views(spark, folder).table("lineitem").withColumn("quarter", F.quarter("l_shipdate")).withColumn("year", F.year("l_shipdate"))
+    stored = pin(sketches.column_sketches(lines, SKETCHED, ["year", "quarter"]))
+    found = sketches.merged_profile(stored, ["year"])
+    exact = sketches.exact_profile(lines, SKETCHED, ["year"]).withColumnsRenamed({"year": "_year", "column_name": "_column", "row_count": "_rows", "null_count": "_nulls", "distinct_count": "exact"})
+    both = found.join(exact, (F.col("year") == F.col("_year")) & (F.col("column_name") == F.col("_column")))
+    # ranks of the approximate medians among the exact values
+    medians = found.where("q50 IS NOT NULL").select(F.col("year").alias("_of"), F.col("column_name").alias("_name"), F.col("q50").alias("_q50"))
+    values = lines.select("year", F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in SKETCHED if c != "l_returnflag"])))
+    ranks = values.join(F.broadcast(medians), (F.col("year") == F.col("_of")) & (F.col("c") == F.col("_name"))).groupBy(F.col("year").alias("_of"), F.col("c").alias("_name")).agg(
+        (F.count_if(F.col("v") < F.col("_q50")) / F.count(F.lit(1))).alias("low"), (F.count_if(F.col("v") <= F.col("_q50")) / F.count(F.lit(1))).alias("high")
+    )
+    both = both.join(ranks, (F.col("year") == F.col("_of")) & (F.col("column_name") == F.col("_name")), "left")
+    near = F.coalesce((F.col("low") <= 0.5 + sketches.RANK_ERROR) & (F.col("high") >= 0.5 - sketches.RANK_ERROR), F.lit(True))
+    inside = (F.col("exact") >= F.col("distinct_low")) & (F.col("exact") <= F.col("distinct_high"))
+    return both.select("year", "column_name", "row_count", "null_count", F.col("exact").alias("distinct_count"), inside.alias("distinct_is_within"), F.col("q50").isNotNull().alias("has_median"), near.alias("median_is_within"))

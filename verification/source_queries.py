@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tieout.operators import validation as V
+from tieout.operators import schema_diff, validation as V
 from tieout.scale import application_folder
-from tieout.sources import files, remote, sinks
+from tieout.sources import files, footers, remote, sinks
 from verification.registry import query
+from verification.views import TABLES
 
 
 def _scratch(spark) -> str:
@@ -37,6 +38,89 @@ def column_inventory(spark, folder):
     return remote.inventory({name: files.read_table(spark, f"{folder}/{name}.parquet") for name in names}, "v1")
 
 
+TYPES = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double'
+        WHEN 'FLOAT[]' THEN 'float' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'DATE' THEN 'date' ELSE data_type END"""
+
+
+@query(
+    f"""
+    SELECT table_name, 'v1' AS version, column_name || CASE WHEN data_type LIKE '%[]' THEN '[]' ELSE '' END AS column_name, {TYPES} AS data_type, 1::BIGINT AS file_count
+    FROM duckdb_columns() WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings',
+      'pages', 'benchmark', 'labels', 'conversations') AND NOT internal
+    """,
+    raw=True,
+)
+def footer_inventory(spark, folder):
+    """Columns of all given tables, from footers that tasks read."""
+    return footers.file_inventory(spark, {name: f"{folder}/{name}.parquet" for name in TABLES}, "v1", per_task=4)
+
+
+def _two_versions(spark, folder):
+    """Orders and embeddings in two versions that differ deep in a struct, in an array of structs and in a plain column."""
+    orders, vectors = (files.read_table(spark, f"{folder}/{name}.parquet") for name in ("orders", "embeddings"))
+    price = F.struct(F.col("o_totalprice").alias("amount"), F.lit("USD").alias("currency"))
+    more = F.struct(F.col("o_totalprice").cast("string").alias("amount"), F.lit("USD").alias("currency"), F.lit(1).alias("scale"))
+    line = lambda p: F.struct("o_orderkey", F.struct("o_orderpriority", p.alias("price")).alias("detail"), F.array(F.struct(p.alias("p"))).alias("parts"))
+    old = {"orders": orders.select(line(price).alias("o")), "embeddings": vectors.select(F.struct(*vectors.columns).alias("v"))}
+    new = {"orders": orders.select(line(more).alias("o")), "embeddings": vectors.select(F.struct(*vectors.columns[:-1]).alias("v"), F.lit(True).alias("checked"))}
+    return remote.inventory(old, "old", nested=True).unionByName(remote.inventory(new, "new", nested=True))
+
+
+@query(
+    """
+    WITH last AS (SELECT column_name, data_type FROM duckdb_columns() WHERE table_name = 'embeddings' AND NOT internal ORDER BY column_index DESC LIMIT 1)
+    SELECT 'embeddings' AS table_name, 'v.' || column_name || CASE WHEN data_type LIKE '%[]' THEN '[]' ELSE '' END AS column_name, 'new' AS missing_in FROM last
+    UNION ALL SELECT 'embeddings', 'checked', 'old'
+    UNION ALL SELECT 'orders', 'o.detail.price.scale', 'old' FROM (SELECT 1 FROM duckdb_columns() WHERE table_name = 'orders' AND column_name = 'o_totalprice')
+    UNION ALL SELECT 'orders', 'o.parts[].p.scale', 'old'
+    """,
+    raw=True,
+)
+def nested_missing_columns(spark, folder):
+    """Leaves that only one of two versions has."""
+    return schema_diff.missing_columns(_two_versions(spark, folder), "old", "new")
+
+
+@query(
+    """
+    SELECT 'orders' AS table_name, p || '.amount' AS column_name, lower(data_type) AS old_type, 'string' AS new_type
+    FROM duckdb_columns(), (SELECT unnest(['o.detail.price', 'o.parts[].p']) AS p) WHERE table_name = 'orders' AND column_name = 'o_totalprice'
+    """,
+    raw=True,
+)
+def nested_type_drift(spark, folder):
+    """Leaves whose type differs between two versions."""
+    return schema_diff.type_drift(_two_versions(spark, folder), "old", "new")
+
+
+@query(
+    """
+    WITH lines AS (
+      SELECT o_orderkey AS k, 'part_' || (o_orderkey % 3) AS f, CASE WHEN o_orderkey % 11 = 0 THEN 'short' WHEN o_orderkey % 13 = 0 THEN 'long' WHEN o_orderkey % 17 = 0 THEN 'not a number' ELSE 'good' END AS kind FROM orders)
+    SELECT f AS file, count(*) FILTER (kind = 'good') AS good, count(*) FILTER (kind <> 'good') AS bad, sum(k) FILTER (kind = 'good')::BIGINT AS key_sum,
+      count(*) FILTER (kind = 'short') AS short, count(*) FILTER (kind = 'long') AS long FROM lines GROUP BY f
+    """,
+    raw=True,
+)
+def broken_lines(spark, folder):
+    """Orders as text files in which some lines are short, long or hold a word for a number; counts per file from both tables."""
+    orders = files.read_table(spark, f"{folder}/orders.parquet")
+    key = F.col("o_orderkey")
+    plain = F.concat_ws(",", key, F.col("o_totalprice").cast("string"), "o_orderpriority")
+    line = F.when(key % 11 == 0, key.cast("string")).when(key % 13 == 0, F.concat(plain, F.lit(",x,y")))
+    line = line.when(key % 17 == 0, F.concat_ws(",", key, F.lit("many"), "o_orderpriority")).otherwise(plain)
+    path = _scratch(spark)
+    orders.select(line.alias("value"), F.concat(F.lit("part_"), (key % 3).cast("string")).alias("file")).write.partitionBy("file").text(path)
+    read = files.read_checked(spark, f"{path}/file=*", "o_orderkey long, o_totalprice double, o_orderpriority string", header=False)
+    files.write_quarantine(read.bad, f"{path}-bad")
+    bad = spark.read.parquet(f"{path}-bad")
+    name = lambda c: F.regexp_extract(c, "file=([^/]+)", 1).alias("file")
+    fields = F.size(F.split("line", ","))
+    counts = read.good.groupBy(name("source_file")).agg(F.count(F.lit(1)).alias("good"), F.lit(0).cast("long").alias("bad"), F.sum("o_orderkey").alias("key_sum"), F.lit(0).cast("long").alias("short"), F.lit(0).cast("long").alias("long"))
+    broken = bad.groupBy(name("source_file")).agg(F.lit(0).cast("long").alias("good"), F.count(F.lit(1)).alias("bad"), F.lit(None).cast("long").alias("key_sum"), F.count_if(fields < 3).alias("short"), F.count_if(fields > 3).alias("long"))
+    return counts.unionByName(broken).groupBy("file").agg(*[F.sum(c).alias(c) for c in ("good", "bad", "key_sum", "short", "long")])
+
+
 @query(
     """
     SELECT o_orderpriority AS priority, count(*) AS row_count, min(o_totalprice) AS lowest, max(o_totalprice) AS highest,

@@ -10,6 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 OMITTED = ["Brand#11", "Brand#15", "Brand#22"]
 
 
@@ -171,6 +172,24 @@ class Views:
             F.col("value").alias("high_watermark"),
         )
 
+    @cached_property
+    def timed_runs(self) -> DataFrame:
+        """The runs with a start up to 71 hours before their end."""
+        hours = F.regexp_extract("pipeline_id", "[0-9]+", 0).cast("int") % 72
+        return self.run_log.withColumn("start_time", F.col("end_time") - F.make_dt_interval(F.lit(0), hours))
+
+    @cached_property
+    def feeds(self) -> DataFrame:
+        """Feeds of some nations; one feed may serve several of them."""
+        n = self.table("nation").where("n_nationkey < 18").withColumn("k", F.explode(F.array(F.col("n_nationkey"), F.col("n_nationkey") % 7 + 60)))
+        return n.select(F.concat(F.lit("P"), F.col("k").cast("string")).alias("pipeline_id"), F.col("n_name").alias("entity_code"))
+
+    @cached_property
+    def fed_tables(self) -> DataFrame:
+        """Tables of some nations."""
+        n = self.table("nation").where("n_nationkey % 4 = 1")
+        return n.select(F.concat(F.lit("T"), F.col("n_nationkey").cast("string")).alias("table_name"), F.col("n_name").alias("entity_code"))
+
     @cached_property
     def inventory(self) -> DataFrame:
         """Columns of two versions of many tables."""
@@ -289,6 +308,11 @@ run_log AS (
       WHEN 'error' THEN 'FAILED' ELSE 'RUNNING' END AS status,
     json_extract_string(props, '$.k') AS param_k, value AS high_watermark
   FROM events),
+timed_runs AS (
+  SELECT *, end_time - to_hours((CAST(substr(pipeline_id, 2) AS INT) % 72)::INT) AS begun FROM run_log),
+feeds AS (
+  SELECT DISTINCT 'P' || k AS pipeline_id, n_name AS entity_code FROM nation, unnest([n_nationkey, n_nationkey % 7 + 60]) AS t(k) WHERE n_nationkey < 18),
+fed_tables AS (SELECT 'T' || n_nationkey AS table_name, n_name AS entity_code FROM nation WHERE n_nationkey % 4 = 1),
 inventory AS (
   SELECT 'T' || user_id AS table_name, CASE WHEN event_id % 2 = 0 THEN 'old' ELSE 'new' END AS version,
     'c' || (CAST(json_extract_string(props, '$.k') AS INT) % 25) AS column_name,
