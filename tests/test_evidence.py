@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from tests.conftest import SMALL
-from tieout.operators import control_totals, fixes, outliers, overlap, runs, sketches
+from tieout.operators import control_totals, fixes, outliers, overlap, parameters, runs, sketches
 from tieout.operators.enrich import fold
 from tieout.operators.metrics import gaps, our_metrics, target_metrics
 from tieout.plans import investigate as plan
@@ -214,3 +214,16 @@ def test_run_checks_per_period(rows):
     keys = ["pipeline_id", "period"]
     got = {r.period: r.watermark_gap_flag for r in runs.run_checks(runs.paired_runs(runs.in_periods(log, spans), keys), keys).collect()}
     assert got == {"2024Q1": False, "2024Q2": True}
+
+
+def test_parameters_are_compared_leaf_by_leaf(rows):
+    pairs = rows(
+        "k int, source_parameters string, target_parameters string",
+        (1, '{"a": 1, "b": [1, {"c": "x"}]}', '{"b": [1.0, {"c": "x"}], "a": 1e0}'), (2, '{"a": "1"}', '{"a": 1}'), (3, "7", "8"), (4, None, '{"a": null}'), (5, "{broken", '{}'),
+        (6, '{"a": {"b": {"c": {"d": [[], {}, [[2.50]]]}}}}', '{"a": {"b": {"c": {"d": [[], {}, [[2.5, true]]]}}}}'), (7, '{"a": 1e300}', '{"a": 1.0e300}'), (8, '{"a": 0.1}', '{"a": 0.10}'),
+    )
+    got = {(r.k, r.parameter): (r.source_value, r.target_value) for r in parameters.nested_differences(pairs, ["k"]).collect()}
+    assert got == {
+        (2, "a"): ('"1"', "1"), (3, ""): ("7", "8"), (4, "a"): (None, "null"), (5, ""): (None, "{}"), (6, "a.b.c.d[2][0][1]"): (None, "true"),
+    }
+    assert parameters.nested_differences(pairs.limit(0), ["k"]).count() == 0

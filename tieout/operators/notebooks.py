@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tieout.scale import pin
+from tieout.scale import SLICE_ROWS, pin
 
 # Patterns and keywords that mark steps, in order of precedence.
 NAME_PATTERNS = [
@@ -122,9 +122,10 @@ def step_edges(steps: DataFrame) -> DataFrame:
     for the first step of a notebook in a slice it is the last step of that notebook in the slices before, of which
     there is one row per notebook and slice.
     """
+    rows = pin(steps.select("notebook_id", "step_index", "step_name"))
     least = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = steps.select("notebook_id", "step_index", "step_name")
-    ranged = pin(rows.repartitionByRange(least, "notebook_id", "step_index").withColumn("_slice", F.spark_partition_id()))
+    slices = max(least, -(-rows.count() // SLICE_ROWS))  # a slice stays as large however many steps there are
+    ranged = pin(rows.repartitionByRange(slices, "notebook_id", "step_index").withColumn("_slice", F.spark_partition_id()))
     inside = Window.partitionBy("_slice", "notebook_id").orderBy("step_index")
     before = ranged.withColumn("_before", F.lag("step_name").over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
     lasts = ranged.groupBy("notebook_id", "_slice").agg(F.max_by("step_name", "step_index").alias("_last"))

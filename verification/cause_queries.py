@@ -15,6 +15,7 @@ from tieout.operators import (
     metrics as M,
     notebooks as N,
     outliers as O,
+    parameters as Q,
     rollup as L,
     runs as R,
     schema_diff as S,
@@ -581,6 +582,27 @@ def runs_by_period(spark, folder):
     return R.in_periods(log, weeks).groupBy("period").agg(F.count(F.lit(1)).alias("run_count"), F.count_distinct("pipeline_id").alias("feed_count"), before.alias("begun_before"))
 
 
+@query(
+    """
+    WITH e AS (SELECT event_id, user_id AS u, event_id % 5 = 0 AS changed, event_id % 7 = 0 AS added, event_id % 11 = 0 AS dropped FROM events)
+    SELECT event_id, 'window.days[1]' AS parameter, '2' AS source_value, '3.5' AS target_value FROM e WHERE changed
+    UNION ALL SELECT event_id, 'window.mode.name', NULL, '"' || u || '"' FROM e WHERE added
+    UNION ALL SELECT event_id, 'user', u::VARCHAR, NULL FROM e WHERE dropped
+    UNION ALL SELECT event_id, 'window.mode', '{}', NULL FROM e WHERE added
+    """,
+    raw=True,
+)
+def nested_parameters(spark, folder):
+    """Parameters of both sides of every event, with other orders of fields, other spellings of numbers, and some real differences."""
+    e = Views(spark, folder).table("events")
+    u, n = F.col("user_id").cast("string"), F.col("event_id")
+    ours = F.concat(F.lit('{"user": '), u, F.lit(', "window": {"days": [1, 2], "mode": {}}, "rate": 1.0, "none": null}'))
+    user = F.when(n % 11 == 0, "").otherwise(F.concat(F.lit('"user": '), u, F.lit(".0, ")))
+    mode = F.when(n % 7 == 0, F.concat(F.lit('{"name": "'), u, F.lit('"}'))).otherwise("{}")
+    theirs = F.concat(F.lit('{"none": null, "rate": 1, '), user, F.lit('"window": {"mode": '), mode, F.lit(', "days": [1e0, '), F.when(n % 5 == 0, "3.50").otherwise("2.0"), F.lit("]}}"))
+    return Q.nested_differences(e.select("event_id", ours.alias("source_parameters"), theirs.alias("target_parameters")), ["event_id"])
+
+
 RUNS_BY_FEED = """
 , x_run AS (SELECT entity_code, max(late OR params > 0 OR wet) AS found, round(avg(conf::DECIMAL(10,3)), 3) AS conf, max(late) AS late, max(params > 0) AS params, max(wet) AS wet
   FROM run_facts JOIN feeds USING (pipeline_id) GROUP BY 1)"""
