@@ -6,12 +6,13 @@ import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tieout.scale import pin, small_side
 
-__all__ = ["pin", "small_side", "lower_ascii", "fold", "fold_of", "free", "within", "in_worker", "kept"]
+__all__ = ["pin", "small_side", "lower_ascii", "fold", "fold_of", "free", "within", "in_worker", "kept", "bit_table", "in_table"]
 
 
 def fold(doc_id: Column) -> Column:
@@ -44,6 +45,28 @@ def within(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.join(small_side(ids.select(F.col(key).alias("_wanted"))), F.col(key) == F.col("_wanted"), "left_semi")
 
 
+TABLE_BITS = 26
+
+
+def bit_table(values: DataFrame) -> np.ndarray:
+    """Bits of all numbers in the one column of ``values``, in a table of 2 ** ``TABLE_BITS`` bits whatever their number.
+
+    A number whose bit is not set is not among them. The more numbers, the more others share a bit with one of them.
+    """
+    bit = F.col(values.columns[0]).bitwiseAND((1 << TABLE_BITS) - 1)
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))
+    cells = values.groupBy(F.shiftright(bit, 6).alias("cell")).agg(F.bit_or(mark).alias("bits")).toArrow()  # 2 ** (TABLE_BITS - 6) rows at most
+    table = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
+    table[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def in_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the bit of each value (unsigned) is set."""
+    bit = values & np.uint64((1 << TABLE_BITS) - 1)
+    return (table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
 @lru_cache(maxsize=1)
 def kept(make: Callable, *arguments):
     """What ``make`` gives; a worker keeps it for its next tasks until one runs there that keeps nothing."""

@@ -8,15 +8,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tieout.llm.common import in_worker, pin, small_side, within
+from tieout.llm.common import bit_table, in_table, in_worker, pin, small_side, within
 from tieout.llm.components import components
 from tieout.llm.near_dedup import shingle_sets
 from tieout.llm.words import ODD, Words, mix, shingles, signed, text_slices
 
-CELL = 32
+CELL = 64
 DEMOTED = 1 << 20
 PIVOTS = 8
-LEVELS = 3
+LEVELS = 4
+WHOLE = 256  # regions of at most so many sets are not cut
 NEAR = 0.5  # a set belongs to a pivot's region only up to this distance
 PAIRS_AT_ONCE = 1 << 20
 MEMBER = ("region", "node", "which", "c", "n")
@@ -28,14 +29,14 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def sketch_level(n: np.ndarray) -> np.ndarray:
-    """Binary logarithm of the number of buckets of a set's sketch: about one for eight shingles."""
-    return np.maximum(np.frexp(np.maximum(n, 1) / 8.0)[1], 3)
+    """Binary logarithm of the number of bits of a set's sketch: one for one or two shingles, 64 at least."""
+    return np.maximum(np.frexp(np.maximum(n, 1) / 2.0)[1], 6)
 
 
 def sketch(sorted_set: np.ndarray, level: int) -> bytes:
-    """Shingles per bucket (leading bits of the hash), at most 255 each."""
+    """For each bucket of shingles (by the leading bits of their hash) whether their number is odd."""
     buckets = (sorted_set >> np.uint64(64 - level)).astype(np.int64)
-    return np.minimum(np.bincount(buckets, minlength=2**level), 255).astype(np.uint8).tobytes()
+    return np.packbits(np.bincount(buckets, minlength=2**level) & 1).tobytes()
 
 
 def summaries(docs: DataFrame, width: int, percent: int, demoted: np.ndarray | None = None) -> DataFrame:
@@ -88,6 +89,29 @@ def _counted(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode("prefix").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _cell_rows(classes: DataFrame, table: np.ndarray) -> DataFrame:
+    """(cell, node, n) for the cells of ``table``; those of one class only stay out before anything is exchanged."""
+    shared = classes.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column("prefix")
+            cell, size = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+            keep = in_table(shared.value, cell.view(np.uint64))
+            node, n = (np.repeat(batch.column(c).to_numpy(), size)[keep] for c in ("node", "n_shingles"))
+            yield pa.RecordBatch.from_arrays([pa.array(cell[keep]), pa.array(node), pa.array(n)], names=["cell", "node", "n"])
+
+    return classes.select("node", "n_shingles", "prefix").mapInArrow(in_worker(run), "cell long, node long, n long")
+
+
+def _with_partners(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of cells in which some other class has a size that similar sets can have; cells are small."""
+    by_size = Window.partitionBy("cell").orderBy("n", "node")
+    less, more = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    near = (100 * less >= percent * F.col("n")) | (100 * F.col("n") >= percent * more)
+    return rows.withColumn("_near", F.coalesce(near, 100 * less >= percent * F.col("n"), 100 * F.col("n") >= percent * more, F.lit(False))).where("_near").drop("_near")
+
+
 def crowded(counts: DataFrame, cell_rows: int, most: int) -> np.ndarray:
     """Shingles of the fullest cells, at most ``most`` of them, all above one size; a choice that changes no result."""
     wide = counts.where(F.col("n") > cell_rows)
@@ -105,11 +129,11 @@ def crowded(counts: DataFrame, cell_rows: int, most: int) -> np.ndarray:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    x = sets.select(F.col("doc_id").alias("_a"), F.col("shingles").alias("_x"))
-    y = sets.select(F.col("doc_id").alias("_b"), F.col("shingles").alias("_y"))
-    both = pairs.join(y, F.col("b") == F.col("_b")).join(x, F.col("a") == F.col("_a"))
-    common = F.size(F.array_intersect("_x", "_y"))
-    return pin(both.where(100 * common >= percent * (F.size("_x") + F.size("_y") - common)).select("a", "b"))
+    """Pairs (a, b) whose full sets are similar enough; only sets of these pairs are exchanged."""
+    side = lambda c: within(sets, pairs.select(F.col(c).alias("doc_id")).distinct()).select(F.col("doc_id").alias(f"_{c}"), F.col("shingles").alias(f"_of_{c}"))
+    both = pairs.join(side("b"), F.col("b") == F.col("_b")).join(side("a"), F.col("a") == F.col("_a"))
+    common = F.size(F.array_intersect("_of_a", "_of_b"))
+    return pin(both.where(100 * common >= percent * (F.size("_of_a") + F.size("_of_b") - common)).select("a", "b"))
 
 
 def _labelled(df: DataFrame, found: DataFrame) -> DataFrame:
@@ -118,20 +142,26 @@ def _labelled(df: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _differences(first: np.ndarray, second: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> np.ndarray:
-    """Least number of shingles that only one set of each pair has, from the sketches; the wider one is folded."""
+    """Least number of shingles that only one set of each pair has: the buckets that are odd in one of them only.
+
+    The wider sketch of a pair is folded to the other's number of buckets.
+    """
     levels = sketch_level(n)
     out = np.zeros(len(first), np.int64)
     lower = np.minimum(levels[first], levels[second])
     for level in np.unique(lower):
         mine = np.flatnonzero(lower == level)
         used, index = np.unique(np.concatenate([first[mine], second[mine]]), return_inverse=True)
-        table = np.empty((len(used), 2**level), np.int16)
+        table = np.empty((len(used), 2 ** (level - 6)), np.uint64)
         for row, member in enumerate(used.tolist()):
-            table[row] = np.frombuffer(sketches[member], np.uint8).astype(np.int16).reshape(2**level, -1).sum(axis=1)
-        step = max(1, PAIRS_AT_ONCE * 16 >> int(level))
+            bits = np.frombuffer(sketches[member], np.uint8)
+            if levels[member] > level:
+                bits = np.packbits(np.bitwise_xor.reduce(np.unpackbits(bits).reshape(2**level, -1), axis=1))
+            table[row] = bits.view(np.uint64)
+        step = max(1, PAIRS_AT_ONCE >> int(level - 6))
         for at in range(0, len(mine), step):
             x, y = index[: len(mine)][at : at + step], index[len(mine) :][at : at + step]
-            out[mine[at : at + step]] = np.abs(table[x] - table[y]).sum(axis=1, dtype=np.int64)
+            out[mine[at : at + step]] = np.bitwise_count(table[x] ^ table[y]).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -211,39 +241,47 @@ def regions(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFram
     draws again. With r as the largest distance of similar sets, the triangle inequality says where a set can have
     partners, and it is replicated there: to a pivot's region if its distance is at most that to its own pivot + 2r, and at
     most the region's radius + r; to the region without a pivot if it is farther than ``NEAR`` - r from all of them.
-    A region that does not get smaller this way is not split; its pivot is the one with the least mean distance.
+    A region of at most ``WHOLE`` sets, or one that does not get smaller this way, is not split; its pivot is the one with
+    the least mean distance.
     """
     r = 1 - percent / 100 + 1e-9
     links, leaves = [], []
     for level in range(LEVELS):
         state = members.groupBy(F.col("region").alias("_of")).agg(F.min("c").alias("low"), F.max("c").alias("high"))
-        members = pin(members.join(small_side(state.where("low < high").select("_of")), F.col("region") == F.col("_of"), "left_semi"))
+        members = pin(members.join(state.where("low < high").select("_of"), F.col("region") == F.col("_of"), "left_semi"))
         met = _pivot_distances(members, sets, level)
-        links.append(met.where((F.col("node") != F.col("pivot")) & (100 * F.col("common") >= percent * (F.col("n") + F.col("n_pivot") - F.col("common")))).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        home = met.groupBy("region", "node", "which").agg(F.min("d").alias("least"), F.min_by("number", F.struct("d", "number")).alias("home"))
-        home = home.withColumn("home", F.when(F.col("least") <= NEAR, F.col("home")).otherwise(-1))
-        radius = home.groupBy("region", "home").agg(F.max("least").alias("radius"))
-        near = met.join(home, ["region", "node", "which"]).join(small_side(radius.select(F.col("region").alias("_region"), F.col("home").alias("_home"), "radius")), (F.col("region") == F.col("_region")) & (F.col("number") == F.col("_home")))
-        near = near.where((F.col("d") <= NEAR + r) & (F.col("d") <= F.col("least") + 2 * r) & (F.col("d") <= F.col("radius") + r) & (F.col("home") >= 0))
-        far = met.where("number = 0").join(home, ["region", "node", "which"]).where(F.col("least") > NEAR - r)
-        parts = near.select("number", *MEMBER).union(far.select(F.lit(-1).alias("number"), *MEMBER))
-        parts = pin(parts)
-        whole = met.where("number = 0").groupBy(F.col("region").alias("_of")).agg(F.count(F.lit(1)).alias("whole"))
-        sizes = parts.groupBy("region", "number").agg(F.count(F.lit(1)).alias("rows"))
-        sizes = sizes.groupBy(F.col("region")).agg(F.sum("rows").alias("rows"), F.max("rows").alias("most")).join(whole, F.col("region") == F.col("_of"))
-        smaller = (F.col("rows") <= 1.5 * F.col("whole")) & (F.col("most") <= 0.8 * F.col("whole"))
-        mean = met.groupBy("region", "pivot").agg(F.avg("d").alias("mean")).groupBy(F.col("region").alias("_region")).agg(F.min_by("pivot", F.struct("mean", "pivot")).alias("pivot"))
-        decided = sizes.select("region", smaller.alias("smaller")).join(mean, F.col("region") == F.col("_region"))
-        decided = pin(decided.select(F.col("region").alias("_of"), "pivot", (F.col("smaller") & F.lit(level + 1 < LEVELS)).alias("smaller")))
-        leaves.append(members.join(small_side(decided.where("NOT smaller").select("_of", "pivot")), F.col("region") == F.col("_of")).select("pivot", *MEMBER))
-        split = small_side(decided.where("smaller").select("_of"))
-        members = parts.join(split, F.col("region") == F.col("_of"), "left_semi").select(F.xxhash64("region", "number").alias("region"), *MEMBER[1:])
-        members = pin(members)
-        if members.isEmpty():
+        similar = 100 * F.col("common") >= percent * (F.col("n") + F.col("n_pivot") - F.col("common"))
+        links.append(met.where(similar & (F.col("node") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        each = met.where("number = 0")
+        mean = met.groupBy("region", "pivot").agg(F.avg("d").alias("mean")).groupBy(F.col("region").alias("_of")).agg(F.min_by("pivot", F.struct("mean", "pivot")).alias("centre"))
+        wide = each.groupBy("region").agg(F.count(F.lit(1)).alias("whole")).where(F.col("whole") > WHOLE)
+        if level + 1 == LEVELS or wide.isEmpty():
+            leaves.append(each.select(*MEMBER).join(mean, F.col("region") == F.col("_of")).select(*MEMBER, F.col("centre").alias("pivot")))
+            break
+        parts = pin(_replicated(met, r))
+        sizes = parts.groupBy(F.col("region").alias("_of"), "number").agg(F.count(F.lit(1)).alias("rows")).groupBy("_of").agg(F.sum("rows").alias("rows"), F.max("rows").alias("most"))
+        split = sizes.join(wide, F.col("region") == F.col("_of")).where((F.col("rows") <= 1.5 * F.col("whole")) & (F.col("most") <= 0.8 * F.col("whole")))
+        split = pin(split.select(F.col("region").alias("_split")))
+        rest = each.select(*MEMBER).join(split, F.col("region") == F.col("_split"), "left_anti")
+        leaves.append(rest.join(mean, F.col("region") == F.col("_of")).select(*MEMBER, F.col("centre").alias("pivot")))
+        if split.isEmpty():
             break
+        members = parts.join(split, F.col("region") == F.col("_split"), "left_semi").select(F.xxhash64("region", "number").alias("region"), *MEMBER[1:])
     return reduce(DataFrame.union, links), reduce(DataFrame.union, leaves)
 
 
+def _replicated(met: DataFrame, r: float) -> DataFrame:
+    """``MEMBER`` and the number of the pivot (-1: none) of every region in which a set is or can have partners."""
+    home = met.groupBy("region", "node", "which").agg(F.min("d").alias("least"), F.min_by("number", F.struct("d", "number")).alias("home"))
+    home = home.withColumn("home", F.when(F.col("least") <= NEAR, F.col("home")).otherwise(-1))
+    placed = met.join(home, ["region", "node", "which"])
+    radius = home.groupBy(F.col("region").alias("_region"), F.col("home").alias("_home")).agg(F.max("least").alias("radius"))
+    near = placed.where((F.col("home") >= 0) & (F.col("d") <= NEAR + r) & (F.col("d") <= F.col("least") + 2 * r))
+    near = near.join(radius, (F.col("region") == F.col("_region")) & (F.col("number") == F.col("_home"))).where(F.col("d") <= F.col("radius") + r)
+    far = placed.where((F.col("number") == 0) & (F.col("least") > NEAR - r))
+    return near.select("number", *MEMBER).union(far.select(F.lit(-1).alias("number"), *MEMBER))
+
+
 def by_changes(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that can be similar, by what each of them has changed against its pivot.
 
@@ -277,12 +315,13 @@ def _in_families(spokes: DataFrame, sets: DataFrame, found: DataFrame, links: Da
     """Links to pivots, and pairs still to be compared, among the classes that ``spokes`` (node, hub) connect."""
     family = components(spokes.select(F.col("hub").alias("a"), F.col("node").alias("b"))).select("node", F.col("component").alias("region"))
     sizes = sets.select("doc_id", F.col("digest").alias("which"), F.size("shingles").cast("long").alias("n"))
-    members = _labelled(family, found).join(sizes, F.col("node") == F.col("doc_id")).select(*MEMBER)
+    members = pin(_labelled(family, found).join(sizes, F.col("node") == F.col("doc_id")).select(*MEMBER))
     pivots, leaves = regions(members, sets, percent)
     pivots = pin(pivots)
     leaves = _labelled(leaves.drop("c"), components(links.union(pivots)))
+    leaves = pin(leaves)
     mixed = leaves.groupBy(F.col("region").alias("_open")).agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("_open")
-    leaves = pin(leaves.join(small_side(mixed), F.col("region") == F.col("_open"), "left_semi"))
+    leaves = leaves.join(mixed, F.col("region") == F.col("_open"), "left_semi")
     of = sets.select(F.col("doc_id").alias("_pivot"), F.col("digest").alias("_digest"), F.col("shingles").alias("_of"))
     centres = leaves.groupBy("region").agg(F.min("pivot").alias("pivot")).join(of, F.col("pivot") == F.col("_pivot"))
     centres = centres.groupBy(F.col("region").alias("_region")).agg(F.min_by("_of", "_digest").alias("_of"))
@@ -311,8 +350,8 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, text: Col
        shingles: a set lies in the cells of its first shingles in a fixed order, as many as a similar set can lack, and
        one more. Similar sets share a cell. Shingles of cells with more than ``cell_rows`` classes come last in the
        order (the ``demoted`` fullest ones; which ones changes the work, never the result).
-    2. In cells of at most ``cell_rows`` classes all of them are compared by sketches (shingles per hash bucket), whose
-       sums of differences never exceed those of the sets; what they leave is compared on full sets, for each class its
+    2. In cells of at most ``cell_rows`` classes all of them are compared by sketches (odd or even numbers of shingles per
+       hash bucket), which never differ in more places than the sets; what they leave is compared on full sets, for each class its
        closest partner first, then only pairs that are still in different components.
     3. Classes that fuller cells connect are a family. Families are cut into Voronoi regions of drawn pivots with
        replicated borders, again and again (``regions``), and what is left of each region is joined by what its
@@ -324,23 +363,24 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, text: Col
     columns are left aside. No rows: no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(text) if isinstance(text, str) else text).alias("text"))
-    summed = pin(summaries(docs, width, percent))
+    summed = pin(summaries(docs, width, percent).drop("prefix", "sketch"))
     docs = _without_repeats(docs, summed)
-    classes = pin(_classes(summed))
+    classes = pin(_classes(summaries(docs, width, percent)))
     late = crowded(_counted(classes), cell_rows, demoted)
     if len(late):
         some = docs.sparkSession.createDataFrame([(int(x),) for x in late.view(np.int64)], "_late long")
         full = classes.select("node", F.explode("prefix").alias("cell")).join(F.broadcast(some), F.col("cell") == F.col("_late"), "left_semi").select(F.col("node").alias("_full")).distinct()
         full = pin(full)
         again = _classes(summaries(within(docs, full.select(F.col("_full").alias("doc_id"))), width, percent, late))
-        kept = classes.join(full, F.col("node") == F.col("_full"), "left_anti")
-        classes = pin(kept.select("node", "n_shingles", "prefix", "sketch").union(again.select("node", "n_shingles", "prefix", "sketch")))
-    counts = _counted(classes).where("n > 1").withColumnRenamed("cell", "_cell").withColumnRenamed("n", "members")
-    rows = pin(classes.select(F.explode("prefix").alias("cell"), "node").join(counts, F.col("cell") == F.col("_cell")).select("cell", "node", "members"))
-
-    side = classes.select(F.col("node").alias("_of"), F.col("n_shingles").alias("n"), "sketch")
-    light = rows.where(F.col("members") <= cell_rows).join(side, F.col("node") == F.col("_of")).select("cell", "node", "n", "sketch")
-    closest = pin(_in_cells(light.withColumn("c", F.col("node")), percent, True).groupBy("b").agg(F.min_by("a", F.struct(F.col("a") > F.col("b"), "bound", "a")).alias("a")))
+        kept = classes.join(small_side(full), F.col("node") == F.col("_full"), "left_anti")
+        classes = kept.select("node", "n_shingles", "prefix", "sketch").union(pin(again.select("node", "n_shingles", "prefix", "sketch")))
+    counts = pin(_counted(classes).where("n > 1").select(F.col("cell").alias("_cell"), F.col("n").alias("members")))
+    rows = pin(_cell_rows(classes, bit_table(counts.select("_cell"))).join(counts, F.col("cell") == F.col("_cell")).drop("_cell"))
+    side = classes.select(F.col("node").alias("_of"), F.col("n_shingles").alias("_size"), "sketch")
+    small = pin(_with_partners(rows.where(F.col("members") <= cell_rows), percent).select("cell", "node", "n"))
+    sketched = (F.col("node") == F.col("_of")) & (F.col("n") == F.col("_size"))
+    light = small.join(side, sketched).select("cell", "node", F.col("node").alias("c"), "n", "sketch")
+    closest = pin(_in_cells(light, percent, True).groupBy("b").agg(F.min_by("a", F.struct(F.col("a") > F.col("b"), "bound", "a")).alias("a")))
     heavy = rows.where(F.col("members") > cell_rows).select("cell", "node")
     hubs = heavy.groupBy(F.col("cell").alias("_cell")).agg(F.min("node").alias("hub"))
     spokes = pin(heavy.join(hubs, F.col("cell") == F.col("_cell")).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n")))
@@ -351,12 +391,11 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, text: Col
     links = _confirmed(first, sets, percent)
     found = components(links)
 
-    mixed = _labelled(rows.where(F.col("members") <= cell_rows), found)
+    mixed = _labelled(within(small, wanted.withColumnRenamed("doc_id", "node"), "node"), found)
     open_ = mixed.groupBy(F.col("cell").alias("_cell")).agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    mixed = mixed.join(within(side, wanted.withColumnRenamed("doc_id", "_of"), "_of"), F.col("node") == F.col("_of")).join(open_, F.col("cell") == F.col("_cell"))
+    mixed = mixed.join(open_, F.col("cell") == F.col("_cell")).join(side, sketched)
     second = pin(_ordered(_in_cells(mixed.select("cell", "node", "c", "n", "sketch"), percent, False)).join(first, ["a", "b"], "left_anti"))
     links = links.union(_confirmed(second, sets, percent))
-    found = components(links)
 
     if not spokes.isEmpty():
         pivots, third = _in_families(spokes, sets, found, links, percent)
