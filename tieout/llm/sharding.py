@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -94,16 +95,19 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = SEED, block_rows
     shared = df.sparkSession.sparkContext.broadcast((parts, before, sizes))  # 16 bytes per task and 8 per block
 
     @F.pandas_udf("int")
-    def block(batches: "pd.Series", places: "pd.Series") -> "pd.Series":
+    def block(batches: "Iterator[tuple[pd.Series, pd.Series]]") -> "Iterator[pd.Series]":
         parts, before, sizes = shared.value
-        out = np.empty(len(batches), np.int32)
-        for p in batches.unique():
-            number = int(np.searchsorted(parts, p))
-            order = np.random.default_rng([seed, 1, number]).permutation(int(before[number + 1] - before[number]))
-            ends = np.cumsum(matrix_row(number, before, sizes, seed))
-            mine = (batches == p).to_numpy()
-            out[mine] = np.searchsorted(ends, order[places[mine].to_numpy()], "right")
-        return pd.Series(out)
+        held, order, ends = None, None, None  # of the part being read: a task draws its row and permutation once
+        for part_of, places in batches:
+            out = np.empty(len(part_of), np.int32)
+            for p in part_of.unique():
+                if p != held:
+                    held, number = p, int(np.searchsorted(parts, p))
+                    order = np.random.default_rng([seed, 1, number]).permutation(int(before[number + 1] - before[number]))
+                    ends = np.cumsum(matrix_row(number, before, sizes, seed))
+                mine = (part_of == p).to_numpy()
+                out[mine] = np.searchsorted(ends, order[places[mine].to_numpy()], "right")
+            yield pd.Series(out)
 
     first = np.cumsum(sizes) - sizes
     start = {}
