@@ -193,13 +193,30 @@ def test_recall_of_edited_passages_of_given_documents(docs, given, rate, least):
 def test_tables_of_repeated_seeds_and_contexts(docs):
     same = " ".join(f"a{i}" for i in range(30))
     df = docs((1, same), (2, "x " + same), (3, " ".join(f"b{i}" for i in range(30))))
-    table = substring_dedup.repeated_seeds(df, 4, 1)
-    rows = substring_dedup.seeds(df, 4, 1, table).collect()
-    assert sum(int(x).bit_count() for x in table) == 27 and sorted(r.doc_id for r in rows) == [1] * 27 + [2] * 27
-    met = substring_dedup.seed_matches(substring_dedup.seeds(df, 4, 1, table), 3).collect()
+    table, hot = substring_dedup.repeated_seeds(df, 4, 1)
+    rows = substring_dedup.seeds(df, 4, 1, table, hot)
+    assert sum(int(x).bit_count() for x in table) == 27 and sorted(r.doc_id for r in rows.collect()) == [1] * 27 + [2] * 27 and not hot.any()
+    met = substring_dedup.seed_matches(rows, 3).collect()
     assert {(r.doc_id, r.source_doc_id, r.place - r.source_place, r.number) for r in met} == {(2, 1, 1, 1)} and len(met) == 27
-    none = substring_dedup.repeated_seeds(docs(), 4, 1)
-    assert not none.any()
+    assert not substring_dedup.repeated_seeds(docs(), 4, 1)[0].any()
+
+
+@pytest.mark.parametrize("size", ["10000", "7"])
+def test_matches_of_hot_seeds_and_of_small_batches(spark, docs, size):
+    """Each occurrence meets the first three documents, whichever way and however rows are cut into batches."""
+    rng = random.Random(12)
+    line = " ".join(f"l{i}" for i in range(20))
+    texts = {i: " ".join([f"r{rng.randrange(10**6)}" for _ in range(rng.randrange(6))] + [line] * rng.randrange(1, 3)) for i in range(40)}
+    df = docs(*texts.items())
+    table, hot = substring_dedup.repeated_seeds(df, 4, 1, hot=30)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    none = hot ^ hot
+    one = {tuple(r) for r in substring_dedup.seed_matches(substring_dedup.seeds(df, 4, 1, table, none), 3).collect()}
+    two = {tuple(r) for r in substring_dedup.hot_matches(substring_dedup.seeds(df, 4, 1, hot, none), 3).collect()}
+    two |= {tuple(r) for r in substring_dedup.seed_matches(substring_dedup.seeds(df, 4, 1, table, hot), 3).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert hot.any() and one == two and {r[1] for r in one if r[4] <= 3} >= {0, 1, 2}
+    assert all(r[0] > r[1] for r in one) and {r[4] for r in one} == {1, 2, 3}
 
 
 def test_planted_passages_are_cut_and_clean_documents_stay(docs):
@@ -230,6 +247,16 @@ def test_chains_take_the_best_ordered_matches():
     assert substring_dedup.best_chains([0, 60], np.array([0, 60]), 0, 40, 0.01, 5.0) == [[0], [1]]
 
 
+def test_plain_matches_are_one_best_chain():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        place = np.cumsum(rng.integers(1, 30, rng.integers(1, 40)))
+        other = place + 7 + (np.arange(len(place)) > rng.integers(0, 80)) * rng.integers(0, 2)
+        if substring_dedup.plain(place, other, 40, 0.1, 5.0):
+            assert substring_dedup.best_chains(place.tolist(), other, 0, 40, 0.1, 5.0) == [list(range(len(place)))]
+    assert substring_dedup.plain(np.array([3, 9]), np.array([4, 10]), 40, 0.1, 5.0) and not substring_dedup.plain(np.array([3, 9]), np.array([4, 11]), 40, 0.1, 5.0)
+
+
 def test_alignment_counts_words_in_gaps():
     a = np.arange(100)
     b = np.concatenate([np.arange(40), [900, 901], np.arange(41, 100)])
