@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tieout import defaults as D
 from tieout.functions import token_sorted
 from tieout.operators.enrich import mapping_keys
-from tieout.scale import pin, small_side
+from tieout.scale import pin
 
 WHOLE_DELETIONS = 2
 LIMB = 62  # characters for each number of the fold
@@ -41,7 +41,13 @@ def distinct_codes(df: DataFrame, column: str) -> DataFrame:
 def unmapped_distinct(source: DataFrame, mapping: DataFrame) -> DataFrame:
     codes = distinct_codes(source, "account_code")
     keys = mapping_keys(mapping)
-    return codes.join(small_side(keys), codes.code == keys.mapped_code, "left_anti")
+    return codes.join(_exchanged(keys), codes.code == keys.mapped_code, "left_anti")
+
+
+def _exchanged(side: DataFrame) -> DataFrame:
+    """A side with a row or more for every code. Its files are far smaller than its rows, and a side that is made of them
+    by deleting characters is larger still, so Spark's guess of its size would broadcast it through the driver."""
+    return side.hint("merge")
 
 
 def fuzzy_matches(
@@ -58,7 +64,7 @@ def fuzzy_matches(
     categories = mapping.groupBy(F.col("source_account_code").cast("string").alias("_known")).agg(
         F.min("metric_category").alias("suggested_category")
     )
-    joined = best.join(small_side(categories), F.col("suggested_code") == F.col("_known"), "left")
+    joined = best.join(_exchanged(categories), F.col("suggested_code") == F.col("_known"), "left")
     return joined.select("source_code", "suggested_code", F.round("score", 1).alias("score"), "suggested_category")
 
 
@@ -149,7 +155,7 @@ def _round(left: DataFrame, right: DataFrame, needed: list[tuple[int, int, int]]
     smallest = theirs.agg(F.min("code").alias("suggested_code"))
     allowed = F.concat_ws("-", "size", "their_size", F.length("text")).isin(*[f"{n}-{m}-{k}" for n, m, k in needed])
     score = F.lit(200.0) * F.length("text") / (F.col("size") + F.col("their_size"))
-    met = ours.join(smallest, "text").filter(allowed)
+    met = ours.join(_exchanged(smallest), "text").filter(allowed)
     return _better(met.select(F.col("code").alias("source_code"), "suggested_code", score.alias("score")))
 
 
@@ -164,7 +170,7 @@ def _better(found: DataFrame) -> DataFrame:
 def _unsettled(left: DataFrame, best: DataFrame, bounds: dict[int, float]) -> DataFrame:
     """Codes for which a later round could still give an equal or better score."""
     bound = F.coalesce(*[F.when(F.col("size") == n, F.lit(b)) for n, b in bounds.items()])
-    joined = left.join(best, F.col("code") == F.col("source_code"), "left")
+    joined = left.join(_exchanged(best), F.col("code") == F.col("source_code"), "left")
     return joined.filter(bound.isNotNull() & (F.col("score").isNull() | (bound >= F.col("score")))).select("code", "text", "size")
 
 
@@ -208,7 +214,7 @@ def segment_pairs(left: DataFrame, right: DataFrame, lengths: list[tuple[int, in
     theirs = right.join(cut, F.col("size") == F.col("_m")).select(F.col("code").alias("their_code"), "text", "_m", "parts", every)
     start, length = _place(F.col("_number"), F.col("_m"), F.col("parts"))
     theirs = theirs.select("their_code", "_m", "_number", F.substr("text", start + 1, length).alias("_segment"))
-    met = ours.join(theirs, (F.col("m") == F.col("_m")) & (F.col("number") == F.col("_number")) & (F.col("segment") == F.col("_segment")))
+    met = ours.join(_exchanged(theirs), (F.col("m") == F.col("_m")) & (F.col("number") == F.col("_number")) & (F.col("segment") == F.col("_segment")))
     return met.select("code", "their_code").distinct()
 
 
@@ -217,7 +223,7 @@ def _by_segments(left: DataFrame, right: DataFrame, lengths: list[tuple[int, int
     limits = left.sparkSession.createDataFrame([(n, m, (n + m - k) // 2) for n, m, k, _ in _segments(lengths)], "n int, m int, least int")
     ours = left.select("code", F.col("size").alias("n"), places(F.col("text"), F.col("size")).alias("places"))
     theirs = right.select(F.col("code").alias("_code"), F.col("text").alias("their_text"), F.col("size").alias("m"))
-    pairs = segment_pairs(left, right, lengths).join(ours, "code").join(theirs, F.col("their_code") == F.col("_code"))
+    pairs = segment_pairs(left, right, lengths).join(_exchanged(ours), "code").join(_exchanged(theirs), F.col("their_code") == F.col("_code"))
     scored = pairs.withColumn("common", common_length(F.col("places"), F.col("n"), F.col("their_text")))
     good = scored.join(F.broadcast(limits), ["n", "m"]).where(F.col("common") >= F.col("least"))
     score = F.lit(200.0) * F.col("common") / (F.col("n") + F.col("m"))
