@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 
 from tieout.operators import fuzzy
-from verification import gap_queries
+from verification import cause_queries, gap_queries
 from verification.views import Views
 
 
@@ -64,3 +64,15 @@ def test_reports_are_written_once(spark, folder):
     rows = gap_queries.headline_rows_by_period(spark, folder)
     assert "lineitem" not in plan(rows)
     assert {r.period for r in rows.collect()} == {"2020Q1", "2020Q2", None}
+
+
+@pytest.mark.parametrize("name", ["contribution_scores", "contribution_scores_with_priorities", "contribution_summary"])
+def test_transactions_are_folded_once(spark, folder, name):
+    read = []
+    source = Views.source
+    try:
+        Views.source = lambda self, *columns: read.append(columns) or source(self, *columns)
+        rows = getattr(cause_queries, name)(spark, folder)
+    finally:
+        Views.source = source
+    assert len(read) == 2 and "lineitem" not in plan(rows)  # the fold, and what the report is made of

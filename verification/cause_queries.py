@@ -278,14 +278,20 @@ e_primary AS (SELECT entity_code, metric, CASE WHEN abs(gap) > 1000 THEN gap ELS
 """
 
 
-def entity_gaps(v: Views):
-    ours = M.category_totals(v.source("entity_code", *LINE), v.mapping, by=ENTITY)
+def entity_lines(v: Views, *columns: str):
+    """Transactions summed over all that the checks tell apart, read once for everything that a query does with them."""
+    return pin(fold(v.source(*dict.fromkeys(("entity_code", *LINE, *columns)))))
+
+
+def entity_gaps(v: Views, source):
+    ours = M.category_totals(source, v.mapping, by=ENTITY)
     return M.gaps(ours, M.target_metrics(v.grouped_target, ENTITY), ENTITY)
 
 
-def entity_primary(v: Views):
-    primary = M.primary_metric(entity_gaps(v), ENTITY)
-    return primary.select("entity_code", F.col("primary_metric").alias("metric"), F.col("primary_gap").alias("gap"))
+def entity_primary(v: Views, source):
+    """One gap per entity, written once; ``source`` as made by ``entity_lines``."""
+    primary = M.primary_metric(entity_gaps(v, source), ENTITY)
+    return pin(primary.select("entity_code", F.col("primary_metric").alias("metric"), F.col("primary_gap").alias("gap")))
 
 
 def scores_sql(order: str, excluded: str = "false") -> str:
@@ -304,7 +310,8 @@ KEPT = """SELECT entity_code, account_code, round(CAST(delta AS DOUBLE), 2) AS d
 @query(ENTITY_GAPS + scores_sql("abs(delta) DESC, account_code") + KEPT)
 def contribution_scores(spark, folder):
     v = Views(spark, folder)
-    rows = B.contribution_scores(B.account_deltas(v.source("entity_code", "account_code", "amount"), ENTITY), entity_primary(v), ENTITY)
+    source = entity_lines(v)
+    rows = B.contribution_scores(B.account_deltas(source, ENTITY), entity_primary(v, source), ENTITY)
     return as_report(rows, "delta", "gap").drop("metric")
 
 
@@ -318,8 +325,9 @@ def contribution_scores_with_priorities(spark, folder):
     brand = F.col("p_brand")
     first = v.table("part").filter(brand.isin("Brand#7", "Brand#3")).select(brand.alias("account_code"), F.when(brand == "Brand#7", 0).otherwise(1).alias("rank"))
     excluded = v.table("part").filter(brand == "Brand#9").select(brand.alias("account_code"))
-    deltas = B.account_deltas(v.source("entity_code", "account_code", "amount"), ENTITY)
-    return as_report(B.contribution_scores(deltas, entity_primary(v), ENTITY, excluded, first), "delta", "gap").drop("metric")
+    source = entity_lines(v)
+    deltas = B.account_deltas(source, ENTITY)
+    return as_report(B.contribution_scores(deltas, entity_primary(v, source), ENTITY, excluded, first), "delta", "gap").drop("metric")
 
 
 EXPLAINED = """
@@ -337,8 +345,9 @@ EXPLAINED = """
 )
 def contribution_summary(spark, folder):
     v = Views(spark, folder)
-    primary = entity_primary(v)
-    scores = B.contribution_scores(B.account_deltas(v.source("entity_code", "account_code", "amount"), ENTITY), primary, ENTITY)
+    source = entity_lines(v)
+    primary = entity_primary(v, source)
+    scores = B.contribution_scores(B.account_deltas(source, ENTITY), primary, ENTITY)
     return as_report(B.contribution_summary(scores, primary, ENTITY), "gap")
 
 
@@ -414,11 +423,11 @@ components AS (SELECT entity_code, metric, g, seq, category, round(a, 2) AS amou
 EVIDENCE_LINE = ("entity_code", "account_code", "amount", "is_intercompany", "counterparty_entity", "adjustment_flag")
 
 
-def entity_evidence(v: Views):
+def entity_evidence(v: Views, source=None, primary=None):
     """Evidence of every entity's primary gap."""
-    source = pin(fold(v.source(*EVIDENCE_LINE)))
+    source = entity_lines(v, *EVIDENCE_LINE) if source is None else source
     return gap_evidence(
-        entity_primary(v), source, v.mapping, ENTITY,
+        entity_primary(v, source) if primary is None else primary, source, v.mapping, ENTITY,
         run_checks=R.run_checks(R.paired_runs(v.run_log)),
         drift=S.schema_drift(v.inventory, "old", "new"),
         fuzzy=Z.fuzzy_matches(source, v.mapping),
@@ -545,9 +554,10 @@ SELECT *, overall_confidence < 0.8 AS needs_review FROM g1
 @query(GATE.replace("DCONF", "dconf"))
 def confidence_gate(spark, folder):
     v = Views(spark, folder)
-    evidence = entity_evidence(v)
-    primary = entity_primary(v)
-    scores = B.contribution_scores(B.account_deltas(v.source("entity_code", "account_code", "amount"), ENTITY), primary, ENTITY)
+    source = entity_lines(v, *EVIDENCE_LINE)
+    primary = entity_primary(v, source)
+    evidence = entity_evidence(v, source, primary)
+    scores = B.contribution_scores(B.account_deltas(source, ENTITY), primary, ENTITY)
     explained = B.contribution_summary(scores, primary, ENTITY).select(F.col("entity_code").alias("e"), "explained_share")
     rows = G.confidence_gate(evidence.join(explained, F.col("entity_code") == F.col("e")))
     return rows.select(*KEYS, "explained_share", "data_confidence", "run_confidence", "overall_confidence", "needs_review")
@@ -659,12 +669,12 @@ def investigation_by_feed(spark, folder):
 def evidence_by_group(spark, folder):
     """Evidence of every entity from its own feeds, tables, accounts and region."""
     v = Views(spark, folder)
-    source = pin(fold(v.source(*EVIDENCE_LINE)))
+    source = entity_lines(v, *EVIDENCE_LINE)
     scopes = Scopes(feeds=v.feeds, tables=v.fed_tables, regions=v.places.select(F.col("r_name").alias("region"), F.col("n_name").alias("entity_code")))
     odd = v.table("part").where(F.col("p_brand").isin("Brand#4", "Brand#8", "Brand#12")).select(F.col("p_brand").alias("account_code")).distinct()
     apart = v.table("region").where("r_name LIKE 'A%'").select(F.col("r_name").alias("group"))
     found = scoped(scopes, source, ENTITY, scopes.run_checks(v.run_log, ENTITY), S.schema_drift(v.inventory, "old", "new"), Z.fuzzy_matches(source, v.mapping), apart, odd)
-    rows = gap_evidence(entity_primary(v), source, v.mapping, ENTITY, None, *found)
+    rows = gap_evidence(entity_primary(v, source), source, v.mapping, ENTITY, None, *found)
     flags = ["has_run_findings", "run_confidence", "timestamp_gap_flag", "has_parameter_diffs", "watermark_gap_flag", "has_schema_drift", "has_fuzzy_match", "has_region_mismatch", "anomalous_count"]
     return rows.select(*ENTITY, *flags)
 
