@@ -294,6 +294,11 @@ def entity_primary(v: Views, source):
     return pin(primary.select("entity_code", F.col("primary_metric").alias("metric"), F.col("primary_gap").alias("gap")))
 
 
+def entity_deltas(v: Views):
+    """Amounts of all transactions, also of those without an order, which the gaps leave out."""
+    return B.account_deltas(v.source("entity_code", "account_code", "amount"), ENTITY)
+
+
 def scores_sql(order: str, excluded: str = "false") -> str:
     return f"""
     , d AS (SELECT entity_code, account_code, sum(amount) AS delta FROM recon_source WHERE NOT ({excluded}) GROUP BY 1, 2),
@@ -310,8 +315,7 @@ KEPT = """SELECT entity_code, account_code, round(CAST(delta AS DOUBLE), 2) AS d
 @query(ENTITY_GAPS + scores_sql("abs(delta) DESC, account_code") + KEPT)
 def contribution_scores(spark, folder):
     v = Views(spark, folder)
-    source = entity_lines(v)
-    rows = B.contribution_scores(B.account_deltas(source, ENTITY), entity_primary(v, source), ENTITY)
+    rows = B.contribution_scores(entity_deltas(v), entity_primary(v, entity_lines(v)), ENTITY)
     return as_report(rows, "delta", "gap").drop("metric")
 
 
@@ -325,9 +329,7 @@ def contribution_scores_with_priorities(spark, folder):
     brand = F.col("p_brand")
     first = v.table("part").filter(brand.isin("Brand#7", "Brand#3")).select(brand.alias("account_code"), F.when(brand == "Brand#7", 0).otherwise(1).alias("rank"))
     excluded = v.table("part").filter(brand == "Brand#9").select(brand.alias("account_code"))
-    source = entity_lines(v)
-    deltas = B.account_deltas(source, ENTITY)
-    return as_report(B.contribution_scores(deltas, entity_primary(v, source), ENTITY, excluded, first), "delta", "gap").drop("metric")
+    return as_report(B.contribution_scores(entity_deltas(v), entity_primary(v, entity_lines(v)), ENTITY, excluded, first), "delta", "gap").drop("metric")
 
 
 EXPLAINED = """
@@ -345,9 +347,8 @@ EXPLAINED = """
 )
 def contribution_summary(spark, folder):
     v = Views(spark, folder)
-    source = entity_lines(v)
-    primary = entity_primary(v, source)
-    scores = B.contribution_scores(B.account_deltas(source, ENTITY), primary, ENTITY)
+    primary = entity_primary(v, entity_lines(v))
+    scores = B.contribution_scores(entity_deltas(v), primary, ENTITY)
     return as_report(B.contribution_summary(scores, primary, ENTITY), "gap")
 
 
@@ -557,7 +558,7 @@ def confidence_gate(spark, folder):
     source = entity_lines(v, *EVIDENCE_LINE)
     primary = entity_primary(v, source)
     evidence = entity_evidence(v, source, primary)
-    scores = B.contribution_scores(B.account_deltas(source, ENTITY), primary, ENTITY)
+    scores = B.contribution_scores(entity_deltas(v), primary, ENTITY)
     explained = B.contribution_summary(scores, primary, ENTITY).select(F.col("entity_code").alias("e"), "explained_share")
     rows = G.confidence_gate(evidence.join(explained, F.col("entity_code") == F.col("e")))
     return rows.select(*KEYS, "explained_share", "data_confidence", "run_confidence", "overall_confidence", "needs_review")
