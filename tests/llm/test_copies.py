@@ -63,6 +63,27 @@ def test_families_with_edits_at_the_limit(docs):
     assert got == brute(texts, 2, 80)
 
 
+def test_families_are_joined_by_few_links(docs, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for doc in range(80):
+        copy = list(base)
+        for place in rng.sample(range(120), 6):
+            copy[place] = f"n{doc}x{place}"
+        texts[doc] = " ".join(copy)
+    sizes = []
+
+    def counted(links):
+        sizes.append(links.distinct().count())
+        return components(links)
+
+    monkeypatch.setattr(near_dedup, "components", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_groups(docs(*texts.items()), 2, 80).collect()}
+    assert got == brute(texts, 2, 80)
+    assert max(sizes) <= 3 * len(texts)  # one for each hub that a copy meets would be several times as many
+
+
 def test_near_groups_of_odd_rows(docs):
     df = docs((5, None), (6, ""), (7, "  \n"), (None, "a b c"), (8, "One"), (9, "oNE"), (9, "oNE"), (4, "x y"), (4, "q r"), (3, "Q R"), (2, "É é"), (1, "é é"))
     rows = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(df, 2, 80).collect()]

@@ -90,10 +90,24 @@ def _labelled(df: DataFrame, column: str, found: DataFrame | None, out: str) ->
     return df.join(side, F.col(column) == F.col("_node"), "left").withColumn(out, F.coalesce("_component", column)).drop("_node", "_component")
 
 
-def _within_families(spokes: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _families(classes: DataFrame, met: DataFrame, first: DataFrame) -> DataFrame:
+    """(node, family): what the buckets of ``met`` (node, hub) connect; the smallest node names it.
+
+    ``first`` has one link to a hub for each class, and joins most of a family before buckets are looked at. A class that
+    meets another hub in every bucket then gives no row for each of them: only buckets that still hold several parts link these.
+    """
+    parts = components(first)
+    placed = _labelled(classes.select("node", "bands"), "node", parts, "part").select(F.explode("bands").alias("bucket"), "part")
+    open_ = placed.groupBy(F.col("bucket").alias("_bucket")).agg(F.min("part").alias("a"), F.max("part").alias("last")).where("a < last")
+    links = placed.join(open_, F.col("bucket") == F.col("_bucket")).where("part > a").select("a", F.col("part").alias("b")).distinct()
+    nodes = _labelled(met.select("node").distinct(), "node", parts, "part")
+    return _labelled(nodes, "part", components(links), "family").select("node", "family")
+
+
+def _within_families(spokes: DataFrame, family: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links to the pivots of families, and pairs (a, b) of different components that still have to be compared.
 
-    A family is what ``spokes`` (node, hub) connects; its pivot is the hub of most nodes. With D(x) as the shingles in
+    A ``family`` (node, family) is what ``spokes`` (node, hub) connects; its pivot is the hub of most nodes. With D(x) as the shingles in
     which x and the pivot differ, x and y differ in |D(x)| + |D(y)| - 2 * |common to D(x) and D(y)|. So a similar pair
     has some number of changes in common, and in any fixed order of shingles the first of these leaves room for the
     others in both sets. Changes are ordered by how many classes share them, and classes meet only at a change that
@@ -101,8 +115,6 @@ def _within_families(spokes: DataFrame, sets: DataFrame, found: DataFrame, perce
     both linked to the pivot.
     """
     more, less = 100 + percent, 100 - percent
-    family = components(spokes.select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    family = family.select("node", F.col("component").alias("family"))
     placed = pin(_labelled(family, "node", found, "c"))
     open_ = placed.groupBy(F.col("family").alias("_family")).agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("_family")
     placed = placed.join(small_side(open_), F.col("family") == F.col("_family"), "left_semi")
@@ -172,7 +184,7 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, text: Column
     links = links.union(_confirmed(rest, sets, percent))
     found = components(links)
 
-    near, pairs = _within_families(spokes, sets, found, percent)
+    near, pairs = _within_families(spokes, _families(classes, met, first), sets, found, percent)
     links = links.union(near).union(_confirmed(pairs.join(first.union(rest), ["a", "b"], "left_anti"), sets, percent))
 
     nodes = classes.select(F.col("key_a").alias("_a"), F.col("key_b").alias("_b"), F.col("n_shingles").alias("_n"), "node")
