@@ -86,3 +86,19 @@ def test_groups_of_odd_rows(docs):
     ]
     assert [r for r in rows if r[0] is None] == [(None, None)]
     assert jaccard_join.jaccard_groups(docs()).count() == 0
+
+
+def test_members_meet_once_for_all_changes_that_they_share(spark):
+    rng = np.random.default_rng(3)
+    data = []
+    for group in range(10):  # two members of each group differ in more than they may, and share very many changes
+        common = rng.integers(-(2**63), 2**63, 600).tolist()
+        for node in (2 * group, 2 * group + 1):
+            own = rng.integers(-(2**63), 2**63, 80 if group < 8 else 5).tolist()
+            data.append((1, node, node, node, len(common) + len(own), common + own))
+    members = spark.createDataFrame(data, "region long, node long, which long, c long, n long, changes array<long>")
+    pairs = jaccard_join.by_changes(members, 85)
+    assert {(16, 17), (18, 19)} <= {(r.a, r.b) for r in pairs.collect()}
+    assert pairs.count() < 6  # as many as ten without sketches
+    each = spark.createDataFrame([(1, change, node, node, node, 3, change) for node in (1, 2) for change in range(50)] + [(1, 50, 2, 2, 2, 3, 50), (1, 50, 3, 3, 3, 3, 50)], "region long, change long, node long, which long, c long, weight long, room long")
+    assert sorted((r.node, r.room) for r in jaccard_join._by_holders(each).collect()) == [(1, 49), (2, 49), (2, 50), (3, 50)]

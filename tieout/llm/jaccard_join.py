@@ -20,6 +20,7 @@ LEVELS = 4
 WHOLE = 256  # regions of at most so many sets are not cut
 NEAR = 0.5  # a set belongs to a pivot's region only up to this distance
 PAIRS_AT_ONCE = 1 << 20
+CHANGE_CELLS = 8
 MEMBER = ("region", "node", "which", "c", "n")
 
 
@@ -144,7 +145,7 @@ def _labelled(df: DataFrame, found: DataFrame) -> DataFrame:
 def _differences(first: np.ndarray, second: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> np.ndarray:
     """Least number of shingles that only one set of each pair has: the buckets that are odd in one of them only.
 
-    The wider sketch of a pair is folded to the other's number of buckets.
+    The wider sketch of a pair is folded to the other's number of buckets. It is never less than the sizes differ.
     """
     levels = sketch_level(n)
     out = np.zeros(len(first), np.int64)
@@ -162,7 +163,7 @@ def _differences(first: np.ndarray, second: np.ndarray, n: np.ndarray, sketches:
         for at in range(0, len(mine), step):
             x, y = index[: len(mine)][at : at + step], index[len(mine) :][at : at + step]
             out[mine[at : at + step]] = np.bitwise_count(table[x] ^ table[y]).sum(axis=1, dtype=np.int64)
-    return out
+    return np.maximum(out, np.abs(n[first] - n[second]))
 
 
 def _near_pairs(node, c, n, sketches, starts, percent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,6 +283,17 @@ def _replicated(met: DataFrame, r: float) -> DataFrame:
     return near.select("number", *MEMBER).union(far.select(F.lit(-1).alias("number"), *MEMBER))
 
 
+def change_sketch(changes: str) -> list[Column]:
+    """For each of 64 * ``CHANGE_CELLS`` buckets whether their number of changes is odd, as ``CHANGE_CELLS`` numbers."""
+
+    def cell(i):
+        mine = F.filter(changes, lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(CHANGE_CELLS - 1) == i)
+        mark = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(mark(x)))
+
+    return [cell(i).alias(f"bits_{i}") for i in range(CHANGE_CELLS)]
+
+
 def by_changes(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that can be similar, by what each of them has changed against its pivot.
 
@@ -290,7 +302,9 @@ def by_changes(members: DataFrame, percent: int) -> DataFrame:
     exactly what it leaves open. So a similar pair has some number of changes in common, and in any fixed order the first
     of these leaves room for the others in both sets. Changes are ordered by how many members share them, and members
     meet only at a change that leaves that room: copies that were edited in different places never meet. Pairs that need
-    no common change are both linked to the pivot.
+    no common change are both linked to the pivot. Members meet once for all changes that the same members have, and are
+    a pair only if the sketches of their changes (``change_sketch``), which differ in no more places than the sets, leave
+    it open.
     """
     more, less = 100 + percent, 100 - percent
     members = members.withColumn("size", F.size("changes")).withColumn("weight", more * F.col("size") - less * F.col("n"))
@@ -303,14 +317,32 @@ def by_changes(members: DataFrame, percent: int) -> DataFrame:
     own = Window.partitionBy("region", "node", "which")
     rest = F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("holders", "change"))
     each = each.withColumn("room", 2 * more * (rest + 1)).where("room >= weight + least")
-    each = pin(each.select("region", "change", "node", "c", "weight", "room"))
-    other = each.select(*[F.col(name).alias(f"_{name}") for name in each.columns])
-    meet = (F.col("region") == F.col("_region")) & (F.col("change") == F.col("_change")) & (F.col("node") < F.col("_node")) & (F.col("c") != F.col("_c"))
+    each = pin(each.select("region", "change", "node", "which", "c", "weight", "room"))
+    cells = [f"bits_{i}" for i in range(CHANGE_CELLS)]
+    side = members.select(F.col("region").alias("_region"), F.col("node").alias("_node"), F.col("which").alias("_which"), "n", *change_sketch("changes"))
+    held = _by_holders(each).join(side, (F.col("region") == F.col("_region")) & (F.col("node") == F.col("_node")) & (F.col("which") == F.col("_which")))
+    held = pin(held.select("region", "held_by", "node", "c", "n", "weight", "room", *cells))
+    other = held.select(*[F.col(name).alias(f"_{name}") for name in held.columns])
+    meet = (F.col("region") == F.col("_region")) & (F.col("held_by") == F.col("_held_by")) & (F.col("node") < F.col("_node")) & (F.col("c") != F.col("_c"))
     both = F.col("weight") + F.col("_weight")
-    met = each.join(other, meet & (both > 0) & (F.col("room") >= both) & (F.col("_room") >= both))
+    apart = reduce(Column.__add__, [F.bit_count(F.col(cell).bitwiseXOR(F.col(f"_{cell}"))) for cell in cells])
+    similar = more * apart <= less * (F.col("n") + F.col("_n"))
+    met = held.join(other, meet & (both > 0) & (F.col("room") >= both) & (F.col("_room") >= both) & similar)
     return pin(met.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct())
 
 
+def _by_holders(each: DataFrame) -> DataFrame:
+    """``each`` with one row of a member for all changes that the same members have (``held_by``), and the most room of them.
+
+    Two members that share thousands of changes would else meet at each of them.
+    """
+    holders = each.groupBy(F.col("region").alias("_region"), F.col("change").alias("_change")).agg(
+        F.xxhash64(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "which")), F.bit_xor(F.xxhash64("which", "node"))).alias("held_by"), F.min("c").alias("low"), F.max("c").alias("high")
+    )
+    each = each.join(holders.where("low < high"), (F.col("region") == F.col("_region")) & (F.col("change") == F.col("_change")))
+    return each.groupBy("region", "held_by", "node", "which", "c", "weight").agg(F.max("room").alias("room"))
+
+
 def _in_families(spokes: DataFrame, sets: DataFrame, found: DataFrame, links: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links to pivots, and pairs still to be compared, among the classes that ``spokes`` (node, hub) connect."""
     family = components(spokes.select(F.col("hub").alias("a"), F.col("node").alias("b"))).select("node", F.col("component").alias("region"))
