@@ -1,6 +1,7 @@
 """Near copies and repeated passages against brute force."""
 
 import collections
+import os
 import random
 import re
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tieout.llm import near_dedup, substring_dedup
 from tieout.llm.components import components
+from tieout.scale import application_folder
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -240,6 +242,27 @@ def test_matches_of_hot_seeds_and_of_small_batches(spark, docs, size):
     assert all(r[0] > r[1] for r in one) and {r[4] for r in one} == {1, 2, 3}
 
 
+def test_stages_leave_only_their_result_behind(spark, docs):
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randrange(500)}" for _ in range(n)]
+    planted = text(70)
+    some = docs(*[(d, " ".join(text(100) + (planted if d < 3 else []) + text(40))) for d in range(6)], (6, " ".join(text(60))))
+    folder = application_folder(spark)
+    before = set(os.listdir(folder))
+    kept = near_dedup.drop_near_copies(some)
+    assert len(set(os.listdir(folder)) - before) == 1 and kept.count() == 7
+    before = set(os.listdir(folder))
+    cut = substring_dedup.dedup_passages(kept)
+    assert len(set(os.listdir(folder)) - before) == 1
+    assert {r.doc_id: len(words(r.text)) for r in cut.collect()} == {0: 210, 1: 140, 2: 140, 3: 140, 4: 140, 5: 140, 6: 60}
+
+
+def test_units_of_two_documents_only_are_kept(docs):
+    shared, one = [" ".join(f"{c}{i}" for i in range(80)) for c in "sx"]
+    some = docs((1, shared + " a b c"), (2, "d e " + shared), (3, one + " " + one)).select("doc_id", "text")
+    assert {r.doc_id for r in substring_dedup.shared_units(some, 50, 16).collect()} == {1, 2}
+
+
 def test_planted_passages_are_cut_and_clean_documents_stay(docs):
     rng = random.Random(3)
     fresh = lambda n: " ".join(f"t{rng.randrange(10**7)}" for _ in range(n))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tieout.llm.common import free, in_worker, pin, small_side, within
+from tieout.llm.common import free, in_worker, pin, settled, small_side, within
 from tieout.llm.components import components
 from tieout.llm.words import ODD, Words, mix, shingles, signed, text_slices
 
@@ -199,5 +199,5 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, text: Column
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs`` whose document is kept by ``near_groups``; columns unchanged. Rows without doc_id stay."""
     name = free(docs, "_gone")
-    gone = near_groups(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    gone = settled(docs.sparkSession, lambda: near_groups(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias(name)).distinct())
     return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
