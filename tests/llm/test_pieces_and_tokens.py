@@ -1,6 +1,7 @@
 """Encoding, decoding and token attribution against the libraries themselves."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -107,3 +108,18 @@ def test_workers_keep_tables_only_for_runs_that_keep():
     assert made == ["a"]
     assert list(in_worker(lambda batches: iter(batches))(iter([]))) == []
     assert list(keeping(iter("x"))) == ["ax"] and made == ["a", "a"]
+
+
+def test_chunks_are_met_once_and_pairs_are_not_searched_again(monkeypatch):
+    names, every, ends = sentence_pieces._chunks(pa.array(["a b", None, "", "  b a ", "▁a", " "]))
+    assert [[names[i] for i in every[a:b]] for a, b in zip(ends[:-1], ends[1:])] == [["▁a", "▁b"], [], [], ["▁▁▁b", "▁a", "▁"], ["▁▁a"], ["▁▁"]]
+    assert len(set(names)) == len(names)
+    with open(sentence_pieces.MODEL, "rb") as file:
+        vocabulary = sentence_pieces.Vocabulary(file.read())
+    asked, search = [], vocabulary._fit_some
+    monkeypatch.setattr(vocabulary, "_fit_some", lambda pairs: asked.extend(pairs.tolist()) or search(pairs))
+    ids, sizes = sentence_pieces.encode_chunks(["▁the", "▁thesis", "▁the"], vocabulary)
+    assert asked and len(set(asked)) < 200
+    once = len(asked)
+    again = sentence_pieces.encode_chunks(["▁the", "▁thesis", "▁the"], vocabulary)
+    assert len(asked) == once and (again[0] == ids).all() and (again[1] == sizes).all()

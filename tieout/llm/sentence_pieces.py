@@ -9,9 +9,6 @@ is what the merges make of their joined text. So every position keeps one edge,
 
 from __future__ import annotations
 
-import re
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -19,6 +16,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, types as T
 
 from tieout.llm.common import in_worker, kept
+from tieout.llm.words import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_CHARS = 2_000_000
@@ -26,7 +24,7 @@ KNOWN_CHUNKS = 700_000  # encoded chunks that a worker keeps for its next batche
 MARK = "▁"
 CHARACTER = 1 << 24  # a character that is no piece has this number and more
 BEGIN = 1 << 26  # stands before the first piece of a chunk
-_CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
+RECENT = 20  # binary logarithm of the number of pairs that are looked up in one step
 
 
 class Vocabulary:
@@ -59,8 +57,12 @@ class Vocabulary:
         self.byte_sizes = np.array([len(b) for b in spaced], np.int64)
         self.byte_starts = np.cumsum(self.byte_sizes) - self.byte_sizes
         self.byte_pool = np.frombuffer(b"".join(spaced), np.uint8)
-        self.listed = sorted(self.ids)
+        long = [(p, i) for p, i in sorted(self.ids.items()) if len(p) > 1]
+        self.long_ids, self.long_sizes = np.array([i for _, i in long], np.int64), np.array([len(p) for p, _ in long], np.int64)
+        self.long_points = np.zeros((len(long), self.length), np.uint32)
+        self.long_points[np.arange(self.length) < self.long_sizes[:, None]] = _points("".join(p for p, _ in long))
         self._pairs, self._fits = np.zeros(0, np.int64), np.zeros(0, bool)
+        self._recent, self._recent_fits = np.full(1 << RECENT, -1, np.int64), np.zeros(1 << RECENT, bool)
 
     def name(self, piece: str) -> int:
         """Id of a piece, or a number for a character that is none."""
@@ -84,21 +86,42 @@ class Vocabulary:
         return parts
 
     def fit_all(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        """Whether the merges make exactly these two pieces of their joined text; pairs once seen are kept."""
+        """Whether the merges make exactly these two pieces of their joined text; pairs once seen are kept.
+
+        A table by the hash of the pair knows most of them at once, the others are found among all pairs seen.
+        """
         pairs = (before << 32) | piece
+        place = (mix(pairs.view(np.uint64)) >> np.uint64(64 - RECENT)).view(np.int64)
+        out = self._recent_fits[place]
+        late = np.flatnonzero(self._recent[place] != pairs)
+        if len(late):
+            asked, which = np.unique(pairs[late], return_inverse=True)
+            fits = self._fit_some(asked)
+            out[late] = fits[which]
+            place = place[late]
+            self._recent[place] = pairs[late]
+            self._recent_fits[place] = out[late]  # of pairs with one place the last in both
+        return out
+
+    def _fit_some(self, pairs: np.ndarray) -> np.ndarray:
+        """The same for sorted different pairs."""
         at = np.searchsorted(self._pairs, pairs)
-        new = np.unique(pairs[(at == len(self._pairs)) | (self._pairs[np.minimum(at, len(self._pairs) - 1)] != pairs)]) if len(self._pairs) else np.unique(pairs)
-        new = new[new >= 0]
+        known = np.zeros(len(pairs), bool)
+        inside = at < len(self._pairs)
+        known[inside] = self._pairs[at[inside]] == pairs[inside]
+        out = np.zeros(len(pairs), bool)
+        out[known] = self._fits[at[known]]
+        new = np.flatnonzero(~known & (pairs >= 0))
+        for i, pair in zip(new.tolist(), pairs[new].tolist()):
+            left, right = self._text(pair >> 32), self._text(pair & 0xFFFFFFFF)
+            out[i] = self.merged(left + right) == ([left, right] if left else [right])
         if len(new):
-            fits = []
-            for pair in new.tolist():
-                left, right = self._text(pair >> 32), self._text(pair & 0xFFFFFFFF)
-                fits.append(self.merged(left + right) == ([left, right] if left else [right]))
-            every, known = np.append(self._pairs, new), np.append(self._fits, fits)
-            order = np.argsort(every, kind="stable")
-            self._pairs, self._fits = every[order], known[order].astype(bool)
-            at = np.searchsorted(self._pairs, pairs)
-        return self._fits[np.minimum(at, len(self._pairs) - 1)]
+            self._pairs, self._fits = np.insert(self._pairs, at[new], pairs[new]), np.insert(self._fits, at[new], out[new])
+        return out
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
 def suffix_order(codes: np.ndarray, length: int) -> np.ndarray:
@@ -115,7 +138,7 @@ def suffix_order(codes: np.ndarray, length: int) -> np.ndarray:
         after[: len(rank) - width] = rank[width:] + 1
         rank = rank * (int(rank.max()) + 2) + after
         width *= 2
-    return np.argsort(rank, kind="stable")
+    return np.argsort(rank)
 
 
 def occurrences(codes: np.ndarray, order: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,35 +169,35 @@ def occurrences(codes: np.ndarray, order: np.ndarray, pieces: np.ndarray, length
 
 def encode_chunks(chunks: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all chunks, one after another, and how many each has."""
-    text = "\0".join(chunks) + "\0"
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    alphabet, codes = np.unique(points, return_inverse=True)
-    codes = codes.astype(np.int32) + 1
+    points = _points("\0".join(chunks) + "\0")
+    place = np.zeros(0x110000, np.int32)
+    place[points] = 1
+    alphabet = np.flatnonzero(place)
+    place[alphabet] = np.arange(1, len(alphabet) + 1)
+    codes = place[points]
     bounds = np.cumsum([0] + [len(c) + 1 for c in chunks])
     codes[bounds[1:] - 1] = 0
     order = suffix_order(codes, vocabulary.length)
-    place = {chr(p): i + 1 for i, p in enumerate(alphabet.tolist())}
-    here = [p for p in vocabulary.listed if len(p) > 1 and all(c in place for c in p)]
+    table = place[vocabulary.long_points]
+    table[np.arange(vocabulary.length) >= vocabulary.long_sizes[:, None]] = -1
+    here = np.flatnonzero((table != 0).all(axis=1))
     single = np.flatnonzero(codes)  # every character is an edge: a piece of its own, or bytes
     names = np.array([vocabulary.name(chr(p)) for p in alphabet.tolist()], np.int64)
     start, end, piece = [single], [single + 1], [names[codes[single] - 1]]
-    if here:
-        lengths = np.array([len(p) for p in here])
-        table = np.zeros((len(here), vocabulary.length), np.int64)
-        for i, p in enumerate(here):
-            table[i, : len(p)] = [place[c] for c in p]
-        low, high = occurrences(codes, order, table, lengths)
+    if len(here):
+        lengths = vocabulary.long_sizes[here]
+        low, high = occurrences(codes, order, table[here], lengths)
         counts = high - low
         which = np.repeat(np.arange(len(here)), counts)
         found = order[np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)]
         start.append(found)
         end.append(found + lengths[which])
-        piece.append(np.array([vocabulary.name(p) for p in here], np.int64)[which])
+        piece.append(vocabulary.long_ids[here][which])
     start, end, piece = np.concatenate(start), np.concatenate(end), np.concatenate(piece)
     del order
     # Edges by the distance of their end from the beginning of their chunk: one step relaxes all chunks at once.
     distance = end - np.repeat(bounds[:-1], np.diff(bounds))[start]
-    ranked = np.argsort(distance.astype(np.int32), kind="stable")
+    ranked = np.argsort(distance.astype(np.uint16 if distance.max() < 1 << 16 else np.int32), kind="stable")
     start, end, piece = start[ranked], end[ranked], piece[ranked]
     steps = np.append(0, np.cumsum(np.bincount(distance, minlength=1)))
     del distance, ranked
@@ -219,22 +242,19 @@ class Encoded:
         self.place: dict[str, int] = {}
         self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text begins and ends in them; a null text has none."""
-        parted = [_chunks(t or "") for t in texts]
-        counts = np.cumsum([0, *map(len, parted)])
-        every = list(chain.from_iterable(parted))
-        distinct = dict.fromkeys(every)
+        distinct, every, counts = _chunks(texts)
         new = [c for c in distinct if c not in self.place]
         if len(self.place) + len(new) > self.most:
             self.clear()
-            new = list(distinct)
+            new = distinct
         if new:
             ids, sizes = encode_chunks(new, self.vocabulary)
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
             self.ids = np.append(self.ids, ids)
             self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(sizes))
-        which = np.fromiter(map(self.place.__getitem__, every), np.int64, len(every))
+        which = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[every]
         sizes = self.starts[which + 1] - self.starts[which]
         ends = np.append(0, np.cumsum(sizes))
         flat = self.ids[np.arange(int(ends[-1])) + np.repeat(self.starts[which] - ends[:-1], sizes)]
@@ -246,8 +266,32 @@ def _as_bytes(character: str, vocabulary: Vocabulary) -> list[int]:
     return found if min(found) >= 0 else [vocabulary.unknown]
 
 
-def _chunks(text: str) -> list[str]:
-    return _CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
+def _chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Different chunks of texts, the number of each chunk in order, and where each text begins and ends in them.
+
+    A chunk is a word with all spaces before it, one more at the beginning of a text; spaces at its end are one, too.
+    """
+    parted = pa.compute.split_pattern(pa.compute.replace_substring(pa.compute.fill_null(texts, ""), MARK, " "), " ")
+    words, counts = parted.flatten(), pa.compute.list_value_length(parted).to_numpy()
+    last = np.zeros(len(words), bool)
+    last[np.cumsum(counts) - 1] = True
+    text = np.repeat(np.arange(len(counts)), counts)
+    empty = pa.compute.equal(pa.compute.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    some = ~pa.compute.equal(pa.compute.binary_length(pa.compute.fill_null(texts, "")), 0).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero((~empty | last) & some[text])
+    before = np.diff(at, prepend=-1) - 1  # empty words before: spaces beyond one
+    first = np.append(True, text[at][1:] != text[at][:-1]) if len(at) else np.zeros(0, bool)
+    before[first] = at[first] - (np.cumsum(counts) - counts)[text[at[first]]]
+    coded = words.take(pa.array(at)).dictionary_encode()
+    every, names = coded.indices.to_numpy().astype(np.int64), [MARK + w for w in coded.dictionary.to_pylist()]
+    more = np.flatnonzero(before)
+    if len(more):
+        kinds, which = np.unique(np.stack([every[more], before[more]]), axis=1, return_inverse=True)
+        every[more] = len(names) + which.ravel()
+        names += [MARK * n + names[word] for word, n in kinds.T.tolist()]
+        used, every = np.unique(every, return_inverse=True)
+        names = [names[i] for i in used.tolist()]
+    return names, every, np.append(0, np.cumsum(np.bincount(text[at], minlength=len(counts))))
 
 
 def decode_ids(ids, vocabulary: Vocabulary) -> str:
@@ -306,7 +350,7 @@ def encode(docs: DataFrame, model: str = MODEL, batch_chars: int = BATCH_CHARS,
         vocabulary = known.vocabulary
         for batch in _texts(batches, batch_chars):
             texts = batch.column("text")
-            flat, ends = known.texts(texts.to_pylist())
+            flat, ends = known.texts(texts)
             missing = texts.is_null()
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=missing)
             batch = batch.append_column("piece_ids", ids)
