@@ -4,14 +4,18 @@ import collections
 import os
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tieout import scale
 from tieout.llm import near_dedup, substring_dedup
 from tieout.llm.components import components
-from tieout.scale import application_folder
+from tieout.llm.words import Words, shingles, text_slices
+from tieout.scale import application_folder, pin
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -318,3 +322,46 @@ def test_hot_copies_stay_linear(docs):
     assert len(found) == 99 and {r.source_doc_id for r in found} == {0}
     groups = near_dedup.near_groups(docs(*rows)).groupBy("component_id").count().where("count > 1").collect()
     assert [(r[0], r[1]) for r in groups] == [(0, 100)]
+
+
+def test_seeds_and_units_of_a_slice_are_those_of_each_text():
+    def kmers(hashes, width):
+        return shingles(hashes, width) if len(hashes) >= width else np.zeros(0, np.uint64)
+
+    rng = np.random.default_rng(2)
+    for _ in range(100):
+        texts = [None if rng.random() < 0.1 else " ".join(rng.choice(list("abcd"), rng.integers(0, 30))) for _ in range(rng.integers(1, 8))]
+        width, window, length = int(rng.integers(1, 6)), int(rng.integers(1, 6)), int(rng.integers(6, 12))
+        for _, _, data, offsets in text_slices(pa.array(texts, pa.string())):
+            words = Words(data, offsets)
+            seeds, units = set(), set()
+            for row in range(len(offsets) - 1):
+                k = kmers(words.of(row), width)
+                for i in range(max(len(k) - window + 1, min(len(k), 1))):
+                    at = i + int(np.argmin(k[i : i + window]))
+                    seeds.add((row, at, int(k[at])))
+                units |= {(row, i, int(k[i + int(np.argmin(k[i : i + length - width + 1]))])) for i in range(len(words.of(row)) - length + 1)}
+            assert set(zip(*(x.tolist() for x in substring_dedup.chosen_seeds(words, width, window)))) == seeds
+            text, seed, _, place, n = substring_dedup.units_of(words, length, width)
+            assert {(t, p + i, s) for t, s, p, m in zip(text.tolist(), seed.tolist(), place.tolist(), n.tolist()) for i in range(m)} == units
+
+
+def test_chains_of_plain_and_bent_groups(spark):
+    rows = [(2, 1, p, p + 5, 1, 0) for p in (0, 8, 16)] + [(3, 1, 0, 0, 2, 0), (3, 1, 8, 9, 1, 1)] + [(4, 1, 0, 0, 1, 0), (4, 1, 90, 90, 1, 1)] + [(5, 1, 7, 7, 3, 1)]
+    found = substring_dedup._chains(spark.createDataFrame(rows, substring_dedup.MATCH), 0, 40, 0.1, 5.0).collect()
+    assert sorted((r.doc_id, r.places, r.source_places, r.number, r.firm) for r in found) == [
+        (2, [0, 8, 16], [5, 13, 21], 1, 0), (3, [0, 8], [0, 9], 1, 1), (4, [0], [0], 1, 0), (4, [90], [90], 1, 1), (5, [7], [7], 3, 1),
+    ]
+
+
+def test_a_pinned_table_leaves_no_exchanged_files(spark):
+    held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: held.getAllBlocks().size()
+    before = files()
+    table = pin(spark.range(50_000).groupBy((F.col("id") % 997).alias("k")).agg(F.count(F.lit(1)).alias("n")))
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and table.count() == 997
+    assert spark.conf.get(scale.FILE_CLEANUP) == "false"
