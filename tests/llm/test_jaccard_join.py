@@ -102,3 +102,28 @@ def test_members_meet_once_for_all_changes_that_they_share(spark):
     assert pairs.count() < 6  # as many as ten without sketches
     each = spark.createDataFrame([(1, change, node, node, node, 3, change) for node in (1, 2) for change in range(50)] + [(1, 50, 2, 2, 2, 3, 50), (1, 50, 3, 3, 3, 3, 50)], "region long, change long, node long, which long, c long, weight long, room long")
     assert sorted((r.node, r.room) for r in jaccard_join._by_holders(each).collect()) == [(1, 49), (2, 49), (2, 50), (3, 50)]
+
+
+def test_only_changes_that_can_be_the_first_common_one_are_joined(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    draw = lambda n: set(rng.integers(-(2**63), 2**63, n).tolist())
+    pivot, line, sets = draw(200), draw(12), []
+    for _ in range(60):
+        sets.append(draw(188) | line)
+    for base in [*sets[:5], *[pivot] * 8]:  # the latter are changed in many places, some of them the same
+        sets.append(set(sorted(base)[int(rng.integers(6, 40)) :]) | draw(6))
+    data = [(1, node, node, node, len(s), sorted(s ^ pivot)) for node, s in enumerate(sets)]
+    members = spark.createDataFrame(data, "region long, node long, which long, c long, n long, changes array<long>").cache()
+    first, rows = jaccard_join._first_changes, []
+
+    def counted(members, tables, percent):
+        out = first(members, tables, percent)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_first_changes", counted)
+    pairs = {(r.a, r.b) for r in jaccard_join.by_changes(members, 85).collect()}
+    near = lambda x, y: 100 * len(x & y) >= 85 * len(x | y)
+    similar = {(a, b) for b in range(len(sets)) for a in range(b) if near(sets[a], sets[b]) and not (near(sets[a], pivot) and near(sets[b], pivot))}
+    assert similar and similar <= pairs
+    assert rows[0] < sum(len(d[5]) for d in data) / 20

@@ -21,6 +21,7 @@ WHOLE = 256  # regions of at most so many sets are not cut
 NEAR = 0.5  # a set belongs to a pivot's region only up to this distance
 PAIRS_AT_ONCE = 1 << 20
 CHANGE_CELLS = 8
+CROWDS = (8, 64, 512)  # changes with more holders than these come later and later in their order
 MEMBER = ("region", "node", "which", "c", "n")
 
 
@@ -294,30 +295,31 @@ def change_sketch(changes: str) -> list[Column]:
     return [cell(i).alias(f"bits_{i}") for i in range(CHANGE_CELLS)]
 
 
+def _in_region(region: str, change: Column) -> Column:
+    """A number for a change in a region."""
+    return F.xxhash64(region).bitwiseXOR(change)
+
+
 def by_changes(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that can be similar, by what each of them has changed against its pivot.
 
     ``members``: ``MEMBER`` and changes (shingles in which the set and the region's pivot differ). With D(x) as the
     changes of x, x and y differ in |D(x)| + |D(y)| - 2 * |common changes|: the triangle inequality over the pivot, and
     exactly what it leaves open. So a similar pair has some number of changes in common, and in any fixed order the first
-    of these leaves room for the others in both sets. Changes are ordered by how many members share them, and members
-    meet only at a change that leaves that room: copies that were edited in different places never meet. Pairs that need
+    of these leaves room for the others in both sets. Changes are ordered by how many members share them (``CROWDS``), and members
+    meet only at a change that leaves that room: copies that were edited in different places never meet. Which changes
+    leave it in one member at most is told before anything is joined (``_first_changes``). Pairs that need
     no common change are both linked to the pivot. Members meet once for all changes that the same members have, and are
     a pair only if the sketches of their changes (``change_sketch``), which differ in no more places than the sets, leave
     it open.
     """
     more, less = 100 + percent, 100 - percent
     members = members.withColumn("size", F.size("changes")).withColumn("weight", more * F.col("size") - less * F.col("n"))
-    each = members.select("region", "node", "which", "c", "weight", F.explode("changes").alias("change"))
-    shared = each.groupBy(F.col("region").alias("_region"), F.col("change").alias("_change")).agg(
-        F.count(F.lit(1)).alias("holders"), F.min("weight").alias("least"), F.min("c").alias("low"), F.max("c").alias("high")
-    )
-    each = each.join(shared.where("low < high"), (F.col("region") == F.col("_region")) & (F.col("change") == F.col("_change")))
-    # Changes that only one component has come first in the order, and are no longer here.
-    own = Window.partitionBy("region", "node", "which")
-    rest = F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("holders", "change"))
-    each = each.withColumn("room", 2 * more * (rest + 1)).where("room >= weight + least")
-    each = pin(each.select("region", "change", "node", "which", "c", "weight", "room"))
+    each = members.select("region", "c", F.explode("changes").alias("change")).select(_in_region("region", F.col("change")).alias("change"), "c")
+    shared = each.groupBy("change").agg(F.count(F.lit(1)).alias("holders"), F.min("c").alias("low"), F.max("c").alias("high"))
+    shared = pin(shared.where("low < high").select("change", "holders"))
+    tables = [bit_table(shared.where(F.col("holders") > least).select("change")) for least in (1, *CROWDS)]
+    each = pin(_first_changes(members, tables, percent))
     cells = [f"bits_{i}" for i in range(CHANGE_CELLS)]
     side = members.select(F.col("region").alias("_region"), F.col("node").alias("_node"), F.col("which").alias("_which"), "n", *change_sketch("changes"))
     held = _by_holders(each).join(side, (F.col("region") == F.col("_region")) & (F.col("node") == F.col("_node")) & (F.col("which") == F.col("_which")))
@@ -331,15 +333,52 @@ def by_changes(members: DataFrame, percent: int) -> DataFrame:
     return pin(met.select(F.col("node").alias("a"), F.col("_node").alias("b")).distinct())
 
 
+def _first_changes(members: DataFrame, tables: list[np.ndarray], percent: int) -> DataFrame:
+    """(region, change, node, which, c, weight, room): the changes at which a member can have its first common one with a similar set.
+
+    ``tables`` (``bit_table``) hold the changes of several components and the crowded ones of these; the order of changes
+    in a region depends on their bits and hashes alone, so a full table changes the work and no result. x has no more than
+    |x - y| changes that a similar y lacks, and y at most 100 / ``percent`` times as many shingles, so all but so many of
+    D(x) are common, and the first of these leaves the others behind it. ``room``: what a change leaves, on the scale of ``weight``.
+    """
+    more, less = 100 + percent, 100 - percent
+    shared = members.sparkSession.sparkContext.broadcast(tables)
+    names = ["region", "change", "node", "which", "c", "weight", "room"]
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column("changes")
+            change, size = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+            region, node, which, c, weight, salt, n = (batch.column(x).to_numpy() for x in ("region", "node", "which", "c", "weight", "salt", "n"))
+            owner = np.repeat(np.arange(len(size)), size)
+            place = (change ^ salt[owner]).view(np.uint64)
+            several = in_table(shared.value[0], place)
+            owner, change, place = owner[several], change[several], place[several]
+            crowd = sum(in_table(table, place).astype(np.int8) for table in shared.value[1:])
+            order = np.lexsort((place, crowd, owner))
+            owner, change = owner[order], change[order]
+            held = np.bincount(owner, minlength=len(size))
+            apart = less * (n + 100 * n // percent) // more  # a similar set differs in no more shingles
+            rank = np.arange(len(owner)) - (np.cumsum(held) - held)[owner]
+            keep = rank <= (held - np.maximum(size - apart, 1))[owner]
+            owner, change, rank = owner[keep], change[keep], rank[keep]
+            out = [region[owner], change, node[owner], which[owner], c[owner], weight[owner], 2 * more * (held[owner] - rank)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=names)
+
+    wanted = members.select("region", "node", "which", "c", F.col("weight").cast("long").alias("weight"), _in_region("region", F.lit(0).cast("long")).alias("salt"), F.col("n").cast("long").alias("n"), "changes")
+    return wanted.mapInArrow(in_worker(run), ", ".join(f"{x} long" for x in names))
+
+
 def _by_holders(each: DataFrame) -> DataFrame:
     """``each`` with one row of a member for all changes that the same members have (``held_by``), and the most room of them.
 
-    Two members that share thousands of changes would else meet at each of them.
+    Two members that share thousands of changes would else meet at each of them. Changes that leave no room for any of
+    their holders are no longer here.
     """
     holders = each.groupBy(F.col("region").alias("_region"), F.col("change").alias("_change")).agg(
-        F.xxhash64(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "which")), F.bit_xor(F.xxhash64("which", "node"))).alias("held_by"), F.min("c").alias("low"), F.max("c").alias("high")
+        F.xxhash64(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "which")), F.bit_xor(F.xxhash64("which", "node"))).alias("held_by"), F.min("weight").alias("least"), F.min("c").alias("low"), F.max("c").alias("high")
     )
-    each = each.join(holders.where("low < high"), (F.col("region") == F.col("_region")) & (F.col("change") == F.col("_change")))
+    each = each.join(holders.where("low < high"), (F.col("region") == F.col("_region")) & (F.col("change") == F.col("_change"))).where("room >= weight + least")
     return each.groupBy("region", "held_by", "node", "which", "c", "weight").agg(F.max("room").alias("room"))
 
 
