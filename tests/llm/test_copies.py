@@ -197,6 +197,60 @@ def test_fuzzy_passages_whose_parts_stand_in_two_earlier_documents(docs):
     assert len({r.doc_id for r in found if r.doc_id >= 3000}) >= 54
 
 
+def behind_others(rng, before):
+    """``before`` documents with each part of a passage, then (2000) the whole, and (3000) the whole with every tenth word changed."""
+    fresh = lambda n: [f"v{rng.randrange(10**8)}" for _ in range(n)]
+    passage = fresh(60)
+    edited = [fresh(1)[0] if k % 10 == 5 else w for k, w in enumerate(passage)]
+    rows = {before * k + i: fresh(30) + part + fresh(30) for k, part in enumerate((passage[:23], passage[18:43], passage[38:])) for i in range(before)}
+    return {d: " ".join(w) for d, w in (rows | {2000: fresh(40) + passage + fresh(20), 3000: fresh(20) + edited + fresh(50)}).items()}
+
+
+@pytest.mark.parametrize("before", [4, 84])
+def test_fuzzy_passages_whose_source_comes_behind_other_documents(docs, before):
+    """Also if the seeds stand in so many surroundings that they are matched by two."""
+    found = substring_dedup.repeated_passages(docs(*behind_others(random.Random(0), before).items())).collect()
+    assert [(r.doc_id, r.source_doc_id) for r in found] == [(3000, 2000)]
+    assert found[0].first_word <= 24 and found[0].end_word >= 76 and found[0].identity >= 0.85
+
+
+@pytest.mark.parametrize("size, held", [(10000, 100_000), (7, 100_000), (7, 5)])
+def test_open_seeds_meet_every_earlier_document(spark, docs, monkeypatch, size, held):
+    """Against all pairs of occurrences; rows cut into batches and groups given in parts change nothing."""
+    rng = random.Random(4)
+    line = [f"l{i}" for i in range(9)]
+    texts = {i: [f"r{rng.randrange(40)}" for _ in range(70)] + line + [f"r{rng.randrange(40)}" for _ in range(rng.randrange(70))] for i in range(30)}
+    df = docs(*[(i, " ".join(w)) for i, w in texts.items()])
+    spans = spark.createDataFrame([(3, [(0, 79)])], "_of long, _spans array<struct<first_word: int, end_word: int>>")
+    table, hot = substring_dedup.repeated_seeds(df, 4, 1)
+    monkeypatch.setattr(substring_dedup, "HELD", held)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    met = substring_dedup.open_matches(substring_dedup.open_seeds(df, spans, 4, 1, table, 50)).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    places = collections.defaultdict(list)
+    for d, w in texts.items():
+        for p in range(len(w) - 3):
+            places[tuple(w[p : p + 4])].append((d, p))
+    pairs = {(d, e, p, q) for at in places.values() for d, p in at for e, q in at if e < d and (d != 3 or p + 4 > 79)}
+    crowded = {(r.doc_id, r.place) for r in met if r.source_doc_id is None}
+    got = {(r.doc_id, r.source_doc_id, r.place, r.source_place) for r in met if r.source_doc_id is not None}
+    assert got | {x for x in pairs if (x[0], x[2]) in crowded} == pairs and got
+    assert bool(crowded) == (held == 5)
+
+
+def test_crowded_seeds_meet_by_two(spark, monkeypatch):
+    schema = substring_dedup.OPEN
+    rows = [(s, d, p + d, 0, 1000 * d + p, d == 9) for d in range(10) for s, p in ((1, 0), (2, 30), (3, 100))]
+    rows += [(4, d, 400 + p, 0, d, True) for d in (2, 3) for p in range(0, 40, 2)]  # a streak: its ends belong together
+    for held in (100_000, 2):
+        monkeypatch.setattr(substring_dedup, "HELD", held)
+        two = substring_dedup.neighbours(spark.createDataFrame(rows, schema).coalesce(1))
+        assert {(r.doc_id, r.place, r.next) for r in two.collect()} == {(9, 9, 39)}
+        every = substring_dedup.neighbours(spark.createDataFrame(rows, schema), substring_dedup.bit_table(two.select("key")))
+        met = {(r.doc_id, r.source_doc_id, r.place, r.source_place) for r in substring_dedup.neighbour_matches(every).collect()}
+        assert met == {(9, d, p + 9, p + d) for d in range(9) for p in (0, 30)}
+
+
 @pytest.mark.parametrize("rate, least", [(0.08, 0.97), (0.12, 0.93), (0.15, 0.9)])
 def test_recall_of_edited_passages_of_given_documents(docs, given, rate, least):
     """Passages of 80 words of given texts, words replaced at random; those of 80 % identity or more are to be found."""
