@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tieout import scale
 from tieout.llm import near_dedup, substring_dedup
 from tieout.llm.components import components
@@ -214,6 +215,12 @@ def test_fuzzy_passages_whose_source_comes_behind_other_documents(docs, before):
     assert found[0].first_word <= 24 and found[0].end_word >= 76 and found[0].identity >= 0.85
 
 
+def test_the_stage_of_the_pipeline_cuts_passages_whose_source_comes_behind_other_documents(spark, docs):
+    rows = behind_others(random.Random(0), 4)
+    cut = {r.doc_id: words(r.text) for r in corpus_pipeline.cut_repeated_passages(spark, docs(*rows.items()), "").collect()}
+    assert len(cut[3000]) <= 75 and all(cut[d] == words(t) for d, t in rows.items() if d != 3000)
+
+
 @pytest.mark.parametrize("size, held", [(10000, 100_000), (7, 100_000), (7, 5)])
 def test_open_seeds_meet_every_earlier_document(spark, docs, monkeypatch, size, held):
     """Against all pairs of occurrences; rows cut into batches and groups given in parts change nothing."""
